@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumdb.llm import decontaminate, exact_dedup, langid, packing
+from vellumdb.llm import decontaminate, exact_dedup, jaccard_join, langid, packing
 from vellumdb.llm._common import stored, table
 
 
@@ -20,6 +20,10 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.keep_first(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.keep_one(docs)
+
+
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
@@ -28,7 +32,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs)
 
 
-STAGES = [("language_id", identify_language), ("exact_dedup", drop_exact_copies), ("decontamination", drop_leaks), ("packing", pack)]
+STAGES = [("language_id", identify_language), ("exact_dedup", drop_exact_copies), ("jaccard_join", drop_near_copies), ("decontamination", drop_leaks), ("packing", pack)]
 
 #: Trained models and a tokenizer are not expressible in SQL.
 ORACLE_SQL = None

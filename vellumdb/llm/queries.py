@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, langid, packing, token_counts, toxicity, url_filter
+from . import decontaminate, exact_dedup, jaccard_join, langid, packing, substring_dedup, token_counts, toxicity, url_filter
 from ._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,14 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def op6_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(table(spark, sf_dir, "documents"))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
@@ -58,6 +66,20 @@ SELECT page_id, host, path,
 FROM urls
 """
 
+OP4_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 19, 0) + 1)) AS p FROM w),
+ranked AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY sha256(array_to_string(ws[p:p + 19], ' ')) ORDER BY doc_id, p) AS k FROM starts),
+gone AS (SELECT DISTINCT doc_id, p + i AS q FROM ranked, range(0, 20) AS r(i) WHERE k > 1),
+kept AS (
+  SELECT o.doc_id, count(*) AS n, string_agg(o.word, ' ' ORDER BY o.q) AS body
+  FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS q FROM w) o
+  LEFT JOIN gone g ON o.doc_id = g.doc_id AND o.q = g.q WHERE g.q IS NULL GROUP BY o.doc_id)
+SELECT w.doc_id, len(w.ws)::BIGINT AS n_words, (len(w.ws) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.body, '')) AS kept_sha256
+FROM w LEFT JOIN kept k ON w.doc_id = k.doc_id
+"""
+
 OP10_SQL = """
 WITH d AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm, length(coalesce(text, '')) AS size FROM documents),
@@ -73,4 +95,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op3_url_filter": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op10_exact_dedup": OP10_SQL}
