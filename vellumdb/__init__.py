@@ -1,0 +1 @@
+"""A Spark-native engine for schema-less document search."""

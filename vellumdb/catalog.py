@@ -1,11 +1,237 @@
-"""The engine's registered queries over the driver's tables, and their SQL."""
+"""The engine's registered queries over the driver's tables, and their SQL.
 
+Each search is defined once, as documents, a query and SQL; it is registered with the
+scan plan under its name and, where listed, with the index plan as ``index_<name>``.
+"""
+
+from __future__ import annotations
+
+import tempfile
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .engine import evaluate
+from .operators import postings
+from .plans.index import Index, search_index
+
+Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "elem_match_and"
 
 
-def queries():
-    return {}
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(rows: DataFrame, doc_id, *fields) -> DataFrame:
+    """(doc_id, json, v); a field that is null is missing from its document."""
+    return rows.select(doc_id.alias("doc_id"), F.to_json(F.struct(*fields)).alias("json")).withColumn("v", F.parse_json("json"))
+
+
+def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(_table(spark, sf_dir, "orders"), F.col("o_orderkey") + 1, F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("total"))
+
+
+def order_line_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("linestatus"), F.col("l_quantity").alias("qty"), F.col("l_discount").alias("discount"))).alias("lines"))
+    rows = _table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return _docs(rows, F.col("o_orderkey") + 1, F.col("o_orderstatus").alias("status"), F.coalesce("lines", F.array()).alias("lines"))
+
+
+def customer_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("qty"))).alias("lines"))
+    orders = _table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy("o_custkey").agg(F.collect_list(F.struct(F.col("o_orderstatus").alias("status"), F.coalesce("lines", F.array()).alias("lines"))).alias("orders"))
+    rows = _table(spark, sf_dir, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return _docs(rows, F.col("c_custkey") + 1, F.col("c_mktsegment").alias("segment"), F.coalesce("orders", F.array()).alias("orders"))
+
+
+def event_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "events").withColumn("props", F.from_json("props", "k long"))
+    return _docs(rows, F.col("event_id") + 1, F.col("user_id").alias("user"), F.col("event_type").alias("type"), "value", "props")
+
+
+def conv_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = F.struct("turn", "role", F.when(F.col("role") == "system", F.length("text")).alias("system_length"))
+    rows = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(turn).alias("turns"), F.collect_list("role").alias("roles"))
+    return _docs(rows, F.col("conv_id") + 1, "turns", "roles")
+
+
+def text_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.struct("quality", "toxic").alias("labels"))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars").join(labels, "doc_id", "left")
+    return _docs(rows, F.col("doc_id") + 1, "lang", "source", "n_chars", "labels")
+
+
+def vec_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(_table(spark, sf_dir, "embeddings"), F.col("vec_id") + 1, "label", F.transform("embedding", lambda x: F.floor(x * 100)).alias("embedding"))
+
+
+@dataclass(frozen=True)
+class Search:
+    docs: Query
+    query: dict
+    sql: str
+    indexed: bool = False
+
+
+ORDERS, EVENTS = "SELECT o_orderkey + 1 AS doc_id FROM orders WHERE ", "SELECT event_id + 1 AS doc_id FROM events WHERE "
+TEXTS = "SELECT d.doc_id + 1 AS doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE "
+LINES = "SELECT o_orderkey + 1 AS doc_id FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey HAVING "
+CONVS = "SELECT conv_id + 1 AS doc_id FROM conversations GROUP BY conv_id HAVING "
+VECTORS = "SELECT vec_id + 1 AS doc_id FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) GROUP BY vec_id HAVING "
+
+
+def _no(test: str) -> str:
+    return f"NOT coalesce(bool_or({test}), false)"
+
+
+RETURNED = {"path": "flag", "eq": "R"}
+LARGE = {"path": "qty", "gt": 45}
+
+SEARCHES: dict[str, Search] = {
+    "eq_scalar": Search(order_docs, {"path": "status", "eq": "F"}, ORDERS + "o_orderstatus = 'F'", True),
+    "eq_number": Search(event_docs, {"path": "props.k", "eq": 42}, EVENTS + "CAST(json_extract(props, '$.k') AS BIGINT) = 42"),
+    "eq_type_strict": Search(event_docs, {"or": [{"path": "props.k", "eq": "42"}, {"path": "type", "eq": "click"}]}, EVENTS + "event_type = 'click'", True),
+    "neq_scalar": Search(order_docs, {"path": "status", "neq": "F"}, ORDERS + "o_orderstatus <> 'F'", True),
+    "exists_true": Search(text_docs, {"path": "labels.toxic", "exists": True}, TEXTS + "l.doc_id IS NOT NULL", True),
+    "exists_false": Search(text_docs, {"path": "labels.toxic", "exists": False}, TEXTS + "l.doc_id IS NULL", True),
+    "exists_object_path": Search(text_docs, {"or": [{"path": "labels", "exists": True}, {"path": "lang", "eq": "de"}]}, TEXTS + "d.lang = 'de'"),
+    "contains_primitive_array": Search(conv_docs, {"path": "roles[]", "contains": "system"}, CONVS + "bool_or(role = 'system')", True),
+    "gt": Search(order_docs, {"path": "total", "gt": 200000}, ORDERS + "o_totalprice > 200000"),
+    "gte": Search(text_docs, {"path": "n_chars", "gte": 2000}, TEXTS + "d.n_chars >= 2000"),
+    "lt": Search(order_docs, {"path": "total", "lt": 50000.5}, ORDERS + "o_totalprice < 50000.5"),
+    "lte": Search(text_docs, {"path": "n_chars", "lte": 1500}, TEXTS + "d.n_chars <= 1500"),
+    "between": Search(order_docs, {"path": "total", "between": [1000, 30000]}, ORDERS + "o_totalprice BETWEEN 1000 AND 30000", True),
+    "multi_bound_array": Search(order_line_docs, {"path": "lines[].qty", "gt": 45, "lt": 3}, LINES + "bool_or(l_quantity > 45) AND bool_or(l_quantity < 3)", True),
+    "between_array": Search(order_line_docs, {"path": "lines[].qty", "between": [3, 5]}, LINES + "bool_or(l_quantity BETWEEN 3 AND 5)"),
+    "and_doc_scope": Search(order_line_docs, {"and": [{"path": "lines[].flag", "eq": "R"}, {"path": "lines[].qty", "gt": 45}]}, LINES + "bool_or(l_returnflag = 'R') AND bool_or(l_quantity > 45)", True),
+    "elem_match_and": Search(order_line_docs, {"path": "lines[]", "elemMatch": {"and": [RETURNED, LARGE]}}, LINES + "bool_or(l_returnflag = 'R' AND l_quantity > 45)", True),
+    "elem_match_or": Search(order_line_docs, {"path": "lines[]", "elemMatch": {"or": [{"path": "qty", "lt": 2}, {"and": [RETURNED, LARGE]}]}}, LINES + "bool_or(l_quantity < 2 OR (l_returnflag = 'R' AND l_quantity > 45))"),
+    "elem_match_range": Search(order_line_docs, {"path": "lines[]", "elemMatch": {"flag": {"eq": "N"}, "discount": {"gte": 0.05, "lt": 0.07}}}, LINES + "bool_or(l_returnflag = 'N' AND l_discount >= 0.05 AND l_discount < 0.07)"),
+    "elem_match_primitive": Search(vec_docs, {"path": "embedding[]", "elemMatch": {"path": "$", "gt": 30}}, VECTORS + "bool_or(floor(x * 100) > 30)", True),
+    "elem_match_neq": Search(order_line_docs, {"path": "lines[]", "elemMatch": {"path": "flag", "neq": "R"}}, LINES + "bool_or(l_returnflag <> 'R')", True),
+    "elem_match_exists_false": Search(conv_docs, {"path": "turns[]", "elemMatch": {"path": "system_length", "exists": False}}, CONVS + "bool_or(role <> 'system')", True),
+    "elem_match_nested": Search(customer_docs, {"path": "orders[].lines[]", "elemMatch": {"and": [RETURNED, LARGE]}}, "SELECT c_custkey + 1 AS doc_id FROM customer LEFT JOIN orders ON c_custkey = o_custkey LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY c_custkey HAVING bool_or(l_returnflag = 'R' AND l_quantity > 45)", True),
+    "elem_match_inner_array": Search(customer_docs, {"path": "orders[]", "elemMatch": {"and": [{"path": "status", "eq": "O"}, {"path": "lines[].flag", "eq": "R"}, {"path": "lines[].qty", "gt": 45}]}}, "SELECT DISTINCT o_custkey + 1 AS doc_id FROM (SELECT o_custkey, o_orderkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'O' GROUP BY o_custkey, o_orderkey HAVING bool_or(l_returnflag = 'R') AND bool_or(l_quantity > 45)) JOIN customer ON o_custkey = c_custkey", True),
+    "or_query": Search(event_docs, {"or": [{"path": "type", "eq": "purchase"}, {"path": "value", "gt": 90}]}, EVENTS + "event_type = 'purchase' OR value > 90"),
+    "not_eq": Search(order_docs, {"not": {"path": "status", "eq": "O"}}, ORDERS + "NOT o_orderstatus = 'O'"),
+    "not_neq": Search(order_docs, {"not": {"path": "status", "neq": "O"}}, ORDERS + "o_orderstatus = 'O'", True),
+    "not_exists_false": Search(text_docs, {"not": {"path": "labels.quality", "exists": False}}, TEXTS + "l.doc_id IS NOT NULL", True),
+    "not_mixed_and": Search(text_docs, {"not": {"and": [{"path": "lang", "eq": "en"}, {"path": "labels.toxic", "neq": 1}]}}, TEXTS + "NOT (d.lang = 'en' AND NOT coalesce(l.toxic = 1, false))", True),
+    "not_elem_match": Search(order_line_docs, {"not": {"path": "lines[]", "elemMatch": RETURNED}}, LINES + _no("l_returnflag = 'R'"), True),
+    "fieldmap_and_bare": Search(event_docs, {"type": {"eq": "view"}, "value": {"gte": 10, "lt": 20}}, EVENTS + "event_type = 'view' AND value >= 10 AND value < 20"),
+    "where_form": Search(order_docs, {"where": {"status": {"eq": "P"}}}, ORDERS + "o_orderstatus = 'P'"),
+    "legacy_elem_match": Search(order_line_docs, {"elemMatch": {"path": "lines[]", "where": {"and": [RETURNED, {"path": "linestatus", "eq": "F"}]}}}, LINES + "bool_or(l_returnflag = 'R' AND l_linestatus = 'F')"),
+}
+
+
+def _scan(s: Search) -> Query:
+    return lambda spark, sf_dir: evaluate(s.docs(spark, sf_dir), s.query).select("doc_id")
+
+
+def _indexed(s: Search) -> Query:
+    return lambda spark, sf_dir: search_index(Index.of(s.docs(spark, sf_dir)), s.query)
+
+
+def leaf_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaves = Index.of(order_line_docs(spark, sf_dir)).leaves
+    return leaves.groupBy("path", "value_type").agg(F.count("*").alias("leaves"), F.count_distinct("doc_id").alias("documents"))
+
+
+def scope_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scopes = Index.of(customer_docs(spark, sf_dir)).scopes
+    return scopes.groupBy("array_path").agg(F.count("*").alias("elements"), F.count("parent_scope_id").alias("nested"), F.count_distinct("doc_id").alias("documents"))
+
+
+def scoped_leaf_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = Index.of(customer_docs(spark, sf_dir)).scoped_leaves
+    return rows.groupBy("array_path", "relative_path").agg(F.count("*").alias("leaves"))
+
+
+def entry_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Index.of(order_line_docs(spark, sf_dir)).leaves.groupBy("doc_id").agg(F.count("*").alias("entry_count"))
+
+
+def _posting_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    leaves = Index.of(event_docs(spark, sf_dir)).leaves
+    click = leaves.where((F.col("path") == "$.type") & (F.col("value_str") == "click"))
+    large = leaves.where((F.col("path") == "$.value") & (F.col("value_num") > 50))
+    return postings.posting(click), postings.posting(large)
+
+
+def posting_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.intersect(*_posting_sets(spark, sf_dir))
+
+
+def posting_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.union(*_posting_sets(spark, sf_dir))
+
+
+def posting_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.difference(*_posting_sets(spark, sf_dir))
+
+
+def path_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and rows of each key of the event index, without the numbers."""
+    return postings.statistics(Index.of(event_docs(spark, sf_dir)).leaves.where("value_type = 'string'")).select("path", "value", "documents", "rows")
+
+
+def _lifecycle(spark: SparkSession, sf_dir: str):
+    """A database of the suppliers' nations, loaded, updated and deleted from."""
+    from .database import Database
+
+    nations = _table(spark, sf_dir, "nation").orderBy("n_nationkey").coalesce(1)
+    db = Database.open(spark, tempfile.mkdtemp(prefix="vellum-db-") + "/db", create_if_missing=True)
+    db.load(nations.select(F.to_json(F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))).alias("json")))
+    db.delete(3)
+    db.update(5, {"key": 4, "name": "renamed", "region": 4})
+    db.insert({"key": 100, "name": "new", "region": 4})
+    return db
+
+
+def visible_after_update_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = _lifecycle(spark, sf_dir)
+    return db.search({"path": "region", "eq": 4}).dataframe.select("doc_id", F.get_json_object("json", "$.name").alias("name"))
+
+
+def after_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = _lifecycle(spark, sf_dir)
+    db.compact()
+    return db.search({"path": "region", "eq": 4}, plan="index").dataframe.select("doc_id", F.get_json_object("json", "$.name").alias("name"))
+
+
+LIFECYCLE_SQL = """
+SELECT n_nationkey + 1 AS doc_id, n_name AS name FROM nation WHERE n_regionkey = 4 AND n_nationkey NOT IN (2, 4)
+UNION ALL SELECT 26, 'renamed' UNION ALL SELECT 27, 'new'
+"""
+_KEYS = "SELECT path, value, count(*) AS documents, count(*) AS rows FROM (SELECT '$.type' AS path, event_type AS value FROM events) GROUP BY path, value"
+_PER_LINE = "(SELECT count(*) FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
+_WITH_LINES = "(SELECT count(DISTINCT o_orderkey) FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
+_OWN_ORDERS = "FROM orders JOIN customer ON o_custkey = c_custkey"
+_OWN_LINES = _OWN_ORDERS + " JOIN lineitem ON o_orderkey = l_orderkey"
+OTHERS: dict[str, tuple[Query, str]] = {
+    "leaf_stats": (leaf_stats, "SELECT '$.status' AS path, 'string' AS value_type, count(*) AS leaves, count(*) AS documents FROM orders UNION ALL " + " UNION ALL ".join(f"SELECT '$.lines[].{k}', '{t}', {_PER_LINE}, {_WITH_LINES}" for k, t in (("flag", "string"), ("linestatus", "string"), ("qty", "number"), ("discount", "number")))),
+    "scope_universe": (scope_universe, f"SELECT '$.orders[]' AS array_path, count(*) AS elements, 0 AS nested, count(DISTINCT o_custkey) AS documents {_OWN_ORDERS} UNION ALL SELECT '$.orders[].lines[]', count(*), count(*), count(DISTINCT o_custkey) {_OWN_LINES}"),
+    "scoped_leaf_stats": (scoped_leaf_stats, f"SELECT '$.orders[]' AS array_path, '$.status' AS relative_path, count(*) AS leaves {_OWN_ORDERS} " + " ".join(f"UNION ALL SELECT '{a}', '{r}', count(*) {_OWN_LINES}" for a, r in (("$.orders[]", "$.lines[].flag"), ("$.orders[]", "$.lines[].qty"), ("$.orders[].lines[]", "$.flag"), ("$.orders[].lines[]", "$.qty")))),
+    "entry_counts": (entry_counts, "SELECT o_orderkey + 1 AS doc_id, 1 + 4 * count(l_orderkey) AS entry_count FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey"),
+    "posting_intersect": (posting_intersect, EVENTS + "event_type = 'click' INTERSECT " + EVENTS + "value > 50"),
+    "posting_union": (posting_union, EVENTS + "event_type = 'click' UNION " + EVENTS + "value > 50"),
+    "posting_difference": (posting_difference, EVENTS + "event_type = 'click' EXCEPT " + EVENTS + "value > 50"),
+    "path_cardinality": (path_cardinality, _KEYS),
+    "visible_after_update_delete": (visible_after_update_delete, LIFECYCLE_SQL),
+    "after_compaction": (after_compaction, LIFECYCLE_SQL),
+}
+
+
+def queries() -> dict[str, Query]:
+    out = {name: _scan(s) for name, s in SEARCHES.items()}
+    out |= {f"index_{name}": _indexed(s) for name, s in SEARCHES.items() if s.indexed}
+    return out | {name: f for name, (f, _) in OTHERS.items()}
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    out = {name: s.sql for name, s in SEARCHES.items()}
+    out |= {f"index_{name}": s.sql for name, s in SEARCHES.items() if s.indexed}
+    return out | {name: sql for name, (_, sql) in OTHERS.items()}
