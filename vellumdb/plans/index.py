@@ -75,7 +75,7 @@ class Flags:
         if isinstance(e, Predicate):
             parts = []
             for op, operand in e.ops:
-                flag = self.add((F.col(self.path) == format_path(e.steps)) & F.coalesce(_test(op, operand), F.lit(False)))
+                flag = self.add((F.col(self.path) == format_path(e.steps)) & _test(op, operand))
                 parts.append(("not", flag) if op == "neq" or op == "exists" and not operand else flag)
             return ("and", parts)
         if isinstance(e, Not):
@@ -104,7 +104,7 @@ def _evaluate(tree, flags: Flags, rows: DataFrame, key: list[str], universe: Dat
     names = [f"f{k}" for k in range(n)]
     found = None
     if n > len(flags.matches):
-        found = rows.where(reduce(lambda a, b: a | b, flags.tests)).select(*key, *(t.alias(c) for t, c in zip(flags.tests, names, strict=True)))
+        found = rows.where(reduce(lambda a, b: a | b, flags.tests)).select(*key, *(F.coalesce(t, F.lit(False)).alias(c) for t, c in zip(flags.tests, names, strict=True)))
     for flag, match in flags.matches:
         part = matching_elements(index, match).select(*key, *(F.lit(k == flag).alias(c) for k, c in enumerate(names)))
         found = part if found is None else found.unionByName(part)
