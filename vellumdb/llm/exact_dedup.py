@@ -103,8 +103,9 @@ class LsmIndex:
         return found.groupBy("digest", "doc_id").agg(F.min("first.doc_id").alias("keep_id")).select("doc_id", "keep_id")
 
 
-def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """digest, raw, best, n, first (the entry that stays) of each document."""
+def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
+    """digest, raw, best, n, first (the entry that stays) of each document, and whether
+    some rows repeat both id and text."""
     index = LsmIndex(id_col, text_col)
     runs = index.insert(docs)
     hits = stored(index.compact().where("n > 1").withColumnRenamed("best", "first"), "hits")
@@ -113,9 +114,8 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     out = runs.join(hits, "digest", "left").select("digest", "raw", "best", F.coalesce("n", F.lit(1).cast("long")).alias("n"), F.coalesce("first", "best").alias("first"))
     if not wrong.isEmpty():
         out = regrouped(out, wrong)
-    if not doubled.groupBy("digest", "raw", "best").count().where("count > 1").isEmpty():
-        out = out.distinct()
-    return out
+    repeats = not doubled.groupBy("digest", "raw", "best").count().where("count > 1").isEmpty()
+    return (out.distinct() if repeats else out), repeats
 
 
 def mismatches(docs: DataFrame, doubled: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -144,17 +144,17 @@ def regrouped(out: DataFrame, wrong: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every document."""
-    return decisions(docs, id_col, text_col).select(
+    return decisions(docs, id_col, text_col)[0].select(
         F.col("best.doc_id").alias("doc_id"), F.col("first.doc_id").alias("keep_id"), F.col("n").alias("group_size"), F.col("best").eqNullSafe(F.col("first")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that stay; one of rows repeated outright."""
-    made = decisions(docs, id_col, text_col)
+    made, repeats = decisions(docs, id_col, text_col)
     gone = stored(made.where(~F.col("best").eqNullSafe(F.col("first"))).select(F.col("best.doc_id").alias("_gone_id"), F.col("raw").alias("_gone_raw")), "dropped")
     small = gone.count() <= bloom.BROADCAST_BLOCKS
     rest = docs.join(F.broadcast(gone) if small else gone, docs[id_col].eqNullSafe(F.col("_gone_id")) & (raw_hash(docs[text_col]) == F.col("_gone_raw")), "left_anti")
-    if made.count() < docs.count():  # some rows repeat id and text
+    if repeats:
         rest = rest.withColumn("_raw", raw_hash(F.col(text_col))).dropDuplicates([id_col, "_raw"]).drop("_raw")
     return rest
