@@ -104,7 +104,7 @@ def presence(texts: list[str]) -> list[set[bytes]]:
     return out
 
 
-def train(texts: list[str], toxic: list[int], prior: float | None = None, terms: tuple[str, ...] = IDENTITY_TERMS, penalty: float = 5.0, l2: float = 1e-3, steps: int = 300, threshold: float = THRESHOLD) -> ToxicityModel:
+def train(texts: list[str], toxic: list[int], prior: float | None = None, terms: tuple[str, ...] = IDENTITY_TERMS, penalty: float = 5.0, l2: float = 1e-3, steps: int = 800, threshold: float = THRESHOLD) -> ToxicityModel:
     """``prior``: the share of toxic rows that scores should rest on, if the sample is
     balanced otherwise; the bias is shifted to it."""
     y = np.array(toxic, float)
