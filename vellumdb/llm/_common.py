@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes handled at once inside a Python worker, which bounds its memory.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Largest number of rows that any broadcast of 8-byte keys may have.
 BROADCAST_ROWS = 1_000_000
 
@@ -158,7 +158,7 @@ def ship(spark: SparkSession) -> None:
     import shutil
     import sys
 
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * SLICE_BYTES))  # bounds a worker's memory
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * SLICE_BYTES))  # bounds a worker's memory
     context = spark.sparkContext
     if getattr(context, "_vellum_shipped", False):
         return

@@ -20,6 +20,7 @@ not read.  A null id is kept.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import Counter
 
@@ -30,60 +31,114 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import as_array, map_arrow, stored, text_slices, words
+from ._common import as_array, lower_ascii, map_arrow, stored, text_slices, words
 
 SIZE = 2048
 TOKENIZER = "word_bpe_49k.json"
 CACHE_WORDS = 300_000
+#: Words encoded in one call, which bounds what the library holds.
+ENCODED = 500
+#: Separates words of one call; itself one token.
+BREAK = "<|endoftext|>"
+MARKS = b",.!?;:|"
 
 
 class WordTokens:
-    """Ids of texts.  The tokenizer drops white space and never merges across it, so ids
-    are kept by word; the cache is emptied when it is full."""
+    """Ids of texts.  The tokenizer lower-cases, drops white space and never merges across
+    it, nor between a letter or digit and the marks after it; so ids are kept by
+    lower-cased word without its closing marks, and by those marks.  The store has
+    a fixed size; early words, mostly frequent ones, stay."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
+        self.break_id = self.tokenizer.token_to_id(BREAK)
         self.at: dict[bytes, int] = {}
-        self.starts, self.ids, self.total = [0], [], 0
-
-    def lookup(self, names: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first, count) of each word in the flat ids."""
-        if len(self.at) + len(names) > CACHE_WORDS:
-            self.clear()
+        self.flat, self.bounds, self.extra = np.empty(0, np.uint32), np.zeros(1, np.int64), []
+
+    def ids(self, names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, count of each word)."""
+        texts = [x.decode("utf-8", "replace") for x in names]
+        if self.break_id is None or any("<|" in x for x in texts):
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each], np.int64)
+        got = np.array(self.tokenizer.encode_batch_fast([f" {BREAK} ".join(texts)], add_special_tokens=False)[0].ids, np.uint32)
+        cuts = np.flatnonzero(got == self.break_id)
+        return np.delete(got, cuts), np.diff(np.concatenate([[-1], cuts, [len(got)]])) - 1
+
+    def learn(self, names: list[bytes]) -> None:
+        """Makes room for the ids of all names, which until the next call have places.
+        Words that came when the store was full are dropped then."""
+        for x in self.extra:
+            del self.at[x]
+        kept = len(self.at)
+        self.bounds = self.bounds[: kept + 1]
+        self.flat = self.flat[: self.bounds[-1]]
         new = [x for x in names if x not in self.at]
-        if new:
-            for x, e in zip(new, self.tokenizer.encode_batch([x.decode("utf-8", "replace") for x in new], add_special_tokens=False), strict=True):
-                self.at[x] = len(self.starts) - 1
-                self.ids.append(e.ids)
-                self.total += len(e.ids)
-                self.starts.append(self.total)
-            self.flat = np.fromiter((i for x in self.ids for i in x), dtype=np.uint32, count=self.total)
-            self.bounds = np.array(self.starts)
-        which = np.fromiter((self.at[x] for x in names), dtype=np.int64, count=len(names))
-        return self.flat, self.bounds[which], self.bounds[which + 1] - self.bounds[which]
+        if not new:
+            self.extra = []
+            return
+        cores, marks = zip(*map(parted, new), strict=True)
+        lacking = [x for x in dict.fromkeys([*cores, *marks]) if x not in self.at]
+        made, sizes = [self.flat], []
+        for k in range(0, len(lacking), ENCODED):
+            ids, count = self.ids(lacking[k : k + ENCODED])
+            made.append(ids)
+            sizes.append(count)
+        flat = np.concatenate(made)
+        bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.concatenate(sizes))]) if sizes else self.bounds
+        there = dict(zip(lacking, range(kept, kept + len(lacking)), strict=True))
+        parts = np.fromiter((there[x] if x in there else self.at[x] for pair in zip(cores, marks, strict=True) for x in pair), np.int64, 2 * len(new))
+        size = np.diff(bounds)[parts]
+        self.flat = np.concatenate([self.flat, flat[spread(bounds[parts], size)]])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(size.reshape(-1, 2).sum(axis=1))])
+        self.at.update(zip(new, range(kept, kept + len(new)), strict=True))
+        self.extra = new[max(0, CACHE_WORDS - kept) :]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each closed by 0; offsets of the texts)."""
-        offsets, codes, names = words(texts)
+        offsets, codes, names = words(lower_ascii(texts))
         n = len(texts)
         if not len(codes):
             return np.zeros(n, np.uint32), np.arange(n + 1)
-        flat, first, count = self.lookup(names)
-        sizes = count[codes]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        source = np.repeat(first[codes] - ends[:-1], sizes) + np.arange(ends[-1])
-        by_text = ends[offsets]
-        out = np.zeros(ends[-1] + n, dtype=np.uint32)
-        shift = np.repeat(np.arange(n), np.diff(by_text))
-        out[np.arange(ends[-1]) + shift] = flat[source]
+        self.learn(names)
+        at = self.at
+        place = np.fromiter((at[x] for x in names), np.int64, len(names))[codes]
+        sizes = self.bounds[place + 1] - self.bounds[place]
+        by_text = np.concatenate([[0], np.cumsum(sizes)])[offsets]
+        out = np.zeros(by_text[-1] + n, dtype=np.uint32)
+        closing = np.zeros(len(out), bool)
+        closing[by_text[1:] + np.arange(n)] = True
+        out[~closing] = self.flat[spread(self.bounds[place], sizes)]
         return out, by_text + np.arange(n + 1)
 
 
+def spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices of consecutive ranges, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+#: Of this Python worker, which later tasks share.
+CODERS: dict[str, WordTokens] = {}
+
+
+def coder(path: str) -> WordTokens:
+    if path not in CODERS:
+        CODERS[path] = WordTokens(path)
+    return CODERS[path]
+
+
+def parted(word: bytes) -> tuple[bytes, bytes]:
+    """A word and the marks that close it, if a letter or digit stands before them."""
+    core = word.rstrip(MARKS)
+    if not core or len(core) == len(word) or not core[-4:].decode("utf-8", "ignore")[-1:].isalnum():
+        return word, b""
+    return core, word[len(core) :]
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -96,12 +151,12 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: i
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        coder = WordTokens(tokenizer or tokenizer_path(TOKENIZER))
+        encoder = coder(tokenizer or tokenizer_path(TOKENIZER))
         task, seen = TaskContext.get().partitionId(), np.zeros(size + 1, dtype=np.int64)
         for batch in batches:
             texts = as_array(batch.column(1))
             for a, b in text_slices(texts):
-                ids, offsets = coder.encode(texts.slice(a, b - a))
+                ids, offsets = encoder.encode(texts.slice(a, b - a))
                 total = np.diff(offsets)
                 pieces = -(-total // size)
                 row = np.repeat(np.arange(b - a), pieces)
