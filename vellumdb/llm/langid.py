@@ -89,7 +89,7 @@ class LanguageModel:
         best, score = np.full(len(texts), -1), np.zeros(len(texts))
         if not self.langs:
             return best, score
-        for a, b in text_slices(texts):
+        for a, b in text_slices(texts, 1 << 20):
             part = texts.slice(a, b - a)
             lettered = np.asarray(pc.fill_null(pc.match_substring_regex(part, r"\p{L}"), False))
             p = softmax(self.logits(part) / self.temperature)
@@ -118,7 +118,8 @@ def train(texts: list[str], langs: list[str], calibrate: tuple[list[str], list[s
         whose, which = subwords(names)
         share = np.bincount(codes, minlength=len(names)) / max(1, len(codes)) / np.maximum(1, np.bincount(whose, minlength=len(names)))
         ids, inverse = np.unique(which, return_inverse=True)
-        docs.append((ids, np.bincount(inverse, weights=share[whose], minlength=len(ids)) if len(ids) else np.empty(0)))
+        weight = np.bincount(inverse, weights=share[whose], minlength=len(ids)) if len(ids) else np.empty(0)
+        docs.append((ids.astype(np.int32), weight.astype(np.float32)))
     steps, total = 0, epochs * len(docs)
     for _ in range(epochs):
         for i in rng.permutation(len(docs)):
