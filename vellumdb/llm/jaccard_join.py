@@ -1,26 +1,31 @@
 """N-gram Jaccard self-join with prefix filters under several global token orders.
 
 A document is the set of its distinct 5-word shingles (64-bit hashes); documents with
-equal sets form a class, of which only the smallest id takes part in the join.  Two sets
-of similarity s or more share a token in the first ``n - ceil(s n) + 1`` tokens of each
-under *every* global order, so a pair must pass this filter under several orders before
-its sets are compared.  The orders put rare tokens first: frequencies come from a
+equal sets form a class, of which only the smallest id takes part in the join.  Sets of
+m and n tokens and similarity s or more have at least o = ceil(s (m + n) / (1 + s)) in
+common; so under *every* global order they share a token among the first m - o + 1 of
+one and n - o + 1 of the other, and a pair must pass this filter under several orders
+before its sets are compared.  The orders put rare tokens first: frequencies come from a
 counting sketch of fixed size, summed over all documents, and ties are broken by a hash
 that differs between the orders.  Any common order is lossless; the sketch only decides
-how short the lists are.
+how short the lists are.  Before texts move, a pair's overlap is bounded from above by
+how many tokens each set has in each of ``PARTS`` ranges of hashes.
 
 Components need no list of all pairs:
 
-1. Prefix tokens of the first order are shuffled; each token's documents are compared
-   with its smallest id (a star).  Pairs that also pass the other orders are verified.
+1. Prefix tokens of the first order are shuffled with their places; each token's
+   documents are compared with the one that has it earliest (a star), since an original
+   has fewer rare tokens than its edited copies.  Pairs that also pass the other orders
+   are verified.
 2. Tokens whose documents lie in one component are done, and so are those of two
    documents.  For the others every pair of documents of different components is still
    compared, after further star rounds while such pairs are many.
 
 Tokens that the sketch calls hot are salted into smaller lists whose first documents
 then form a list of their own.  Comparisons are dealt out by (first document, salt), a
-few hundred texts each, and stream through the workers; components are found by
-large-star and small-star steps over tables, never on the driver.
+few hundred texts each, and stream through the workers.  Components are found in blocks
+of links, whose stars are merged by large-star and small-star steps over tables; nothing
+of this reaches the driver.
 
 Defined cases: a null text or one without words has no shingles, links with nothing and
 is its own component; fewer than five words: the whole sequence is the one shingle; rows
@@ -48,7 +53,11 @@ SKETCH_CHUNKS = 64
 HOT = 50_000
 #: Texts compared with one copy of a first document.
 GROUP = 256
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+#: Ranges of token hashes whose sizes bound an overlap.
+PARTS = 256
+#: Links that one task unites.
+BLOCK_LINKS = 500_000
 
 
 def shingle_sets(texts: pa.Array, n: int = N) -> list[np.ndarray]:
@@ -69,9 +78,15 @@ def shingle_sets(texts: pa.Array, n: int = N) -> list[np.ndarray]:
 
 
 def prefix_size(n: int, similar: int = SIMILAR) -> int:
+    """Of a set of n, whatever the other's size."""
     return n - (similar * n + 99) // 100 + 1
 
 
+def needed(m, n, similar: int = SIMILAR):
+    """Tokens that similar sets of m and n have in common at least."""
+    return (similar * (m + n) + 99 + similar) // (100 + similar)
+
+
 def prefix(tokens: np.ndarray, levels: np.ndarray, order: int, similar: int = SIMILAR) -> np.ndarray:
     """The first tokens of a set under one global order: by level, then by hash."""
     p = prefix_size(len(tokens), similar)
@@ -80,12 +95,37 @@ def prefix(tokens: np.ndarray, levels: np.ndarray, order: int, similar: int = SI
     return tokens[np.lexsort((key, level))[:p]]
 
 
+def parts_of(tokens: np.ndarray) -> bytes:
+    counts = np.bincount((tokens >> U64(32)).astype(np.int64) % PARTS, minlength=PARTS)
+    return np.minimum(counts, 65_535).astype("<u2").tobytes()
+
+
+def bounded(pairs: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """The (a, b) whose sets' sizes by range allow the overlap that they need.  ``sets``:
+    doc_id, n, parts."""
+    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "compared")
+    some = keep_ids(sets, ids, "doc_id")
+    of = lambda c: some.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("parts").alias(f"parts_{c}"))
+
+    def run(batches):
+        for batch in batches:
+            m, n = (np.asarray(batch.column(k)).astype(np.int64) for k in (2, 4))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, PARTS) for k in (3, 5))
+            most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            most[(x == 65_535).any(axis=1)] = np.iinfo(np.int64).max  # counts end there
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(most >= needed(m, n, similar)))
+
+    rows = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "parts_a", "n_b", "parts_b")
+    return map_arrow(rows, run, pairs.schema)
+
+
 def prints(docs: DataFrame) -> DataFrame:
-    """doc_id, n, f1, f2 of each document (a set's size and 128-bit fingerprint), and a
-    task's part of the sketch in the rows that have a chunk."""
+    """doc_id, n, f1, f2, parts of each document (a set's size, its 128-bit fingerprint
+    and its tokens by range), and a task's part of the sketch in the rows that have a
+    chunk."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     width = (1 << SKETCH_BITS) // SKETCH_CHUNKS
-    schema = f"doc_id {id_type}, n long, f1 long, f2 long, chunk int, counts binary"
+    schema = f"doc_id {id_type}, n long, f1 long, f2 long, parts binary, chunk int, counts binary"
 
     def run(batches):
         counts, kind = np.zeros(1 << SKETCH_BITS, np.uint32), None
@@ -98,11 +138,11 @@ def prints(docs: DataFrame) -> DataFrame:
             for s in sets:
                 np.add.at(counts, (s >> U64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
             none = pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1), pa.array(f2), *none], names=["doc_id", "n", "f1", "f2", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1), pa.array(f2), pa.array([parts_of(s) for s in sets], pa.binary()), *none], names=["doc_id", "n", "f1", "f2", "parts", "chunk", "counts"])
         if kind is not None:
             blobs = [zlib.compress(counts[k * width : (k + 1) * width].astype("<u4").tobytes(), 1) for k in range(SKETCH_CHUNKS)]
-            empty = [pa.nulls(SKETCH_CHUNKS, t) for t in (kind, pa.int64(), pa.int64(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*empty, pa.array(range(SKETCH_CHUNKS), pa.int32()), pa.array(blobs, pa.binary())], names=["doc_id", "n", "f1", "f2", "chunk", "counts"])
+            empty = [pa.nulls(SKETCH_CHUNKS, t) for t in (kind, pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*empty, pa.array(range(SKETCH_CHUNKS), pa.int32()), pa.array(blobs, pa.binary())], names=["doc_id", "n", "f1", "f2", "parts", "chunk", "counts"])
 
     return stored(map_arrow(docs, run, schema), "prints")
 
@@ -131,8 +171,8 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
 
 
 def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """token, salt, hot, doc_id, lead, n: prefix tokens of the first order that several
-    documents have; lead and n are of a (token, salt)."""
+    """token, salt, doc (place, doc_id, n), lead (the first of them), rows: prefix tokens
+    of the first order that several documents have; lead and rows are of a (token, salt)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast((levels_of(counts), np.minimum(1 << 30, np.maximum(1, -(-counts // HOT))).astype(np.int32)))
 
@@ -141,32 +181,41 @@ def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
         for batch in batches:
             sets = shingle_sets(as_array(batch.column(1)))
             firsts = [prefix(s, levels, 1) if len(s) else s for s in sets]
-            sizes = [len(x) for x in firsts]
+            sizes = np.array([len(x) for x in firsts], np.int64)
             token = np.concatenate(firsts) if firsts else np.empty(0, U64)
             row = np.repeat(np.arange(len(sets)), sizes)
+            place = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            n = np.array([len(s) for s in sets], np.int64)[row]
             split = parts[(token >> U64(64 - SKETCH_BITS)).astype(np.int64)]
             salt = np.where(split > 1, np.array([zlib.crc32(repr(x).encode()) for x in batch.column(0).to_pylist()], np.int64)[row] % split, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(salt.astype(np.int32)), as_array(batch.column(0)).take(pa.array(row))], names=["token", "salt", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(place.astype(np.int32)), as_array(batch.column(0)).take(pa.array(row)), pa.array(n.astype(np.int32))], names=["token", "salt", "place", "doc_id", "n"])
 
-    rows = map_arrow(docs, run, f"token long, salt int, doc_id {id_type}")
+    rows = map_arrow(docs, run, f"token long, salt int, place int, doc_id {id_type}, n int")
     w = Window.partitionBy("token", "salt")
-    rows = rows.select("token", "salt", "doc_id", F.min("doc_id").over(w).alias("lead"), F.count("*").over(w).alias("n"))
-    return stored(rows.where("n > 1 OR salt >= 0"), "postings")
+    rows = rows.select("token", "salt", F.struct("place", "doc_id", "n").alias("doc"), F.count("*").over(w).alias("rows")).withColumn("lead", F.min("doc").over(w))
+    return stored(rows.where("rows > 1 OR salt >= 0"), "postings")
+
+
+def may_fit(x: str, y: str):
+    """Whether sets whose first common token is the one of these rows can be similar."""
+    o = F.expr(f"({SIMILAR} * ({x}.n + {y}.n) + {99 + SIMILAR}) div {100 + SIMILAR}")
+    return (F.col(f"{x}.place") + o <= F.col(f"{x}.n")) & (F.col(f"{y}.place") + o <= F.col(f"{y}.n"))
+
 
+def pairs_of(rows: DataFrame, x: str, y: str) -> DataFrame:
+    return rows.where(may_fit(x, y)).select(F.col(f"{x}.doc_id").alias("a"), F.col(f"{y}.doc_id").alias("b"))
 
-def verified(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, counts: np.ndarray, similar: int = SIMILAR) -> DataFrame:
-    """The (a, b) among distinct pairs that pass every order's filter and whose sets are
-    similar.  ``sizes``: doc_id, n."""
+
+def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, counts: np.ndarray, similar: int = SIMILAR) -> DataFrame:
+    """The (a, b) among pairs that pass the other filters and whose sets are similar."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    of = lambda c: sizes.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"))
-    fit = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * similar
-    pairs = stored(pairs.join(of("a"), "a").join(of("b"), "b").where(fit).select("a", "b"), "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    pairs = stored(bounded(stored(pairs.distinct(), "candidates"), sets, similar), "pairs")
+    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "compared")
     texts = keep_ids(docs, ids, "doc_id")
-    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    members = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("b").alias("doc_id")).join(texts, "doc_id")
-    leads = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("a").alias("doc_id")).join(texts, "doc_id")
-    rows = members.unionByName(leads).select("a", "salt", "kind", "doc_id", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "kind", "doc_id")
+    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("copies"))
+    members = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("b").alias("doc_id"))
+    leads = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("a").alias("doc_id"))
+    rows = members.unionByName(leads).join(texts, "doc_id").select("a", "salt", "kind", "doc_id", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "kind", "doc_id")
     sent = docs.sparkSession.sparkContext.broadcast(levels_of(counts))
 
     def run(batches):
@@ -178,7 +227,7 @@ def verified(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, counts: np.nda
                 firsts = [prefix(s, levels, k, similar) for k in (2, 3)]
                 if kind == 0:
                     lead, at = (s, firsts), (a, salt)
-                elif at == (a, salt) and passes(lead[1], firsts) and alike(lead[0], s, similar):
+                elif at == (a, salt) and passes(lead, (s, firsts), similar) and alike(lead[0], s, similar):
                     left.append(a)
                     right.append(b)
             kind = batch.column(0).type
@@ -187,8 +236,11 @@ def verified(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, counts: np.nda
     return stored(map_arrow(rows, run, f"a {id_type}, b {id_type}"), "links")
 
 
-def passes(one: list[np.ndarray], two: list[np.ndarray]) -> bool:
-    return all(len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(one, two, strict=True))
+def passes(one: tuple, two: tuple, similar: int) -> bool:
+    """The filters of the other orders."""
+    o = needed(len(one[0]), len(two[0]), similar)
+    m, n = len(one[0]) - o + 1, len(two[0]) - o + 1
+    return m > 0 and n > 0 and all(len(np.intersect1d(x[:m], y[:n], assume_unique=True)) for x, y in zip(one[1], two[1], strict=True))
 
 
 def alike(x: np.ndarray, y: np.ndarray, similar: int) -> bool:
@@ -196,15 +248,41 @@ def alike(x: np.ndarray, y: np.ndarray, similar: int) -> bool:
     return 100 * both >= similar * (len(x) + len(y) - both)
 
 
+def united(links: DataFrame) -> tuple[DataFrame, int]:
+    """Number of blocks, and u, v: each id of a block of links with the smallest id
+    of its component there."""
+    blocks = max(1, -(-links.count() // BLOCK_LINKS))
+    id_type = links.schema["a"].dataType.simpleString()
+
+    def run(batches):
+        above: dict = {}
+
+        def top(x):
+            while above[x] != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        kind = None
+        for batch in batches:
+            kind = batch.column(0).type
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = top(above.setdefault(a, a)), top(above.setdefault(b, b))
+                above[max(x, y)] = min(x, y)
+        if above:
+            yield pa.RecordBatch.from_arrays([pa.array(above, kind), pa.array([top(x) for x in above], kind)], names=["u", "v"])
+
+    return stored(map_arrow(links.select("a", "b").repartition(blocks), run, f"u {id_type}, v {id_type}").where("u != v"), "united"), blocks
+
+
 def connected(links: DataFrame) -> DataFrame:
-    """doc_id, comp (the smallest id of its component) of every id in (a, b) links, by
-    large-star and small-star steps until nothing changes."""
-    edges = stored(links.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u != v").distinct(), "edges")
+    """doc_id, comp (the smallest id of its component) of every id in (a, b) links that
+    is not the smallest itself."""
+    edges, blocks = united(links)
     state = None
-    while True:
+    while blocks > 1:
         # large star: the larger neighbours of u move to the smallest of all around u
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: u and its smaller neighbours move to the smallest
         low = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -212,41 +290,44 @@ def connected(links: DataFrame) -> DataFrame:
         edges = stored(small, "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
-            return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("comp"))
+            break
         state = now
+    return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("comp"))
 
 
-def joined(docs: DataFrame, sizes: DataFrame, counts: np.ndarray) -> DataFrame:
+def joined(docs: DataFrame, sets: DataFrame, counts: np.ndarray) -> DataFrame:
     """doc_id, comp of the linked ones among documents with distinct sets."""
+    n_docs = sets.count()
     rows = postings(docs, counts)
-    stars = rows.where("doc_id != lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b"))
+    stars = pairs_of(rows.where("doc.doc_id != lead.doc_id"), "lead", "doc")
     tops = rows.where("salt >= 0").groupBy("token").agg(F.min("lead").alias("top"))
-    stars = stars.unionByName(rows.where("salt >= 0 AND doc_id = lead").join(tops, "token").where("top != lead").select(F.col("top").alias("a"), F.col("lead").alias("b")))
-    links = verified(docs, stars.distinct(), sizes, counts)
+    stars = stars.unionByName(pairs_of(rows.where("salt >= 0 AND doc.doc_id = lead.doc_id").join(tops, "token").where("top.doc_id != lead.doc_id"), "top", "lead"))
+    links = verified(docs, stars, sets, counts)
     comps = connected(links)
-    rest = rows.where("n > 2 OR salt >= 0").select("token", "doc_id", F.when(F.col("salt") < 0, F.col("lead")).alias("lead"))
-    some = max(8 * sizes.count(), 100_000)
+    # a star has settled lists of two documents
+    rest = rows.where("rows > 2 OR salt >= 0").select("token", "doc", F.col("doc.doc_id").alias("doc_id"), F.when(F.col("salt") < 0, F.col("lead.doc_id")).alias("lead"))
+    some = max(8 * n_docs, 100_000)
     for round_no in range(STAR_ROUNDS + 1):
-        rest = rest.select("token", "doc_id", "lead").join(comps, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+        rest = rest.join(comps, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
         mixed = rest.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token")
-        rest = stored(rest.join(mixed, "token", "left_semi").join(sizes, "doc_id"), "rest")
-        if rest.isEmpty():
-            return comps
+        rest = stored(rest.join(mixed, "token", "left_semi"), "rest")
         by_comp = rest.groupBy("token", "comp").agg(F.count("*").cast("double").alias("c")).groupBy("token").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s"))
         left = by_comp.agg(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2)).first()[0]
+        if left is None:
+            return comps
         last = left <= some or round_no == STAR_ROUNDS
         if last:  # all pairs of different components that no star has compared
-            x, y = (rest.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "comp", "n")), "lead") for k in "xy")
-            fit = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * SIMILAR
-            more = x.join(y.drop("lead"), "token").where((F.col("doc_id_x") < F.col("doc_id_y")) & (F.col("comp_x") != F.col("comp_y")) & ~F.col("doc_id_x").eqNullSafe(F.col("lead"))).where(fit)
-            more = more.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).distinct()
+            x = rest.select("token", F.col("doc").alias("x"), F.col("comp").alias("comp_x"), "lead")
+            y = rest.select("token", F.col("doc").alias("y"), F.col("comp").alias("comp_y"))
+            new = F.expr("x.doc_id < y.doc_id AND comp_x != comp_y AND NOT (x.doc_id <=> lead) AND NOT (y.doc_id <=> lead)")
+            more = pairs_of(x.join(y, (x["token"] == y["token"]) & new & may_fit("x", "y")), "x", "y")
         else:
-            first = F.min(F.struct(F.xxhash64("doc_id", F.lit(round_no)).alias("h"), F.col("doc_id").alias("id"), F.col("comp").alias("c")))
-            chosen = rest.groupBy("token").agg(first.alias("f")).select("token", F.col("f.id").alias("a"), F.col("f.c").alias("c"))
-            with_first = rest.join(chosen, "token")
-            more = with_first.where("comp != c").select("a", F.col("doc_id").alias("b")).distinct()
-            rest = stored(with_first.where("doc_id != a").select("token", "doc_id", "lead"), "rest")
-        found = verified(docs, more, sizes, counts)
+            # the one that has the token earliest, once the compared ones are gone
+            chosen = rest.where("NOT (doc_id <=> lead)").groupBy("token").agg(F.min(F.struct("doc", "comp")).alias("f"))
+            with_first = rest.join(chosen.select("token", F.col("f.doc").alias("first"), F.col("f.comp").alias("first_comp")), "token")
+            more = pairs_of(with_first.where("comp != first_comp"), "first", "doc")
+            rest = stored(with_first.where("NOT (doc_id <=> lead) AND doc_id != first.doc_id").select("token", "doc", "doc_id", F.lit(None).cast(rest.schema["doc_id"].dataType).alias("lead")), "rest")
+        found = verified(docs, more, sets, counts)
         if not found.isEmpty():
             links = stored(links.unionByName(found), "links")
             comps = connected(links)
@@ -264,13 +345,13 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id, n_shingles, component_id of every document."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = prints(docs)
-    own = rows.where("chunk IS NULL").drop("chunk", "counts")
+    own = rows.where("chunk IS NULL").drop("chunk", "counts", "parts")
     reps = stored(own.where("n > 0").join(classes(rows), ["f1", "f2", "n"]).select("doc_id", "n", "rep"), "classes")
-    sizes = reps.where("doc_id = rep").select("doc_id", "n").distinct()
     copies = reps.where("doc_id IS NULL OR doc_id != rep").select("doc_id").distinct()
     few = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     distinct = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").join(F.broadcast(copies) if few else copies, "doc_id", "left_anti")
-    comps = joined(distinct, sizes, sketch(rows))
+    own_sets = rows.where("chunk IS NULL AND n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "parts")
+    comps = joined(distinct, own_sets, sketch(rows))
     linked = reps.select("doc_id", "n", F.col("rep")).join(comps.select(F.col("doc_id").alias("rep"), "comp"), "rep", "left").select("doc_id", "n", F.coalesce("comp", "rep").alias("component_id"))
     alone = own.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     nameless = own.where("n > 0").join(classes(rows), ["f1", "f2", "n"], "left_anti").select("doc_id", "n", F.col("doc_id").alias("component_id"))
