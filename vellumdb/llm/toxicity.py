@@ -28,7 +28,7 @@ from ._common import as_array, crc_mod, crc_text, keep_ids, map_arrow, spread_sa
 
 #: The bound of the training sample: rows of each label, and characters of each text
 #: (longer texts are not sampled; none is cut).
-SAMPLE_PER_LABEL = 4000
+SAMPLE_PER_LABEL = 2500
 SAMPLE_CHARS = 20_000
 MOST_FEATURES = 20_000
 #: Smallest |z| of the difference of two document frequencies.
@@ -96,11 +96,12 @@ class ToxicityModel:
         return sigmoid(z)
 
 
-def presence(texts: list[str]) -> list[set[bytes]]:
+def presence(texts: list[str]) -> list[np.ndarray]:
+    """The sorted hashes of the features in each text."""
     out = []
     for text in texts:
         _, _, names = words(pa.array([text], pa.string()))
-        out.append({f for x in names for f in features_of(x)})
+        out.append(np.unique(word_hashes([f for x in names for f in features_of(x)])))
     return out
 
 
@@ -112,22 +113,21 @@ def train(texts: list[str], toxic: list[int], prior: float | None = None, terms:
         share = y.mean() if len(y) else 0.0
         return ToxicityModel(np.empty(0, np.uint64), np.empty(0), float(np.log((share + 1e-9) / (1 - share + 1e-9))), threshold)
     rows = presence(texts)
-    counts: dict[bytes, list[int]] = {}
-    for row, t in zip(rows, toxic, strict=True):
-        for f in row:
-            counts.setdefault(f, [0, 0])[t] += 1
+    groups = [word_hashes(features_of(t.encode())) for t in terms]  # the bare term first
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    names, place = np.unique(np.concatenate([*rows, *groups]), return_inverse=True)
+    place = place[: len(row)]
     n = np.array([len(y) - y.sum(), y.sum()])
-    names = sorted(counts)
-    c = np.array([counts[f] for f in names], float)
-    share = c.sum(axis=1) / n.sum()
-    z = (c[:, 1] / n[1] - c[:, 0] / n[0]) / np.sqrt(np.maximum(share * (1 - share) * (1 / n[0] + 1 / n[1]), 1e-12))
-    order = np.argsort(-np.abs(z), kind="stable")[:MOST_FEATURES]
-    groups = [t.encode() for t in terms]
-    chosen = sorted({names[k] for k in order if abs(z[k]) >= SIGNIFICANT} | {f for t in groups for f in features_of(t)})
-    at = {f: k for k, f in enumerate(chosen)}
-    pairs = [(r, at[f]) for r, row in enumerate(rows) for f in row if f in at]
-    ri, fi = np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64)
-    swaps = counterfactuals(rows, groups, at)
+    all_rows, toxic_rows = np.bincount(place, minlength=len(names)), np.bincount(place, weights=y[row], minlength=len(names))
+    share = all_rows / n.sum()
+    z = (toxic_rows / n[1] - (all_rows - toxic_rows) / n[0]) / np.sqrt(np.maximum(share * (1 - share) * (1 / n[0] + 1 / n[1]), 1e-12))
+    some = np.argsort(-np.abs(z), kind="stable")[:MOST_FEATURES]
+    keep = np.zeros(len(names), bool)
+    keep[some[np.abs(z[some]) >= SIGNIFICANT]] = True
+    keep[np.searchsorted(names, np.concatenate(groups))] = True
+    chosen, inside = names[keep], keep[place]
+    ri, fi = row[inside], (np.cumsum(keep) - 1)[place[inside]]
+    swaps = counterfactuals(rows, groups, chosen)
     w, b, m, v = np.zeros(len(chosen)), 0.0, np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for step in range(1, steps + 1):
         p = sigmoid(np.bincount(ri, weights=w[fi], minlength=len(y)) + b)
@@ -143,21 +143,21 @@ def train(texts: list[str], toxic: list[int], prior: float | None = None, terms:
         w, b = w - move[:-1], b - move[-1]
     if prior is not None:
         b += np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)) - np.log(n[1] / n[0])
-    keys = word_hashes(chosen)
-    order = np.argsort(keys)
-    return ToxicityModel(keys[order], w[order], float(b), threshold)
+    return ToxicityModel(chosen, w, float(b), threshold)
 
 
-def counterfactuals(rows: list[set[bytes]], terms: list[bytes], at: dict[bytes, int], most: int = 2000) -> list[tuple[np.ndarray, np.ndarray]]:
+def counterfactuals(rows: list[np.ndarray], groups: list[np.ndarray], chosen: np.ndarray, most: int = 2000) -> list[tuple[np.ndarray, np.ndarray]]:
     """(features gained, features lost) of swapping an identity term of a sampled text
     for the next one in the list."""
-    out = []
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    bare = np.array([g[0] for g in groups])
     for row in rows:
-        for k, t in enumerate(terms):
-            if t in row and len(out) < most:
-                gained = set(features_of(terms[(k + 1) % len(terms)])) - row
-                lost = set(features_of(t))
-                out.append((np.array([at[f] for f in gained if f in at], np.int64), np.array([at[f] for f in lost - gained if f in at], np.int64)))
+        for k in np.flatnonzero(np.isin(bare, row)):
+            gained = np.setdiff1d(groups[(k + 1) % len(groups)], row)
+            lost = np.setdiff1d(groups[k], groups[(k + 1) % len(groups)])
+            out.append((np.searchsorted(chosen, gained), np.searchsorted(chosen, lost)))
+        if len(out) >= most:
+            break
     return out
 
 
