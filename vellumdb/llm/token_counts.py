@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ._common import as_array, map_arrow, text_slices, words
 
 VOCABULARY = "piece_bpe_32k.model"
-NODES = 1_000_000
+NODES = 800_000
 KEPT_WORDS = 300_000
 #: Longer words are segmented without the trie.
 LONGEST = 64
@@ -56,7 +56,7 @@ class Trie:
         self.clear()
 
     def clear(self) -> None:
-        self.child: dict[tuple[int, str], int] = {}
+        self.child: dict[int, int] = {}  # of node and character together
         self.best, self.count = [0.0], [0]
 
     def forward(self, text: str, end: int, best: list[float], count: list[int], path: list[int] | None) -> tuple[float, int]:
@@ -90,10 +90,11 @@ class Trie:
             self.clear()
         path, node = [0], 0
         for end, c in enumerate(text, 1):
-            below = self.child.get((node, c))
+            key = node << 21 | ord(c)
+            below = self.child.get(key)
             if below is None:
                 s, n = self.forward(text, end, self.best, self.count, path)
-                below = self.child[node, c] = len(self.best)
+                below = self.child[key] = len(self.best)
                 self.best.append(s)
                 self.count.append(n)
             node = below
