@@ -141,7 +141,8 @@ def calibrated(model: LanguageModel, texts: list[str], langs: list[str], keep: f
     rows = [(t, model.langs.index(x)) for t, x in zip(texts, langs, strict=True) if x in model.langs and t]
     if not rows:
         return model
-    z, y = model.logits(pa.array([t for t, _ in rows])), np.array([i for _, i in rows])
+    sample, y = pa.array([t for t, _ in rows]), np.array([i for _, i in rows])
+    z = np.concatenate([model.logits(sample.slice(a, b - a)) for a, b in text_slices(sample, 1 << 17)])
     grid = np.geomspace(0.1, 10, 41)
     loss = [-np.log(np.maximum(softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
     heat = float(grid[int(np.argmin(loss))])
