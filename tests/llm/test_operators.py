@@ -409,6 +409,19 @@ def test_toxicity(spark, none):
     assert toxicity.scored(none, toxicity.fit(none, labels)).count() == 0
 
 
+def test_toxicity_samples_whole_labels(spark, monkeypatch):
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(1500)], "doc_id long, toxic int")
+    frame = labels.selectExpr("doc_id", "concat('text ', doc_id) AS text")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic, prior: seen.append((len(set(texts)), *collections.Counter(toxic).items())))
+    own = [k for k in range(1500) if zlib.crc32(str(k).encode()) % 3 != 1]
+    toxic = sum(k % 5 == 0 for k in own)
+    for most in (toxic, 2 * toxic, 5000):  # below the bound every row counts, above it the bound is reached
+        toxicity.fit(frame, labels, per_label=most)
+        n, *by_label = seen.pop()
+        assert dict(by_label) == {0: min(most, len(own) - toxic), 1: toxic} and n == sum(dict(by_label).values())
+
+
 def test_decontamination(spark, docs, none):
     rng = random.Random(3)
     items = [prose(rng, 24) for _ in range(5)] + ["too short", None, "", prose(rng, 40)]
