@@ -357,6 +357,31 @@ def test_lm_probabilities_sum_to_one_and_beat_the_base(spark):
         assert row[:2].sum() == pytest.approx(1) and row[2] == pytest.approx(1) and row[3] == 1
 
 
+def test_lm_words_within_a_class_depend_on_the_words_before():
+    rng = np.random.default_rng(3)
+    k, counts = 40, np.floor(1000 / np.arange(1, 41))
+    model = lm_score.Model(lm_score.Vocabulary(np.arange(k).astype(np.uint64)), np.arange(k) % 3 // 2, 2, np.zeros(3))
+    table = lm_score.within(rng.integers(0, 50, (4, k + 1)).astype(float), model.classes[: k + 1], 3)
+    model.tree = lm_score.Tree(model.classes[:k], counts)
+    model.start = model.tree.start(table)
+    places = np.arange(k + 1)  # the rare class's slot last
+    near = lambda w: (np.full(k + 1, w), np.full(k + 1, 7))
+    logs = lambda w: model.word_logs(lm_score.features(*near(w)), places, near(w)[0])
+    for w in (0, 5, k, k + 1):  # the start is the table of counts
+        assert logs(w) == pytest.approx(table[model.classes[w]], abs=1e-5)
+    # word 9 after word 3, word 30 after word 4: all of one class
+    assert len({int(model.classes[x]) for x in (3, 4, 9, 30)}) == 1
+    memory = np.zeros_like(model.branch_w)
+    one, target = np.tile([3, 4], 50), np.tile([9, 30], 50)
+    for _ in range(30):
+        model.branch_step(lm_score.features(one, np.full(100, 7)), target, one, memory)
+    p, q = np.exp(logs(3)), np.exp(logs(4))
+    assert p[9] > 0.5 > 0.2 > q[9] and q[30] > 0.5 > 0.2 > p[30]
+    for x in (p, q):
+        for c in range(3):
+            assert x[model.classes[: k + 1] == c].sum() == pytest.approx(1, abs=1e-5)
+
+
 def test_language_id(spark, docs, none):
     rng = random.Random(8)
     alphabets = {"aa": ["ba", "ke", "lo"], "bb": ["ßu", "tz", "ör"], "cc": ["ñi", "qué", "rr"]}

@@ -3,18 +3,21 @@
 Tokens are lower-cased words and one end for each text.  The model factors a token's
 probability by class: a softmax over classes whose features are hashed n-grams of the
 preceding tokens (the last one, the last two) and a skip feature (the one before the
-last), then the token within its class given the preceding token's class.
+last), then the token within its class by a hierarchical softmax: the class's words are
+the leaves of a binary tree, and each branching on the way to a word is a two-way softmax
+over the same three features, hashed together with the branching.  Its start, where all
+weights are zero, are the smoothed counts of the words after the preceding token's class.
 
 * Counts of all training tokens are one distributed aggregation of 64-bit word hashes.
 * The ``WORDS`` most frequent are the model's own; others form the rare class, inside
   which a token's share is its smoothed count's.  Counting which frequent tokens precede
   each word, over all training texts, places words in classes (k-means on the driver
   over that table of fixed size).
-* Training is distributed: every task takes gradient steps (AdaGrad) over all of its
-  training tokens, from the shared start; the changes, weighted by tokens, are summed
-  by blocks of parameters and averaged.  The counts of (class, word) pairs that give the
-  second factor are summed alike.  What is gathered grows with the input; what reaches
-  the driver has a fixed size.
+* The counts of (preceding class, word) pairs are summed over all training texts.
+* Training is distributed: every task takes gradient steps (AdaGrad) for both factors
+  over all of its training tokens, from the shared start; the changes, weighted by
+  tokens, are summed by blocks of parameters and averaged.  Both tables of weights have a
+  fixed size, as has what reaches the driver.
 * Scoring runs in sparse numpy batches: only the few active feature rows of each token
   are gathered.  Rare tokens' counts are looked up by a shuffled join on their hashes,
   of which a row (text) gathers a sum.
@@ -40,6 +43,8 @@ from ._common import U64, as_array, crc_text, lower_ascii, map_arrow, mix, store
 #: Frequent words with places of their own in the model.
 WORDS = 65_536
 FEATURES = 1 << 14
+#: Weights of the branchings inside classes, as a power of two.
+BRANCH_BITS = 21
 ANCHORS = 32
 CLUSTERS = 12
 BATCH = 32_768
@@ -149,11 +154,15 @@ def before(offsets: np.ndarray, places: np.ndarray, start: int) -> tuple[np.ndar
 
 
 def features(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Three feature rows of each token."""
+    """Hashes of each token's three features."""
     a, b = one.astype(U64), two.astype(U64)
     with np.errstate(over="ignore"):
         pair = a * U64(0x9E3779B97F4A7C15) + b
-    return np.stack([mix(a, 11), mix(pair, 12), mix(b, 13)], axis=1) % U64(FEATURES)
+    return np.stack([mix(a, 11), mix(pair, 12), mix(b, 13)], axis=1)
+
+
+def feature_rows(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % U64(FEATURES)).astype(np.int64)
 
 
 def anchors_of(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
@@ -197,16 +206,105 @@ def classes_of(counts: np.ndarray, near: np.ndarray, clusters: int = CLUSTERS) -
     return out, len(used)
 
 
+class Tree:
+    """Binary trees over the words of each class, every branching parting an interval of
+    the words in falling frequency where its counts are about halved.  ``children``: two
+    for each branching, a word or (number of words + branching); ``levels``: how many
+    branchings each depth has.  ``begin``, ``length``, ``nodes``, ``signs``: the branchings
+    from a word's class to it, 1 for the first side and -1 for the second."""
+
+    def __init__(self, classes: np.ndarray, counts: np.ndarray):
+        k = len(classes)
+        order = np.lexsort((-counts, classes))
+        total = np.concatenate([[0.0], np.cumsum(counts[order] + ADD)])
+        lo = np.flatnonzero(np.diff(classes[order], prepend=-1))
+        hi = np.append(lo[1:], k)
+        lo, hi = lo[hi - lo > 1], hi[hi - lo > 1]
+        first, self.levels, children = 0, [], []
+        parent, side = np.full(2 * k + 1, -1), np.zeros(2 * k + 1, np.int8)
+        while len(lo):
+            n = len(lo)
+            mid = np.clip(np.searchsorted(total, (total[lo] + total[hi]) / 2), lo + 1, hi - 1)
+            a, b = np.stack([lo, mid], axis=1).ravel(), np.stack([mid, hi], axis=1).ravel()
+            inner = b - a > 1
+            child = np.where(inner, k + first + n + np.cumsum(inner) - 1, order[a])
+            parent[child], side[child] = np.repeat(np.arange(first, first + n), 2), np.tile([1, -1], n)
+            children.append(child.reshape(n, 2))
+            self.levels.append(n)
+            first, lo, hi = first + n, a[inner], b[inner]
+        self.size, self.words = first, k
+        self.children = np.concatenate(children) if children else np.zeros((0, 2), np.int64)
+        at, word, steps = np.arange(k), np.arange(k), []
+        while len(at := at[some := parent[at] >= 0]):
+            word = word[some]
+            steps.append((word, parent[at], side[at]))
+            at = k + parent[at]
+        of, nodes, signs = (np.concatenate(x) for x in zip(*steps, strict=True)) if steps else (np.zeros(0, np.int64),) * 3
+        by = np.argsort(of, kind="stable")
+        self.nodes, self.signs = nodes[by].astype(np.int32), signs[by].astype(np.float32)
+        self.length = np.bincount(of, minlength=k + 1)  # none for the rare class's slot
+        self.begin = np.cumsum(self.length) - self.length
+        self.salts = mix(np.arange(first), 14)
+
+    def paths(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(token, branching, sign) of all branchings on the way to some words."""
+        n = self.length[places]
+        of = np.repeat(np.arange(len(places)), n)
+        at = np.arange(len(of)) + np.repeat(self.begin[places] - (np.cumsum(n) - n), n)
+        return of, self.nodes[at], self.signs[at]
+
+    def start(self, logs: np.ndarray) -> np.ndarray:
+        """Log odds of each branching, by which words get the log probabilities ``logs``
+        (preceding class x word)."""
+        mass = np.concatenate([np.exp(logs[:, : self.words]), np.zeros((len(logs), self.size))], axis=1)
+        b = self.size
+        for n in reversed(self.levels):
+            a = b - n
+            mass[:, self.words + a : self.words + b] = mass[:, self.children[a:b, 0]] + mass[:, self.children[a:b, 1]]
+            b = a
+        return (np.log(mass[:, self.children[:, 0]]) - np.log(mass[:, self.children[:, 1]])).astype(np.float32)
+
+
 class Model:
-    """classes: of words, the rare class last.  w: feature rows x classes; bias; within:
-    log probability of a word in its class for each preceding class (start: last)."""
+    """classes: of words, the rare class last.  w: feature rows x classes; bias.  Within
+    the classes: tree; start: log odds of its branchings for each preceding class (a
+    text's beginning: last); branch_w: hashed weights of features and branchings."""
 
     def __init__(self, vocabulary: Vocabulary, classes: np.ndarray, n_classes: int, bias: np.ndarray):
         self.vocabulary, self.n_classes = vocabulary, n_classes
         self.classes = np.concatenate([classes, [n_classes], [n_classes + 1]]).astype(np.int64)  # words, rare, start
         self.bias = bias.astype(np.float32)
         self.w = np.zeros((FEATURES, n_classes + 1), np.float32)
-        self.within: np.ndarray | None = None
+        self.tree: Tree | None = None
+        self.start: np.ndarray | None = None
+        self.branch_w = np.zeros(1 << BRANCH_BITS, np.float32)
+
+    def branchings(self, hashes: np.ndarray, places: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(token, sign, log odds, weights' places for each feature) of the branchings."""
+        of, nodes, signs = self.tree.paths(places)
+        z, slots = self.start[self.classes[one[of]], nodes], []
+        salts = self.tree.salts[nodes]
+        with np.errstate(over="ignore"):
+            for k in range(3):
+                slots.append((((hashes[of, k] ^ salts) * U64(0x9E3779B97F4A7C15)) >> U64(64 - BRANCH_BITS)).astype(np.int64))
+                z += self.branch_w[slots[-1]]
+        return of, signs, np.clip(z, -40, 40), slots
+
+    def branch_step(self, hashes: np.ndarray, places: np.ndarray, one: np.ndarray, memory: np.ndarray) -> None:
+        """One gradient step on the log loss of the words within their classes."""
+        _, signs, z, slots = self.branchings(hashes, places, one)
+        g = -signs / (1 + np.exp(signs * z))
+        for at in slots:
+            total = np.bincount(at, weights=g, minlength=len(memory))
+            u = np.flatnonzero(total)
+            total = total[u].astype(np.float32)
+            memory[u] += total * total
+            self.branch_w[u] -= RATE * total / (np.sqrt(memory[u]) + 1)
+
+    def word_logs(self, hashes: np.ndarray, places: np.ndarray, one: np.ndarray) -> np.ndarray:
+        """Log probability of each token within its class."""
+        of, signs, z, _ = self.branchings(hashes, places, one)
+        return -np.bincount(of, weights=np.log1p(np.exp(-signs * z)), minlength=len(places))
 
     def class_logits(self, rows: np.ndarray) -> np.ndarray:
         z = self.w[rows[:, 0]]
@@ -235,42 +333,61 @@ class Model:
         out = np.empty(len(places))
         for a in range(0, len(places), BATCH):
             b = min(a + BATCH, len(places))
-            z = self.class_logits(features(one[a:b], two[a:b]).astype(np.int64))
+            hashes = features(one[a:b], two[a:b])
+            z = self.class_logits(feature_rows(hashes))
             target = self.classes[places[a:b]]
             out[a:b] = z[np.arange(b - a), target] - np.log(np.exp(z).sum(axis=1))
-            out[a:b] += self.within[self.classes[one[a:b]], places[a:b]]
+            out[a:b] += self.word_logs(hashes, places[a:b], one[a:b])
         return out / np.log(10)
 
 
-def trained(docs: DataFrame, model: Model) -> Model:
-    """The model after all training texts: averaged steps, and the within-class part."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def pairs_of(docs: DataFrame, model: Model) -> np.ndarray:
+    """How often each word (rare ones as one) follows each class, a text's beginning last."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.classes))
+    k, n, parts = model.vocabulary.size, model.n_classes + 2, 16
+
+    def run(batches):
+        (v, classes), pairs = sent.value, np.zeros(n * (k + 1), np.float32)
+        for offsets, h in training_slices(batches):
+            places = v.places(h)
+            pairs += np.bincount(classes[before(offsets, places, k + 1)[0]] * (k + 1) + places, minlength=len(pairs)).astype(np.float32)
+        yield block_rows(np.array_split(pairs, parts))
+
+    got = np.concatenate(summed(map_arrow(docs, run, "block int, data binary"), parts))
+    return got.reshape(n, k + 1) if len(got) else np.zeros((n, k + 1))
+
+
+def trained(docs: DataFrame, model: Model, counts: np.ndarray) -> Model:
+    """The model after all training texts: averaged steps from the counts' start."""
     k, parts = model.vocabulary.size, 16
-    n_classes = model.n_classes
+    model.tree = Tree(model.classes[:k], counts)
+    model.start = model.tree.start(within(pairs_of(docs, model), model.classes[: k + 1], model.n_classes + 1))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         import copy
 
         m = copy.copy(sent.value)
-        m.w = m.w.copy()
-        memory = np.zeros_like(m.w)
-        pairs, tokens = np.zeros((n_classes + 2) * (k + 1), np.float32), 0
+        m.w, m.branch_w = m.w.copy(), m.branch_w.copy()
+        memory, branch_memory, tokens = np.zeros_like(m.w), np.zeros_like(m.branch_w), 0
         for offsets, h in training_slices(batches):
             places = m.vocabulary.places(h)
             one, two = before(offsets, places, k + 1)
-            pairs += np.bincount(m.classes[one] * (k + 1) + places, minlength=len(pairs)).astype(np.float32)
-            rows, target = features(one, two).astype(np.int64), m.classes[places]
+            target = m.classes[places]
             tokens += len(places)
             for a in range(0, len(places), BATCH):
-                m.step(rows[a : a + BATCH], target[a : a + BATCH], memory)
-        yield block_rows([*np.array_split((m.w - sent.value.w).ravel() * np.float32(tokens), parts), *np.array_split(pairs, parts), np.array([tokens])])
+                b = a + BATCH
+                hashes = features(one[a:b], two[a:b])
+                m.step(feature_rows(hashes), target[a:b], memory)
+                m.branch_step(hashes, places[a:b], one[a:b], branch_memory)
+        changes = ((m.w - sent.value.w).ravel(), m.branch_w - sent.value.branch_w)
+        yield block_rows([*(x for c in changes for x in np.array_split(c * np.float32(tokens), parts)), np.array([tokens])])
 
     got = summed(map_arrow(docs, run, "block int, data binary"), 2 * parts + 1)
     tokens = got[-1][0] if len(got[-1]) else 0.0
     if tokens:
         model.w = (np.concatenate(got[:parts]) / tokens).reshape(model.w.shape).astype(np.float32)
-    pairs = np.concatenate(got[parts : 2 * parts]).reshape(n_classes + 2, k + 1) if tokens else np.zeros((n_classes + 2, k + 1))
-    model.within = within(pairs, model.classes[: k + 1], n_classes + 1)
+        model.branch_w = (np.concatenate(got[parts : 2 * parts]) / tokens).astype(np.float32)
     return model
 
 
@@ -300,7 +417,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_wo
     vocabulary = Vocabulary(hashes)
     classes, n_classes = classes_of(own, anchors_of(docs, vocabulary))
     mass = np.concatenate([np.bincount(classes, weights=own, minlength=n_classes), [n - own.sum() + ADD]])
-    model = trained(docs, Model(vocabulary, classes, n_classes, np.log((mass + ADD) / (mass + ADD).sum())))
+    model = trained(docs, Model(vocabulary, classes, n_classes, np.log((mass + ADD) / (mass + ADD).sum())), own)
     whole = n + ADD * (v + 1)
     # what the base gives rare tokens in all, which they share in the model
     rare = whole - (own + ADD).sum()
