@@ -6,6 +6,8 @@ exactly the separators of ``bytes.split()``, so texts are handled as UTF-8 bytes
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
@@ -51,7 +53,31 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     path = shared_path(df.sparkSession, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._vellum_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes ``stored`` tables that nothing will read again, and has Spark drop the
+    shuffle files and broadcasts of finished jobs, which it else keeps until the driver
+    happens to collect its garbage."""
+    for t in tables:
+        path = getattr(t, "_vellum_path", None)
+        if path is not None:
+            where = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` has not, whatever case is ignored."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def keep_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -171,7 +197,42 @@ def ship(spark: SparkSession) -> None:
     context._vellum_shipped = True
 
 
-def map_arrow(rows: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow`` with this package at hand in the workers."""
+#: What a Python worker keeps from one task to the next, for one operator at a time.
+KEPT: dict = {}
+
+
+def kept(owner: str, make):
+    """A value that later tasks of the same operator in this worker share; it goes when
+    another operator's task comes."""
+    if owner not in KEPT:
+        KEPT[owner] = make()
+    return KEPT[owner]
+
+
+def keep_only(owner: str | None) -> None:
+    if any(k != owner for k in KEPT):
+        KEPT.clear()
+        release_memory()
+
+
+def release_memory() -> None:
+    """Gives free memory back to the system, which a worker else holds while it waits."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def map_arrow(rows: DataFrame, function, schema, keeps: str | None = None) -> DataFrame:
+    """``mapInArrow`` with this package at hand in the workers.  ``keeps``: the operator
+    whose ``kept`` value its tasks share; that of any other is dropped."""
     ship(rows.sparkSession)
-    return rows.mapInArrow(function, schema)
+
+    def run(batches):
+        keep_only(keeps)
+        yield from function(batches)
+        release_memory()
+
+    return rows.mapInArrow(run, schema)

@@ -38,10 +38,16 @@ class BlockedBloom:
     def possible(self, rows: DataFrame, key: Column) -> DataFrame:
         """Rows whose key may be in the filter: all whose key is, and few others.  Null
         keys do not pass."""
-        probe = rows.where(key.isNotNull())
+        return self.probed(rows.where(key.isNotNull()), key, "left_semi")
+
+    def impossible(self, rows: DataFrame, key: Column) -> DataFrame:
+        """The other rows."""
+        return self.probed(rows, key, "left_anti")
+
+    def probed(self, rows: DataFrame, key: Column, how: str) -> DataFrame:
         f = self.blocks.select(F.col("block").alias("_b"), F.col("mask").alias("_m"))
         on = (F.pmod(F.xxhash64(key), F.lit(self.n_blocks)) == F.col("_b")) & (F.col("_m").bitwiseAND(mask_of(key)) == mask_of(key))
-        return probe.join(F.broadcast(f) if self.small else f, on, "left_semi")
+        return rows.join(F.broadcast(f) if self.small else f, on, how)
 
 
 def build(keys: DataFrame, key: Column, n_keys: int) -> BlockedBloom:

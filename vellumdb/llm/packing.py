@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import as_array, lower_ascii, map_arrow, stored, text_slices, words
+from ._common import as_array, kept, lower_ascii, map_arrow, stored, text_slices, words
 
 SIZE = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -99,7 +99,10 @@ class WordTokens:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each closed by 0; offsets of the texts)."""
-        offsets, codes, names = words(lower_ascii(texts))
+        # special tokens count as written, so texts that may have one keep their case
+        special = pc.fill_null(pc.match_substring(texts, "<|"), False)
+        lower = lower_ascii(texts)
+        offsets, codes, names = words(pc.if_else(special, texts, lower) if pc.any(special).as_py() else lower)
         n = len(texts)
         if not len(codes):
             return np.zeros(n, np.uint32), np.arange(n + 1)
@@ -121,16 +124,6 @@ def spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
-#: Of this Python worker, which later tasks share.
-CODERS: dict[str, WordTokens] = {}
-
-
-def coder(path: str) -> WordTokens:
-    if path not in CODERS:
-        CODERS[path] = WordTokens(path)
-    return CODERS[path]
-
-
 def parted(word: bytes) -> tuple[bytes, bytes]:
     """A word and the marks that close it, if a letter or digit stands before them."""
     core = word.rstrip(MARKS)
@@ -148,10 +141,10 @@ def tokenizer_path(name: str) -> str:
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, tokenizer: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, and the piece's task and its rank among
     the pieces of its length there."""
-    id_type = docs.schema[id_col].dataType.simpleString()
+    id_type, owner = docs.schema[id_col].dataType.simpleString(), f"packing {tokenizer or TOKENIZER}"
 
     def run(batches):
-        encoder = coder(tokenizer or tokenizer_path(TOKENIZER))
+        encoder = kept(owner, lambda: WordTokens(tokenizer or tokenizer_path(TOKENIZER)))
         task, seen = TaskContext.get().partitionId(), np.zeros(size + 1, dtype=np.int64)
         for batch in batches:
             texts = as_array(batch.column(1))
@@ -177,7 +170,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: i
                     pa.array(crc, pa.int64()), pa.array(np.full(len(row), task), pa.int32()), pa.array(rank),
                 ], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
 
-    return map_arrow(docs.select(F.col(id_col), F.col(text_col)), run, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, task int, rank long")
+    return map_arrow(docs.select(F.col(id_col), F.col(text_col)), run, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, task int, rank long", keeps=owner)
 
 
 def fullest(counts: Counter, size: int) -> list[int]:
