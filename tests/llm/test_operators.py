@@ -427,9 +427,10 @@ def test_toxicity(spark, none):
     neutral = [f"{a} {prose(rng, 12)}" for a in ("women", "men", "muslim", "gay", "old")]
     assert max(model.scores(pa.array(neutral))) < 0.5
     texts = [r["text"] for r in frame.where("doc_id < 900").orderBy("doc_id").collect()]
-    free = toxicity.train(texts, [int(t) for t in marks], penalty=0.0)
+    rows = toxicity.presence(pa.array(texts))
+    free = toxicity.train(rows, [int(t) for t in marks], penalty=0.0)
     gap = lambda m: abs(float(np.ptp([math.log(p / (1 - p)) for p in m.scores(pa.array(["the women said", "the men said"]))])))
-    fair = toxicity.train(texts, [int(t) for t in marks])
+    fair = toxicity.train(rows, [int(t) for t in marks])
     assert gap(fair) < 0.5 * gap(free)
     assert toxicity.scored(none, toxicity.fit(none, labels)).count() == 0
 
@@ -438,7 +439,7 @@ def test_toxicity_samples_whole_labels(spark, monkeypatch):
     labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(1500)], "doc_id long, toxic int")
     frame = labels.selectExpr("doc_id", "concat('text ', doc_id) AS text")
     seen = []
-    monkeypatch.setattr(toxicity, "train", lambda texts, toxic, prior: seen.append((len(set(texts)), *collections.Counter(toxic).items())))
+    monkeypatch.setattr(toxicity, "train", lambda rows, toxic, prior: seen.append((len({r.tobytes() for r in rows}), *collections.Counter(toxic).items())))
     own = [k for k in range(1500) if zlib.crc32(str(k).encode()) % 3 != 1]
     toxic = sum(k % 5 == 0 for k in own)
     for most in (toxic, 2 * toxic, 5000):  # below the bound every row counts, above it the bound is reached

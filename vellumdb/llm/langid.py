@@ -5,7 +5,8 @@ A word's vector is the mean of its features' embeddings and a text's the mean of
 words', so both count whole texts.  Embeddings and softmax are trained together by
 stochastic gradient descent in numpy, on a bounded sample of labelled rows; a
 temperature and a rejection threshold are then calibrated on sampled rows that training
-did not see.  Since the model is linear, workers get only the embeddings' products with
+did not see.  Workers turn sampled texts, whole and of any length, into features, of
+which a text has ``BUCKETS`` at most, so what reaches the driver has a bound.  Since the model is linear, workers get only the embeddings' products with
 the softmax matrix (``BUCKETS`` x languages floats).
 
 Defined cases: a null text, an empty text and one without a letter are ``und`` with
@@ -24,15 +25,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import as_array, crc_mod, crc_text, keep_ids, lower_ascii, map_arrow, spread_sample, text_slices, words
+from ._common import as_array, crc_mod, crc_text, discard, keep_ids, lower_ascii, map_arrow, spread_sample, stored, text_slices, words
 
 BUCKETS = 1 << 16
 DIM = 16
-#: The bound of the training sample: texts for each language, and characters of each
-#: text (longer texts are not sampled; none is cut).
+#: The bound of the training sample: texts for each language, texts in all, and distinct
+#: features of the texts in all (6 bytes each); texts of any length are sampled.
 SAMPLE_PER_LANG = 400
-SAMPLE_CHARS = 20_000
 SAMPLE_TOTAL = 20_000
+SAMPLE_FEATURES = 12_000_000
 
 
 def subwords(names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -103,23 +104,31 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], calibrate: tuple[list[str], list[str]] = ((), ()), epochs: int = 4, rate: float = 0.5, keep: float = 0.999, seed: int = 7) -> LanguageModel:
+def vectors(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, weights) of each text: its mean embedding is the weighted sum."""
+    out = []
+    for k in range(len(texts)):
+        _, codes, names = words(lower_ascii(texts.slice(k, 1)))
+        whose, which = subwords(names)
+        share = np.bincount(codes, minlength=len(names)) / max(1, len(codes)) / np.maximum(1, np.bincount(whose, minlength=len(names)))
+        ids, inverse = np.unique(which, return_inverse=True)
+        weight = np.bincount(inverse, weights=share[whose], minlength=len(ids)) if len(ids) else np.empty(0)
+        out.append((ids.astype(np.uint16), weight.astype(np.float32)))
+    return out
+
+
+Vectors = list[tuple[np.ndarray, np.ndarray]]
+
+
+def train(docs: Vectors, langs: list[str], calibrate: tuple[Vectors, list[str]] = ((), ()), epochs: int = 4, rate: float = 0.5, keep: float = 0.999, seed: int = 7) -> LanguageModel:
     """``keep``: the share of rightly labelled calibration rows that must not be
-    rejected; the threshold never exceeds one half."""
+    rejected."""
     known = tuple(sorted(set(langs)))
     if not known:
         return LanguageModel((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     rng, k = np.random.default_rng(seed), len(known)
     e, w, b = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, k)), np.zeros(k)
     target = [known.index(x) for x in langs]
-    docs = []
-    for text in texts:
-        _, codes, names = words(lower_ascii(pa.array([text])))
-        whose, which = subwords(names)
-        share = np.bincount(codes, minlength=len(names)) / max(1, len(codes)) / np.maximum(1, np.bincount(whose, minlength=len(names)))
-        ids, inverse = np.unique(which, return_inverse=True)
-        weight = np.bincount(inverse, weights=share[whose], minlength=len(ids)) if len(ids) else np.empty(0)
-        docs.append((ids.astype(np.int32), weight.astype(np.float32)))
     steps, total = 0, epochs * len(docs)
     for _ in range(epochs):
         for i in rng.permutation(len(docs)):
@@ -137,32 +146,59 @@ def train(texts: list[str], langs: list[str], calibrate: tuple[list[str], list[s
     return calibrated(model, *calibrate, keep=keep)
 
 
-def calibrated(model: LanguageModel, texts: list[str], langs: list[str], keep: float) -> LanguageModel:
-    rows = [(t, model.langs.index(x)) for t, x in zip(texts, langs, strict=True) if x in model.langs and t]
+def calibrated(model: LanguageModel, docs: Vectors, langs: list[str], keep: float) -> LanguageModel:
+    """The temperature of least log loss, and as threshold the score that a share of
+    ``keep`` of the rightly labelled rows reaches."""
+    rows = [(d, model.langs.index(x)) for d, x in zip(docs, langs, strict=True) if x in model.langs and len(d[0])]
     if not rows:
         return model
-    sample, y = pa.array([t for t, _ in rows]), np.array([i for _, i in rows])
-    z = np.concatenate([model.logits(sample.slice(a, b - a)) for a, b in text_slices(sample, 1 << 17)])
+    y = np.array([i for _, i in rows])
+    z = np.stack([weight @ model.table[ids] for (ids, weight), _ in rows]) + model.bias
     grid = np.geomspace(0.1, 10, 41)
     loss = [-np.log(np.maximum(softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
     heat = float(grid[int(np.argmin(loss))])
     p = softmax(z / heat)
     right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y])
     at = float(right[int((1 - keep) * len(right))]) if len(right) else 0.5
-    return LanguageModel(model.langs, model.table, model.bias, heat, min(0.5, at))
+    return LanguageModel(model.langs, model.table, model.bias, heat, min(at, 1 - 1e-6))
+
+
+def featured(rows: DataFrame) -> DataFrame:
+    """(lang, part, h, text) to (lang, part, h, n, ids, weights), without the texts."""
+
+    def run(batches):
+        for batch in batches:
+            texts = as_array(batch.column(3))
+            for a, b in text_slices(texts, 1 << 20):
+                got = vectors(texts.slice(a, b - a))
+                yield pa.RecordBatch.from_arrays([
+                    *(batch.column(k).slice(a, b - a) for k in range(3)), pa.array([len(i) for i, _ in got], pa.int32()),
+                    pa.array([i.astype("<u2").tobytes() for i, _ in got], pa.binary()), pa.array([w.astype("<f4").tobytes() for _, w in got], pa.binary()),
+                ], names=["lang", "part", "h", "n", "ids", "weights"])
+
+    return map_arrow(rows.select("lang", "part", "h", "text"), run, "lang string, part int, h long, n int, ids binary, weights binary")
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> LanguageModel:
     """Learns from rows with a language whose crc32(id) mod 3 is not 1: remainder 0
     trains, remainder 2 calibrates.  The sample is ``per_lang`` rows of each language and
-    remainder at most."""
+    remainder at most, ``SAMPLE_TOTAL`` in all, with ``SAMPLE_FEATURES`` in all."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.withColumn("part", crc_mod("doc_id", 3)).where("part != 1 AND lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(F.length("text") <= SAMPLE_CHARS)
+    rows = rows.withColumn("part", crc_mod("doc_id", 3).cast("int")).where("part != 1 AND lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     ids = spread_sample(rows.withColumn("lang", F.concat_ws("/", "lang", "part")), "doc_id", "lang", per_lang)
-    got = keep_ids(rows, ids, "doc_id").orderBy(F.xxhash64("doc_id"), "text", "lang").limit(SAMPLE_TOTAL).collect()
-    fold = lambda n: [r for r in got if r["part"] == n]
-    a, b = fold(0) or got, fold(2)
-    return train([r["text"] for r in a], [r["lang"] for r in a], ([r["text"] for r in b], [r["lang"] for r in b]))
+    some = keep_ids(rows, ids, "doc_id").withColumn("h", F.xxhash64("doc_id", "text", "lang"))
+    made = stored(featured(some), "features")
+    sizes = made.select("h", "n").orderBy("h").limit(SAMPLE_TOTAL).collect()
+    within = np.cumsum([r["n"] for r in sizes]) <= SAMPLE_FEATURES
+    last = sizes[int(within.sum()) - 1]["h"] if within.any() else None
+    got = made.where(F.col("h") <= last).orderBy("h", "lang", "part").limit(SAMPLE_TOTAL).collect() if last is not None else []
+    discard(made)
+
+    def fold(rows: list) -> tuple[Vectors, list[str]]:
+        return [(np.frombuffer(r["ids"], "<u2"), np.frombuffer(r["weights"], "<f4")) for r in rows], [r["lang"] for r in rows]
+
+    a, b = [r for r in got if r["part"] == 0] or got, [r for r in got if r["part"] == 2]
+    return train(*fold(a), fold(b))
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

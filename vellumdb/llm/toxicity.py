@@ -3,9 +3,11 @@
 Features are the presence of words and of their first 3 to 6 letters.  Those whose
 document frequency differs significantly between the labels of a bounded sample are
 kept, with all identity terms; weights are fitted in numpy by gradient descent on the
-log loss.  For every sampled sentence that names a group, the named identity term is
-swapped for others, and the squared change of the score is penalised: groups thus get
-equal weights, and a neutral mention of one does not raise a score.
+log loss.  For every sampled text that names a group, the named identity term is swapped
+for each other one of its language, and the squared change of the score is penalised;
+equal swaps count together, with their number as weight.  Groups thus get equal weights,
+and a neutral mention of one does not raise a score.  Workers turn sampled texts, whole
+and of any length, into the hashes of their features; the driver gets those.
 
 Scores are of whole texts and read nothing else.
 
@@ -24,18 +26,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import as_array, crc_mod, crc_text, keep_ids, map_arrow, text_slices, word_hashes, words
+from ._common import as_array, crc_mod, crc_text, discard, keep_ids, map_arrow, stored, text_slices, word_hashes, words
 
-#: The bound of the training sample: rows of each label, and characters of each text
-#: (longer texts are not sampled; none is cut).
+#: The bound of the training sample: rows of each label, and distinct features of the
+#: texts in all (8 bytes each); texts of any length are sampled.
 SAMPLE_PER_LABEL = 4000
-SAMPLE_CHARS = 20_000
+SAMPLE_FEATURES = 12_000_000
 MOST_FEATURES = 20_000
 #: Smallest |z| of the difference of two document frequencies.
 SIGNIFICANT = 4.0
 THRESHOLD = 0.7
 KEPT_WORDS = 300_000
-IDENTITY_TERMS = ("women", "men", "woman", "man", "girls", "boys", "christian", "muslim", "jewish", "hindu", "buddhist", "atheist", "black", "white", "asian", "african", "european", "gay", "lesbian", "straight", "transgender", "disabled", "deaf", "blind", "old", "young", "immigrant", "immigrants", "refugees", "foreigners")
+#: Terms that name groups, by language; a term is swapped for others of its language.
+IDENTITY_TERMS = (
+    ("women", "men", "woman", "man", "girls", "boys", "christian", "muslim", "jewish", "hindu", "buddhist", "atheist", "black", "white", "asian", "african", "european", "gay", "lesbian", "straight", "transgender", "disabled", "deaf", "blind", "old", "young", "immigrant", "immigrants", "refugees", "foreigners"),
+    ("frauen", "männer", "frau", "mann", "mädchen", "jungen", "christen", "muslime", "juden", "hindus", "buddhisten", "atheisten", "schwarze", "weiße", "asiaten", "afrikaner", "europäer", "schwule", "lesben", "behinderte", "gehörlose", "blinde", "alte", "junge", "einwanderer", "flüchtlinge", "ausländer"),
+    ("femmes", "hommes", "femme", "homme", "filles", "garçons", "chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées", "noirs", "blancs", "asiatiques", "africains", "européens", "gays", "lesbiennes", "handicapés", "sourds", "aveugles", "vieux", "jeunes", "immigrés", "réfugiés", "étrangers"),
+    ("mujeres", "hombres", "mujer", "hombre", "chicas", "chicos", "cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos", "negros", "blancos", "asiáticos", "africanos", "europeos", "gais", "lesbianas", "discapacitados", "sordos", "ciegos", "viejos", "jóvenes", "inmigrantes", "refugiados", "extranjeros"),
+)
 OUTER = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -96,26 +104,26 @@ class ToxicityModel:
         return sigmoid(z)
 
 
-def presence(texts: list[str]) -> list[np.ndarray]:
+def presence(texts: pa.Array) -> list[np.ndarray]:
     """The sorted hashes of the features in each text."""
     out = []
-    for text in texts:
-        _, _, names = words(pa.array([text], pa.string()))
+    for k in range(len(texts)):
+        _, _, names = words(texts.slice(k, 1))
         out.append(np.unique(word_hashes([f for x in names for f in features_of(x)])))
     return out
 
 
-def train(texts: list[str], toxic: list[int], prior: float | None = None, terms: tuple[str, ...] = IDENTITY_TERMS, penalty: float = 5.0, l2: float = 1e-3, steps: int = 800, threshold: float = THRESHOLD) -> ToxicityModel:
-    """``prior``: the share of toxic rows that scores should rest on, if the sample is
-    balanced otherwise; the bias is shifted to it."""
+def train(rows: list[np.ndarray], toxic: list[int], prior: float | None = None, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, penalty: float = 5.0, l2: float = 1e-3, steps: int = 800, threshold: float = THRESHOLD) -> ToxicityModel:
+    """``rows``: the features of each text.  ``prior``: the share of toxic rows that
+    scores should rest on, if the sample is balanced otherwise; the bias is shifted to it."""
     y = np.array(toxic, float)
     if not len(y) or y.min() == y.max():
         share = y.mean() if len(y) else 0.0
         return ToxicityModel(np.empty(0, np.uint64), np.empty(0), float(np.log((share + 1e-9) / (1 - share + 1e-9))), threshold)
-    rows = presence(texts)
-    groups = [word_hashes(features_of(t.encode())) for t in terms]  # the bare term first
+    groups = [[word_hashes(features_of(t.encode())) for t in own] for own in terms]  # the bare term first
+    named = [g for own in groups for g in own]
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    names, place = np.unique(np.concatenate([*rows, *groups]), return_inverse=True)
+    names, place = np.unique(np.concatenate([*rows, *named]), return_inverse=True)
     place = place[: len(row)]
     n = np.array([len(y) - y.sum(), y.sum()])
     all_rows, toxic_rows = np.bincount(place, minlength=len(names)), np.bincount(place, weights=y[row], minlength=len(names))
@@ -124,19 +132,19 @@ def train(texts: list[str], toxic: list[int], prior: float | None = None, terms:
     some = np.argsort(-np.abs(z), kind="stable")[:MOST_FEATURES]
     keep = np.zeros(len(names), bool)
     keep[some[np.abs(z[some]) >= SIGNIFICANT]] = True
-    keep[np.searchsorted(names, np.concatenate(groups))] = True
+    if named:
+        keep[np.searchsorted(names, np.concatenate(named))] = True
     chosen, inside = names[keep], keep[place]
     ri, fi = row[inside], (np.cumsum(keep) - 1)[place[inside]]
-    swaps = counterfactuals(rows, groups, chosen)
+    swap, feature, sign, weight = counterfactuals(rows, groups, chosen)
     w, b, m, v = np.zeros(len(chosen)), 0.0, np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for step in range(1, steps + 1):
         p = sigmoid(np.bincount(ri, weights=w[fi], minlength=len(y)) + b)
         g = p - y
         gw = np.bincount(fi, weights=g[ri], minlength=len(w)) / len(y) + l2 * w / max(1, len(w)) ** 0.5
-        for plus, minus in swaps:  # gradient of (change of the score)^2
-            gw_change = 2 * penalty / len(swaps) * (w[plus].sum() - w[minus].sum())
-            np.add.at(gw, plus, gw_change)
-            np.add.at(gw, minus, -gw_change)
+        if len(weight):  # gradient of the mean squared change of the score
+            change = np.bincount(swap, weights=sign * w[feature], minlength=len(weight)) * weight / weight.sum()
+            gw += 2 * penalty * np.bincount(feature, weights=sign * change[swap], minlength=len(w))
         g_all = np.append(gw, g.mean())
         m, v = 0.9 * m + 0.1 * g_all, 0.999 * v + 0.001 * g_all**2
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -146,19 +154,27 @@ def train(texts: list[str], toxic: list[int], prior: float | None = None, terms:
     return ToxicityModel(chosen, w, float(b), threshold)
 
 
-def counterfactuals(rows: list[np.ndarray], groups: list[np.ndarray], chosen: np.ndarray, most: int = 2000) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(features gained, features lost) of swapping an identity term of a sampled text
-    for the next one in the list."""
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    bare = np.array([g[0] for g in groups])
-    for row in rows:
-        for k in np.flatnonzero(np.isin(bare, row)):
-            gained = np.setdiff1d(groups[(k + 1) % len(groups)], row)
-            lost = np.setdiff1d(groups[k], groups[(k + 1) % len(groups)])
-            out.append((np.searchsorted(chosen, gained), np.searchsorted(chosen, lost)))
-        if len(out) >= most:
-            break
-    return out
+def counterfactuals(rows: list[np.ndarray], groups: list[list[np.ndarray]], chosen: np.ndarray) -> tuple[np.ndarray, ...]:
+    """All swaps of an identity term that a text names for each other term of its
+    language: (swap, feature, sign) of the features gained (1) and lost (-1), and how
+    many texts each distinct swap stands for."""
+    count: dict[tuple[bytes, bytes], int] = {}
+    for own in groups:
+        bare = np.array([g[0] for g in own])
+        for row in rows:
+            for k in np.flatnonzero(np.isin(bare, row)):
+                for j, other in enumerate(own):
+                    if j != k:
+                        key = np.setdiff1d(other, row).tobytes(), np.setdiff1d(own[k], other).tobytes()
+                        count[key] = count.get(key, 0) + 1
+    swap, feature, sign = [], [], []
+    for k, (gained, lost) in enumerate(count):
+        for part, s in ((gained, 1.0), (lost, -1.0)):
+            places = np.searchsorted(chosen, np.frombuffer(part, np.uint64)).tolist()
+            swap += [k] * len(places)
+            feature += places
+            sign += [s] * len(places)
+    return np.array(swap, np.int64), np.array(feature, np.int64), np.array(sign), np.array(list(count.values()), float)
 
 
 def sample(marks: DataFrame, totals: dict[int, int], most: int) -> DataFrame:
@@ -177,16 +193,35 @@ def sample(marks: DataFrame, totals: dict[int, int], most: int) -> DataFrame:
     return marks.where(keep).select("doc_id").distinct()
 
 
+def featured(rows: DataFrame) -> DataFrame:
+    """(toxic, h, text) to (toxic, h, n, features), without the texts."""
+
+    def run(batches):
+        for batch in batches:
+            texts = as_array(batch.column(2))
+            for a, b in text_slices(texts, 1 << 20):
+                got = presence(texts.slice(a, b - a))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(2)), pa.array([len(x) for x in got], pa.int32()), pa.array([x.astype("<u8").tobytes() for x in got], pa.binary())], names=["toxic", "h", "n", "features"])
+
+    return map_arrow(rows.select("toxic", "h", "text"), run, "toxic int, h long, n int, features binary")
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = SAMPLE_PER_LABEL) -> ToxicityModel:
     """Learns from labelled rows whose crc32(id) mod 3 is not 1, ``per_label`` rows of
-    each label at most."""
+    each label at most, with ``SAMPLE_FEATURES`` in all."""
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(crc_mod("doc_id", 3) != 1).distinct()
     totals = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     ids = sample(marks, totals, per_label)
-    texts = keep_ids(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") <= SAMPLE_CHARS), ids, "doc_id")
-    got = texts.join(keep_ids(marks, ids, "doc_id"), "doc_id").orderBy(F.xxhash64("doc_id"), "text", "toxic").limit(4 * per_label).collect()
+    texts = keep_ids(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL"), ids, "doc_id")
+    some = texts.join(keep_ids(marks, ids, "doc_id"), "doc_id").withColumn("h", F.xxhash64("doc_id", "text", "toxic"))
+    made = stored(featured(some), "features")
+    sizes = made.select("h", "n").orderBy("h").limit(4 * per_label).collect()
+    within = np.cumsum([r["n"] for r in sizes]) <= SAMPLE_FEATURES
+    last = sizes[int(within.sum()) - 1]["h"] if within.any() else None
+    got = made.where(F.col("h") <= last).orderBy("h", "toxic").limit(4 * per_label).collect() if last is not None else []
+    discard(made)
     total = sum(totals.values())
-    return train([r["text"] for r in got], [r["toxic"] for r in got], totals.get(1, 0) / total if total else None)
+    return train([np.frombuffer(r["features"], "<u8") for r in got], [r["toxic"] for r in got], totals.get(1, 0) / total if total else None)
 
 
 def scored(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
