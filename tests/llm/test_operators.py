@@ -75,8 +75,9 @@ def test_exact_dedup(spark, docs, none, rows):
         first = min(group)[1]
         assert (got[i]["keep_id"], got[i]["group_size"], got[i]["kept"]) == (first, len(group), i == first)
         assert got[i]["text_sha256"] == hashlib.sha256(squeezed(t).encode()).hexdigest()
-    left = exact_dedup.keep_first(docs)
-    assert left.columns == docs.columns
+    named = docs.withColumnsRenamed({"n": "_raw", "token": "gone_id"})
+    left = exact_dedup.keep_first(named)
+    assert left.columns == named.columns
     assert sorted(r["doc_id"] for r in left.collect()) == sorted(min(g)[1] for g in groups.values())
     assert exact_dedup.dedup(none).count() == exact_dedup.keep_first(none).count() == 0
 
@@ -110,7 +111,7 @@ def test_bloom_filter_loses_nothing(spark):
     assert len(passed) < 10_600
 
 
-def test_url_filter(spark):
+def test_url_filter(spark, monkeypatch):
     urls = [None, "", "no scheme", "http://", "https://A.Example.COM/en/7x?q#f", "http://example.com/en/8", "http://xexample.com/en/7", "http://net/de/", "ftp://u@b.example.net/de/80", "http://example.net/de/7", "http://com?/en/", "x://y.org#/es/", "http://y.org/es/", "http://É.com/en/"]
     pages = spark.createDataFrame([(k, u, "clash") for k, u in enumerate(urls)] + [(4, urls[4], "again")], "page_id long, url string, verdict string")
     rules = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -130,6 +131,9 @@ def test_url_filter(spark):
     some = spark.createDataFrame([(k, f"http://a.h{k}.x/{'p' * (k + 1)}") for k in range(5)], "page_id long, url string")
     assert {r["rule"] for r in url_filter.judge(some, many).collect()} == {f"h{k}.x/{'p' * k}" for k in range(5)}
     assert {r["verdict"] for r in url_filter.judge(pages, url_filter.rule_table(spark, rules).limit(0)).collect()} == {"allow"}
+    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", 0)  # all joins shuffle
+    again = [(r["page_id"], (r["host"], r["path"], r["rule"], r["verdict"])) for r in url_filter.judge(pages.withColumnRenamed("url", "_url"), url_filter.rule_table(spark), url_col="_url").collect()]
+    assert sorted(again, key=str) == sorted(got, key=str)
     assert url_filter.judge(pages.limit(0), url_filter.rule_table(spark)).count() == 0
 
 
@@ -222,8 +226,8 @@ def test_jaccard_components(spark, docs, none, rows):
     assert len(got) == docs.count()
     for r in got:
         assert (r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), comps[r["doc_id"]])
-    left = jaccard_join.keep_one(docs)
-    assert left.columns == docs.columns
+    left = jaccard_join.keep_one(docs.withColumnRenamed("n", "_gone"))
+    assert left.columns == docs.withColumnRenamed("n", "_gone").columns
     assert {r["doc_id"] for r in left.collect()} == set(comps.values())
     assert jaccard_join.components(none).count() == 0
 
@@ -277,6 +281,18 @@ def test_packing(spark, docs, none, rows):
     assert packing.packed(none).count() == 0
 
 
+def test_packing_of_special_tokens():
+    from tokenizers import Tokenizer
+
+    texts = ["<|ENDOFTEXT|> b", "a <|endoftext|> B", "A<|StartOfText|>.", "plain Text <|", None, "<|startoftext|>x, <|endoftext|>!"]
+    path = packing.tokenizer_path(packing.TOKENIZER)
+    t, coder = Tokenizer.from_file(path), packing.WordTokens(path)
+    for _ in range(2):  # the second time from the store
+        ids, offsets = coder.encode(pa.array(texts))
+        for k, x in enumerate(texts):
+            assert ids[offsets[k] : offsets[k + 1]].tolist() == [*t.encode(x or "", add_special_tokens=False).ids, 0], x
+
+
 def test_packing_takes_the_fullest_combination():
     rng = random.Random(1)
     for _ in range(60):
@@ -496,5 +512,46 @@ def test_tiling_against_brute_force():
             if not seeds:
                 assert plain(a, b, least) == 0
                 continue
-            covered, _ = decontaminate.tile(np.array([s[1] for s in seeds]), np.array([s[2] for s in seeds]), len(a), least)
-            assert covered == plain(a, b, least)
+            got = decontaminate.tile(np.array([s[1] for s in seeds]), np.array([s[2] for s in seeds]), len(a), least)
+            assert got[0] == plain(a, b, least)
+            code = lambda x: np.array([ord(c) for c in x], np.uint64)
+            assert decontaminate.tile_windows(code(a), code(b), least) == got
+
+
+def test_decontamination_of_words_that_repeat(monkeypatch):
+    """Places are not paired: memory follows the lengths."""
+    import tracemalloc
+
+    bench = decontaminate.Benchmark([0, 1, 2], ["same " * 3000, "same " * 40 + "other words stand here now", "quite another text of some words"])
+    texts = pa.array(["same " * 60_000, "Same, same " * 20, "same " * 4, None, ""])
+    tracemalloc.start()
+    got = list(bench.leaks(texts, 0.75))
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+    assert got == [(0, 0, 3000, 1), (0, 1, 40, 1), (1, 1, 40, 1)]
+    monkeypatch.setattr(decontaminate, "PAIRS", 1)
+    assert list(bench.leaks(texts.slice(1), 0.75)) == [(0, 1, 40, 1)]
+
+
+def test_decontamination_leaks_against_brute_force(spark, monkeypatch):
+    """Whole rows of the operator against tiling every pair of document and item."""
+    rng = random.Random(31)
+    items = [[rng.choice("abcde") for _ in range(rng.randrange(6, 30))] for _ in range(12)]
+    docs = []
+    for k in range(60):
+        own = [rng.choice("abcdefgh") for _ in range(rng.randrange(0, 30))]
+        piece = items[rng.randrange(12)]
+        cut = rng.randrange(len(piece))
+        docs.append(own + (piece if k % 3 else piece[cut:] + ["z"] + piece[:cut]) + own[:5] + ["a"] * (k % 7))
+    code = lambda x: np.array([ord(c) for c in x], np.uint64)
+    want = {}
+    for d, doc in enumerate(docs):
+        for i, item in enumerate(items):
+            covered, tiles = decontaminate.tile_windows(code(item), code(doc), 5)
+            if covered >= 0.75 * len(item):
+                want[d, i] = covered, tiles
+    assert len(want) > 50
+    frame = spark.createDataFrame([(k, " ".join(d), 1.0) for k, d in enumerate(docs)], "doc_id long, text string, tiles double")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["covered_words"], r["tiles"]) for r in decontaminate.leaks(frame, bench).collect()}
+    assert got == want

@@ -9,6 +9,12 @@ overlap in the item or in the document, and their order is free, so a reordered
 is covered as well as a plain one.  An item counts as leaked when its tiles cover at
 least ``coverage`` of its words.
 
+What an item and a document share is first bounded by the item's words in shared seeds,
+counted without pairing places; only items that can reach ``coverage`` are tiled.  Words
+that repeat make many pairs of places; beyond ``PAIRS`` of them the same tiles are found
+without listing pairs, by Karp-Rabin hashes of unmarked windows: the greatest length at
+which both sides share one, all its matches marked in order, then the next length.
+
 The benchmark goes to the workers in blocks of at most ``BLOCK_CHARS`` characters, each
 a pass over the documents; the documents are never shuffled and nothing is collected.
 
@@ -28,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import as_array, map_arrow, rolling, text_slices, word_hashes, words
+from ._common import as_array, map_arrow, mix, rolling, text_slices, word_hashes, words
 
 SEED = 5
 COVERAGE = 0.75
 BLOCK_CHARS = 16 << 20
+#: Pairs of places (item, document) that are listed at once.
+PAIRS = 200_000
 #: Bytes that are dropped at both ends of a word.
 OUTER = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -91,21 +99,101 @@ class Benchmark:
                     yield a + int(r), item, covered, tiles
 
     def tiled(self, doc: np.ndarray, where: np.ndarray, coverage: float):
+        """(item, covered words, tiles) of the items that a document leaks; ``where``: its
+        seeds' places."""
         h = rolling(doc, self.seed)[where]
-        low, high = np.searchsorted(self.key, h, side="left"), np.searchsorted(self.key, h, side="right")
-        source = np.repeat(np.arange(len(h)), high - low)
-        entry = np.repeat(low, high - low) + np.arange(len(source)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
-        item, place, at = self.item[entry], self.place[entry], where[source]
-        order = np.lexsort((place, at - place, item))
-        item, place, at = item[order], place[order], at[order]
-        for k in np.unique(item):
-            mine = item == k
-            i, j = place[mine], at[mine]
-            need = coverage * len(self.words[k])
-            if len(np.unique(i)) + (self.seed - 1) * len(i) >= need:
-                covered, tiles = tile(i, j, len(self.words[k]), self.seed)
-                if covered >= need:
-                    yield int(k), covered, tiles
+        order = np.argsort(h, kind="stable")
+        by_hash, places = h[order], where[order]
+        keys = np.unique(h)
+        low, high = np.searchsorted(self.key, keys, side="left"), np.searchsorted(self.key, keys, side="right")
+        shared = np.zeros(len(self.words), np.int64)  # places of each item that start a shared seed
+        ends = np.cumsum(high - low)
+        for a in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
+            b = min(a + PAIRS, int(ends[-1]))
+            k = np.searchsorted(ends, np.arange(a, b), side="right")
+            entry = high[k] - (ends[k] - np.arange(a, b))
+            shared += np.bincount(self.item[entry], minlength=len(shared))
+        for k in np.flatnonzero(shared):
+            size = len(self.words[k])
+            need = coverage * size
+            if self.seed * shared[k] < need:
+                continue
+            own = rolling(self.words[k], self.seed)
+            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            i = np.flatnonzero(keys[at] == own)
+            covers = np.zeros(size + 1, np.int64)
+            np.add.at(covers, i, 1)
+            np.add.at(covers, i + self.seed, -1)
+            if np.count_nonzero(np.cumsum(covers)[:-1]) < need:
+                continue
+            first, last = np.searchsorted(by_hash, own[i], side="left"), np.searchsorted(by_hash, own[i], side="right")
+            times = last - first
+            if times.sum() <= PAIRS:
+                item = np.repeat(i, times)
+                at = places[np.repeat(first - (np.cumsum(times) - times), times) + np.arange(len(item))]
+                by = np.lexsort((item, at - item))
+                covered, tiles = tile(item[by], at[by], size, self.seed)
+            else:
+                covered, tiles = tile_windows(self.words[k], doc, self.seed)
+            if covered >= need:
+                yield int(k), covered, tiles
+
+
+def windows(h: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every run of ``size`` values, by doubling."""
+    n, out = 1, mix(h)
+    while 2 * n <= size:
+        out = joined(out[:-n], out[n:])
+        n *= 2
+    return joined(out[: len(h) - size + 1], out[size - n : len(h) - n + 1]) if size > n else out
+
+
+def joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(x * np.uint64(0x9E3779B97F4A7C15) + y, 3)
+
+
+def tile_windows(item: np.ndarray, doc: np.ndarray, seed: int) -> tuple[int, int]:
+    """Greedy tiling of two sequences of words, in memory of their lengths: (covered
+    words, tiles).  The tiles are those of ``tile``."""
+    used_item, used_doc, covered, tiles = np.zeros(len(item), bool), np.zeros(len(doc), bool), 0, 0
+
+    def free(h: np.ndarray, used: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, hashes) of the unmarked windows of n words."""
+        marked = np.concatenate([[0], np.cumsum(used)])
+        at = np.flatnonzero(marked[n:] == marked[:-n])
+        return at, windows(h, n)[at]
+
+    def shared(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        (i, x), (j, y) = free(item, used_item, n), free(doc, used_doc, n)
+        both = np.intersect1d(x, y)
+        x_in, y_in = np.isin(x, both), np.isin(y, both)
+        return i[x_in], x[x_in], j[y_in], y[y_in]
+
+    top = min(len(item), len(doc))
+    while top >= seed:
+        low, high = seed - 1, top  # the greatest length at which a window is shared
+        while low < high:
+            n = (low + high + 1) // 2
+            low, high = (n, high) if len(shared(n)[0]) else (low, n - 1)
+        if low < seed:
+            break
+        i, x, j, y = shared(low)
+        order = np.argsort(y, kind="stable")
+        y, j = y[order], j[order]
+        begin, end = dict(zip(*(v.tolist() for v in np.unique(y, return_index=True)), strict=True)), {}
+        for place, key in zip(i.tolist(), x.tolist(), strict=True):
+            if used_item[place : place + low].any():
+                continue
+            k = end.get(key, begin[key])
+            while k < len(y) and y[k] == key and (used_doc[j[k]] or used_doc[j[k] + low - 1] or not np.array_equal(item[place : place + low], doc[j[k] : j[k] + low])):
+                k += 1  # marks are of at least this length, so a window's ends tell
+            end[key] = k
+            if k < len(y) and y[k] == key:
+                used_item[place : place + low] = used_doc[j[k] : j[k] + low] = True
+                covered, tiles = covered + low, tiles + 1
+        top = low - 1
+    return covered, tiles
 
 
 def tile(i: np.ndarray, j: np.ndarray, size: int, seed: int) -> tuple[int, int]:

@@ -8,8 +8,10 @@ filter of the listed starts passes possible hits to an exact hash join, which re
 false positives; the longest rule wins.  A URL without a listed start is allowed.
 
 Only distinct (host, path) pairs are shuffled, after map-side combining, so a hot host
-costs no more than its distinct paths.  Filter, rules and verdicts are broadcast behind
-counts; beyond them the same joins shuffle.
+costs no more than its distinct paths.  URLs without a host take part in no join.  Filter,
+rules and the verdicts of pairs that a rule fits are counted and broadcast up to
+``BROADCAST_ROWS``; beyond that the rules' join shuffles, and URLs meet the verdicts dealt
+out by pair and one of ``SALTS`` parts, so no hot URL meets in one task.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and fits no
 rule; rules of equal length: the longer host, then block; repeated rows are judged each;
@@ -24,10 +26,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from ._common import BROADCAST_ROWS
+from ._common import BROADCAST_ROWS, stored
 
 #: More shapes than this are not listed in the plan: all starts are probed instead.
 MOST_SHAPES = 256
+#: Parts of the URLs of one (host, path), each with its copy of the verdict.
+SALTS = 16
 
 
 def lower_ascii(c: Column) -> Column:
@@ -35,7 +39,7 @@ def lower_ascii(c: Column) -> Column:
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substring({0}, instr({0}, '://') + 3)".format("_url"))).otherwise("")
+    rest = F.when(F.instr(url, "://") > 0, F.substr(url, F.instr(url, "://") + 3)).otherwise("")
     host = F.regexp_extract(rest, r"^[^/?#]*", 0)
     path = F.regexp_extract(F.substring(rest, F.length(host) + 1, F.lit(2**31 - 1)), r"^[^?#]*", 0)
     return F.coalesce(lower_ascii(host), F.lit("")), F.coalesce(path, F.lit(""))
@@ -72,8 +76,15 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     hits = bloom.build(rules, F.col("start"), n).possible(probes, F.col("start"))
     exact = hits.join(F.broadcast(rules) if n <= BROADCAST_ROWS else rules.hint("shuffle_hash"), "start")
     best = F.max(F.struct(F.length("start").alias("size"), F.expr("length(start) - chars").alias("host_size"), "block", "rule"))
-    verdicts = exact.groupBy("host", "path").agg(best.alias("b")).select("host", "path", "b.rule", "b.block")
-    return urls.join(verdicts, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.when(F.col("block"), "block").otherwise("allow").alias("verdict"))
+    verdicts = stored(exact.groupBy("host", "path").agg(best.alias("b")).select("host", "path", "b.rule", "b.block"), "verdicts")
+    hosted = urls.where("host != ''")
+    if verdicts.count() <= BROADCAST_ROWS:
+        judged = hosted.join(F.broadcast(verdicts), ["host", "path"], "left")
+    else:
+        parts = verdicts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        judged = hosted.withColumn("part", F.pmod(F.xxhash64("page_id", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")).join(parts, ["host", "path", "part"], "left")
+    judged = judged.select("page_id", "host", "path", "rule", F.when(F.col("block"), "block").otherwise("allow").alias("verdict"))
+    return judged.unionByName(urls.where("host = ''").select("*", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict")))
 
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
