@@ -312,34 +312,69 @@ def test_packing_takes_the_fullest_combination():
         assert placed == counts and all(sum(c) <= 60 for c, _ in plan)
 
 
-def test_token_counts(spark, docs, none, rows):
+def segmented(scores, word):
+    """(tokens, pieces) of the best segmentation, by trying all pieces at all places."""
+    worst = min(scores.values()) - 10
+    text, state = token_counts.MARK + word.decode(), [(0.0, 0, ())]
+    longest = max(map(len, scores))
+    for end in range(1, len(text) + 1):
+        ways = []
+        for start in range(max(0, end - longest), end):
+            piece = text[start:end]
+            if piece in scores:
+                ways.append((state[start][0] + scores[piece], -state[start][1] - 1, start, (*state[start][2], piece)))
+            elif len(piece) == 1:
+                ways.append((state[start][0] + worst, -state[start][1] - len(piece.encode()), start, state[start][2]))
+        best = max(ways, key=lambda w: w[:3])
+        state.append((best[0], -best[1], best[3]))
+    return state[-1][1:]
+
+
+def test_token_counts(spark, docs, none, rows, monkeypatch):
     import public_tokenizers
 
     path = public_tokenizers.path(token_counts.VOCABULARY)
-    scores = token_counts.zipf(token_counts.pieces_of(path))
-    worst = min(scores.values()) - 10
+    pieces = token_counts.pieces_of(path)
+    start, used, seen = token_counts.zipf(pieces), collections.Counter(), {}
+    words = collections.Counter(w for _, t in rows + [(6, dict(rows)[6])] * 2 for w in tokens(t))
+    for w, n in words.items():
+        if w not in seen:
+            seen[w] = segmented(start, w)[1] if len(w) < 1000 else None
+        for p in seen[w] or [pieces[k] for k in token_counts.Unigram(start).forward(token_counts.marked(w)) if k >= 0]:
+            used[p] += n
+    whole = math.log(sum(used.values()) + token_counts.ADD * len(pieces))
+    scores = {p: math.log(used[p] + token_counts.ADD) - whole for p in pieces}
+    by_word = {w: segmented(scores, w)[0] for w in words if len(w) < 1000}
+    for together, kept in ((token_counts.TOGETHER, token_counts.KEPT_WORDS), (40, 3)):
+        model = token_counts.Unigram(scores)
+        monkeypatch.setattr(token_counts, "TOGETHER", together)
+        monkeypatch.setattr(token_counts, "KEPT_WORDS", kept)
+        names = list(by_word)
+        for part in (names[:200], names[100:], names):
+            assert model.counts(part).tolist() == [by_word[w] for w in part]
+    monkeypatch.undo()
     got = {r["doc_id"]: (r["n_words"], r["n_tokens"]) for r in token_counts.counted(docs).collect()}
-
-    def best(word):
-        text, state = token_counts.MARK + word.decode(), [(0.0, 0)]
-        for end in range(1, len(text) + 1):
-            ways = []
-            for start in range(end):
-                piece = text[start:end]
-                if piece in scores:
-                    ways.append((state[start][0] - scores[piece], state[start][1] + 1))
-                elif len(piece) == 1:
-                    ways.append((state[start][0] - worst, state[start][1] + len(piece.encode())))
-            state.append(min(ways))
-        return state[-1][1]
-
-    short = [(i, t) for i, t in rows if len(t or "") < 400]
-    for i, t in short:
-        assert got[i] == (len(tokens(t)), sum(map(best, tokens(t)))), t
+    for i, t in rows:
+        if all(w in by_word for w in tokens(t)):
+            assert got[i] == (len(tokens(t)), sum(by_word[w] for w in tokens(t))), t
     assert got[1000][0] == 120
     assert token_counts.counted(none).count() == 0
 
 
+def test_token_counts_of_long_words_are_those_of_the_trie(monkeypatch):
+    rng = random.Random(17)
+    pieces = ["▁", "▁a", "a", "ab", "ba", "aab", "bb", "b", "abab", "▁ba", "é"]
+    scores = {p: math.log((k + 1) / 66) for k, p in enumerate(pieces)}
+    words = ["".join(rng.choice("abéc\0") for _ in range(rng.randrange(1, 9 if k % 2 else 300))).encode() for k in range(60)]
+    words = list(dict.fromkeys(words))
+    want = [segmented(scores, w)[0] for w in words]
+    for longest in (0, 64, 1000):  # all without the trie, some, none
+        monkeypatch.setattr(token_counts, "LONGEST", longest)
+        assert token_counts.Unigram(scores).counts(words).tolist() == want
+        used = collections.Counter(p for k, w in enumerate(words) for p in segmented(scores, w)[1] for _ in range(k))
+        assert token_counts.Unigram(scores).used(words, np.arange(len(words))).tolist() == [used[p] for p in pieces]
+
+
 def test_lm_scores(spark, docs, none, rows):
     got = {r["doc_id"]: r for r in lm_score.scored(docs, n_words=100).collect()}
     held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 10 == 0}
