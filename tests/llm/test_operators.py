@@ -236,6 +236,8 @@ def test_jaccard_with_salted_lists_and_blocks(spark, monkeypatch):
     """A large group of edited copies whose mutual similarity is around the threshold."""
     monkeypatch.setattr(jaccard_join, "HOT", 10)
     monkeypatch.setattr(jaccard_join, "BLOCK_LINKS", 30)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "STAR_ROUNDS", 0)
     rng = random.Random(9)
     base = prose(rng, 90)
     rows = [(k, edited(rng, base, rng.randrange(6))) for k in range(70)]
@@ -256,6 +258,18 @@ def test_prefix_bounds_are_lossless():
             assert jaccard_join.passes((x, [jaccard_join.prefix(x, levels, k) for k in (2, 3)]), (y, [jaccard_join.prefix(y, levels, k) for k in (2, 3)]), 75)
 
 
+def test_cells_bound_what_sets_share():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        x = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 700)), dtype=np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < rng.random()], rng.integers(0, 2**63, int(rng.integers(1, 500)), dtype=np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        most = jaccard_join.most_shared(*(jaccard_join.counts_of(jaccard_join.cells_of(s)) for s in (x, y)))
+        assert both <= most <= min(len(x), len(y)) or most >= 16_384
+    full = np.arange(64, 64 * 40, 64).astype(np.uint64)  # all in one cell
+    assert jaccard_join.most_shared(*[jaccard_join.counts_of(jaccard_join.cells_of(full))] * 2) >= len(full)
+
+
 def test_packing(spark, docs, none, rows):
     from tokenizers import Tokenizer
 

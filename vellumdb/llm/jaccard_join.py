@@ -9,7 +9,7 @@ before its sets are compared.  The orders put rare tokens first: frequencies com
 counting sketch of fixed size, summed over all documents, and ties are broken by a hash
 that differs between the orders.  Any common order is lossless; the sketch only decides
 how short the lists are.  Before texts move, a pair's overlap is bounded from above by
-how many tokens each set has in each of ``PARTS`` ranges of hashes.
+how many tokens each set has in each of about as many cells as it has tokens.
 
 Components need no list of all pairs:
 
@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, U64, as_array, keep_ids, lower_ascii, map_arrow, mix, rolling, stored, text_slices, word_hashes, words
+from ._common import BROADCAST_ROWS, U64, as_array, discard, fresh, lower_ascii, map_arrow, mix, rolling, stored, text_slices, word_hashes, words
 
 N = 5
 #: Similarity in hundredths.
@@ -54,8 +54,10 @@ HOT = 50_000
 #: Texts compared with one copy of a first document.
 GROUP = 256
 STAR_ROUNDS = 2
-#: Ranges of token hashes whose sizes bound an overlap.
-PARTS = 256
+#: Documents of a token in one block of its list.
+BLOCK = 512
+#: A cell's largest count; cells that reach it bound nothing.
+FULL = 15
 #: Links that one task unites.
 BLOCK_LINKS = 500_000
 
@@ -95,37 +97,72 @@ def prefix(tokens: np.ndarray, levels: np.ndarray, order: int, similar: int = SI
     return tokens[np.lexsort((key, level))[:p]]
 
 
-def parts_of(tokens: np.ndarray) -> bytes:
-    counts = np.bincount((tokens >> U64(32)).astype(np.int64) % PARTS, minlength=PARTS)
-    return np.minimum(counts, 65_535).astype("<u2").tobytes()
+def cells_of(tokens: np.ndarray) -> bytes:
+    """How many tokens fall in each of a power of two of cells, two counts to a byte."""
+    size = 1 << max(6, (len(tokens) - 1).bit_length())
+    counts = np.minimum(np.bincount((tokens & U64(size - 1)).astype(np.int64), minlength=size), FULL).astype(np.uint8)
+    return (counts[0::2] | counts[1::2] << 4).tobytes()
+
+
+def counts_of(cells: bytes) -> np.ndarray:
+    packed = np.frombuffer(cells, np.uint8)
+    out = np.empty(2 * len(packed), np.int16)
+    out[0::2], out[1::2] = packed & 15, packed >> 4
+    out[out == FULL] = 16_384
+    return out
+
+
+def folded(counts: np.ndarray, size: int) -> np.ndarray:
+    while len(counts) > size:
+        counts = np.minimum(counts[: len(counts) // 2] + counts[len(counts) // 2 :], 16_384)
+    return counts
+
+
+def most_shared(x: np.ndarray, y: np.ndarray) -> int:
+    """An upper bound of the tokens that two sets share, from the counts in their cells."""
+    size = min(len(x), len(y))
+    return int(np.minimum(folded(x, size), folded(y, size)).sum(dtype=np.int64))
+
+
+def dealt(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """a, salt, kind, doc_id and ``columns`` of ``rows``, sorted: each first document (kind
+    0) of pairs (a, b) before those that it is compared with, ``GROUP`` at a time."""
+    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("copies"))
+    members = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("b").alias("doc_id"))
+    leads = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("a").alias("doc_id"))
+    roles = members.unionByName(leads)
+    few = 2 * pairs.count() <= BROADCAST_ROWS
+    return rows.select("doc_id", *columns).join(F.broadcast(roles) if few else roles, "doc_id").select("a", "salt", "kind", "doc_id", *columns).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind", "doc_id")
 
 
 def bounded(pairs: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """The (a, b) whose sets' sizes by range allow the overlap that they need.  ``sets``:
-    doc_id, n, parts."""
-    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "compared")
-    some = keep_ids(sets, ids, "doc_id")
-    of = lambda c: some.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("parts").alias(f"parts_{c}"))
+    """The (a, b) whose cells allow the overlap that they need.  ``sets``: doc_id, n,
+    cells."""
 
     def run(batches):
+        lead, at = None, None
         for batch in batches:
-            m, n = (np.asarray(batch.column(k)).astype(np.int64) for k in (2, 4))
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, PARTS) for k in (3, 5))
-            most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-            most[(x == 65_535).any(axis=1)] = np.iinfo(np.int64).max  # counts end there
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(most >= needed(m, n, similar)))
+            left, right = [], []
+            for a, salt, kind, b, n, cells in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                counts = counts_of(cells)
+                if kind == 0:
+                    lead, at = (n, counts), (a, salt)
+                elif at == (a, salt) and most_shared(lead[1], counts) >= needed(lead[0], n, similar):
+                    left.append(a)
+                    right.append(b)
+            kind = batch.column(0).type
+            yield pa.RecordBatch.from_arrays([pa.array(left, kind), pa.array(right, kind)], names=["a", "b"])
 
-    rows = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "parts_a", "n_b", "parts_b")
-    return map_arrow(rows, run, pairs.schema)
+    return map_arrow(dealt(pairs, sets, ["n", "cells"]), run, pairs.schema)
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """doc_id, n, f1, f2, parts of each document (a set's size, its 128-bit fingerprint
-    and its tokens by range), and a task's part of the sketch in the rows that have a
+    """doc_id, n, f1, f2, cells of each document (a set's size, its 128-bit fingerprint
+    and its tokens by cell), and a task's part of the sketch in the rows that have a
     chunk."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     width = (1 << SKETCH_BITS) // SKETCH_CHUNKS
-    schema = f"doc_id {id_type}, n long, f1 long, f2 long, parts binary, chunk int, counts binary"
+    schema = f"doc_id {id_type}, n long, f1 long, f2 long, cells binary, chunk int, counts binary"
 
     def run(batches):
         counts, kind = np.zeros(1 << SKETCH_BITS, np.uint32), None
@@ -138,11 +175,11 @@ def prints(docs: DataFrame) -> DataFrame:
             for s in sets:
                 np.add.at(counts, (s >> U64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
             none = pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1), pa.array(f2), pa.array([parts_of(s) for s in sets], pa.binary()), *none], names=["doc_id", "n", "f1", "f2", "parts", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1), pa.array(f2), pa.array([cells_of(s) for s in sets], pa.binary()), *none], names=["doc_id", "n", "f1", "f2", "cells", "chunk", "counts"])
         if kind is not None:
             blobs = [zlib.compress(counts[k * width : (k + 1) * width].astype("<u4").tobytes(), 1) for k in range(SKETCH_CHUNKS)]
             empty = [pa.nulls(SKETCH_CHUNKS, t) for t in (kind, pa.int64(), pa.int64(), pa.int64(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([*empty, pa.array(range(SKETCH_CHUNKS), pa.int32()), pa.array(blobs, pa.binary())], names=["doc_id", "n", "f1", "f2", "parts", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([*empty, pa.array(range(SKETCH_CHUNKS), pa.int32()), pa.array(blobs, pa.binary())], names=["doc_id", "n", "f1", "f2", "cells", "chunk", "counts"])
 
     return stored(map_arrow(docs, run, schema), "prints")
 
@@ -209,13 +246,10 @@ def pairs_of(rows: DataFrame, x: str, y: str) -> DataFrame:
 def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, counts: np.ndarray, similar: int = SIMILAR) -> DataFrame:
     """The (a, b) among pairs that pass the other filters and whose sets are similar."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    pairs = stored(bounded(stored(pairs.distinct(), "candidates"), sets, similar), "pairs")
-    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "compared")
-    texts = keep_ids(docs, ids, "doc_id")
-    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("copies"))
-    members = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("b").alias("doc_id"))
-    leads = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("a").alias("doc_id"))
-    rows = members.unionByName(leads).join(texts, "doc_id").select("a", "salt", "kind", "doc_id", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "kind", "doc_id")
+    some = stored(pairs.distinct(), "candidates")
+    pairs = stored(bounded(some, sets, similar), "pairs")
+    discard(some)
+    rows = dealt(pairs, docs, ["text"])
     sent = docs.sparkSession.sparkContext.broadcast(levels_of(counts))
 
     def run(batches):
@@ -233,7 +267,10 @@ def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, counts: np.ndar
             kind = batch.column(0).type
             yield pa.RecordBatch.from_arrays([pa.array(left, kind), pa.array(right, kind)], names=["a", "b"])
 
-    return stored(map_arrow(rows, run, f"a {id_type}, b {id_type}"), "links")
+    found = stored(map_arrow(rows, run, f"a {id_type}, b {id_type}"), "links")
+    sent.destroy()
+    discard(pairs)
+    return found
 
 
 def passes(one: tuple, two: tuple, similar: int) -> bool:
@@ -287,7 +324,8 @@ def connected(links: DataFrame) -> DataFrame:
         # small star: u and its smaller neighbours move to the smallest
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        edges = stored(small, "edges")
+        edges, old = stored(small, "edges"), edges
+        discard(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -295,6 +333,58 @@ def connected(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("comp"))
 
 
+def all_pairs(rest: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """(a, b) of every two documents of a token in different components, unless a star
+    has compared them or their places, sizes or cells rule similarity out.  ``rest``:
+    token, doc, doc_id, comp, lead."""
+    id_type = rest.schema["doc_id"].dataType.simpleString()
+    lists = rest.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = rest.join(lists, "token").select("token", "blocks", F.col("doc.place").alias("place"), F.col("doc.n").alias("n"), "doc_id", "comp", "lead")
+    whole = rows.where("blocks = 1").select("token", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), "place", "n", "doc_id", "comp", "lead", F.lit(None).cast("binary").alias("cells"))
+    long = rows.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).join(sets.select("doc_id", "cells"), "doc_id")
+    long = long.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "place", "n", "doc_id", "comp", "lead", "cells")
+    dealt_out = whole.unionByName(long).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "block", "doc_id")
+
+    def found(rows: list[tuple]) -> tuple[list, list]:
+        i, j = rows[0][1:3]
+        cells = [counts_of(r[9]) if r[9] is not None else None for r in rows]
+        block, place, n = (np.array([r[k] for r in rows]) for k in (3, 4, 5))
+        comps = {c: k for k, c in enumerate(dict.fromkeys(r[7] for r in rows))}
+        comp = np.array([comps[r[7]] for r in rows])
+        open_ = np.array([r[8] is None or r[6] != r[8] for r in rows])
+        left, right = [], []
+        for x in range(len(rows)):
+            if not open_[x] or block[x] != i:
+                continue
+            y = np.arange(x + 1, len(rows)) if i == j else np.flatnonzero(block == j)
+            o = needed(n[x], n[y], similar)
+            y = y[open_[y] & (comp[y] != comp[x]) & (place[x] + o <= n[x]) & (place[y] + o <= n[y])]
+            for k in y.tolist():
+                if cells[x] is None or most_shared(cells[x], cells[k]) >= needed(n[x], n[k], similar):
+                    left.append(rows[x][6])
+                    right.append(rows[k][6])
+        return left, right
+
+    def run(batches):
+        held, kind = [], None
+        for batch in batches:
+            kind = batch.column(6).type
+            left, right = [], []
+            for row in zip(*(batch.column(k).to_pylist() for k in range(10)), strict=True):
+                if held and held[0][:3] != row[:3]:
+                    a, b = found(held)
+                    left += a
+                    right += b
+                    held = []
+                held.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(left, kind), pa.array(right, kind)], names=["a", "b"])
+        if held:
+            left, right = found(held)
+            yield pa.RecordBatch.from_arrays([pa.array(left, kind), pa.array(right, kind)], names=["a", "b"])
+
+    return map_arrow(dealt_out, run, f"a {id_type}, b {id_type}")
+
+
 def joined(docs: DataFrame, sets: DataFrame, counts: np.ndarray) -> DataFrame:
     """doc_id, comp of the linked ones among documents with distinct sets."""
     n_docs = sets.count()
@@ -306,32 +396,33 @@ def joined(docs: DataFrame, sets: DataFrame, counts: np.ndarray) -> DataFrame:
     comps = connected(links)
     # a star has settled lists of two documents
     rest = rows.where("rows > 2 OR salt >= 0").select("token", "doc", F.col("doc.doc_id").alias("doc_id"), F.when(F.col("salt") < 0, F.col("lead.doc_id")).alias("lead"))
+    old = rows
     some = max(8 * n_docs, 100_000)
     for round_no in range(STAR_ROUNDS + 1):
         rest = rest.join(comps, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
         mixed = rest.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token")
         rest = stored(rest.join(mixed, "token", "left_semi"), "rest")
+        discard(old)
         by_comp = rest.groupBy("token", "comp").agg(F.count("*").cast("double").alias("c")).groupBy("token").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s"))
         left = by_comp.agg(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2)).first()[0]
         if left is None:
             return comps
         last = left <= some or round_no == STAR_ROUNDS
-        if last:  # all pairs of different components that no star has compared
-            x = rest.select("token", F.col("doc").alias("x"), F.col("comp").alias("comp_x"), "lead")
-            y = rest.select("token", F.col("doc").alias("y"), F.col("comp").alias("comp_y"))
-            new = F.expr("x.doc_id < y.doc_id AND comp_x != comp_y AND NOT (x.doc_id <=> lead) AND NOT (y.doc_id <=> lead)")
-            more = pairs_of(x.join(y, (x["token"] == y["token"]) & new & may_fit("x", "y")), "x", "y")
+        old = rest
+        if last:
+            more = all_pairs(rest, sets)
         else:
             # the one that has the token earliest, once the compared ones are gone
             chosen = rest.where("NOT (doc_id <=> lead)").groupBy("token").agg(F.min(F.struct("doc", "comp")).alias("f"))
             with_first = rest.join(chosen.select("token", F.col("f.doc").alias("first"), F.col("f.comp").alias("first_comp")), "token")
             more = pairs_of(with_first.where("comp != first_comp"), "first", "doc")
-            rest = stored(with_first.where("NOT (doc_id <=> lead) AND doc_id != first.doc_id").select("token", "doc", "doc_id", F.lit(None).cast(rest.schema["doc_id"].dataType).alias("lead")), "rest")
+            rest = with_first.where("NOT (doc_id <=> lead) AND doc_id != first.doc_id").select("token", "doc", "doc_id", F.lit(None).cast(rest.schema["doc_id"].dataType).alias("lead"))
         found = verified(docs, more, sets, counts)
         if not found.isEmpty():
             links = stored(links.unionByName(found), "links")
             comps = connected(links)
         if last:
+            discard(old)
             return comps
     return comps
 
@@ -345,12 +436,12 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id, n_shingles, component_id of every document."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = prints(docs)
-    own = rows.where("chunk IS NULL").drop("chunk", "counts", "parts")
+    own = rows.where("chunk IS NULL").drop("chunk", "counts", "cells")
     reps = stored(own.where("n > 0").join(classes(rows), ["f1", "f2", "n"]).select("doc_id", "n", "rep"), "classes")
     copies = reps.where("doc_id IS NULL OR doc_id != rep").select("doc_id").distinct()
     few = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     distinct = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").join(F.broadcast(copies) if few else copies, "doc_id", "left_anti")
-    own_sets = rows.where("chunk IS NULL AND n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "parts")
+    own_sets = rows.where("chunk IS NULL AND n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "cells")
     comps = joined(distinct, own_sets, sketch(rows))
     linked = reps.select("doc_id", "n", F.col("rep")).join(comps.select(F.col("doc_id").alias("rep"), "comp"), "rep", "left").select("doc_id", "n", F.coalesce("comp", "rep").alias("component_id"))
     alone = own.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
@@ -361,7 +452,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that are the smallest id of their component;
     rows without an id stay unless their class has one."""
-    made = components(docs, id_col, text_col)
-    gone = stored(made.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    made, gone_id = components(docs, id_col, text_col), fresh(docs, "gone")
+    gone = stored(made.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(gone_id)).distinct(), "gone")
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == gone[gone_id], "left_anti")
