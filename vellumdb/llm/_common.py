@@ -184,7 +184,7 @@ def ship(spark: SparkSession) -> None:
     import shutil
     import sys
 
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * SLICE_BYTES))  # bounds a worker's memory
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE_BYTES))  # bounds a worker's memory
     context = spark.sparkContext
     if getattr(context, "_vellum_shipped", False):
         return

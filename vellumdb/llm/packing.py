@@ -56,7 +56,7 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.break_id = self.tokenizer.token_to_id(BREAK)
         self.at: dict[bytes, int] = {}
-        self.flat, self.bounds, self.extra = np.empty(0, np.uint32), np.zeros(1, np.int64), []
+        self.flat, self.bounds, self.extra = np.empty(0, np.uint32), np.zeros(1, np.int32), []
 
     def ids(self, names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, count of each word)."""
@@ -88,12 +88,12 @@ class WordTokens:
             made.append(ids)
             sizes.append(count)
         flat = np.concatenate(made)
-        bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.concatenate(sizes))]) if sizes else self.bounds
+        bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.concatenate(sizes))]).astype(np.int32) if sizes else self.bounds
         there = dict(zip(lacking, range(kept, kept + len(lacking)), strict=True))
         parts = np.fromiter((there[x] if x in there else self.at[x] for pair in zip(cores, marks, strict=True) for x in pair), np.int64, 2 * len(new))
         size = np.diff(bounds)[parts]
         self.flat = np.concatenate([self.flat, flat[spread(bounds[parts], size)]])
-        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(size.reshape(-1, 2).sum(axis=1))])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(size.reshape(-1, 2).sum(axis=1))]).astype(np.int32)
         self.at.update(zip(new, range(kept, kept + len(new)), strict=True))
         self.extra = new[max(0, CACHE_WORDS - kept) :]
 
@@ -108,20 +108,19 @@ class WordTokens:
             return np.zeros(n, np.uint32), np.arange(n + 1)
         self.learn(names)
         at = self.at
-        place = np.fromiter((at[x] for x in names), np.int64, len(names))[codes]
-        sizes = self.bounds[place + 1] - self.bounds[place]
+        place = np.fromiter((at[x] for x in names), np.int32, len(names))
+        first, sizes = self.bounds[place][codes], np.diff(self.bounds)[place][codes]
         by_text = np.concatenate([[0], np.cumsum(sizes)])[offsets]
-        out = np.zeros(by_text[-1] + n, dtype=np.uint32)
-        closing = np.zeros(len(out), bool)
-        closing[by_text[1:] + np.arange(n)] = True
-        out[~closing] = self.flat[spread(self.bounds[place], sizes)]
-        return out, by_text + np.arange(n + 1)
+        ids = self.flat[spread(first, sizes)]
+        return np.insert(ids, by_text[1:], 0), by_text + np.arange(n + 1)
 
 
 def spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Indices of consecutive ranges, one after the other."""
-    ends = np.cumsum(sizes)
-    return np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+    """Indices of consecutive ranges, one after the other, in 32 bits."""
+    ends = np.cumsum(sizes, dtype=np.int32)
+    out = np.repeat((first - (ends - sizes)).astype(np.int32), sizes)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
 
 
 def parted(word: bytes) -> tuple[bytes, bytes]:
@@ -148,7 +147,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: i
         task, seen = TaskContext.get().partitionId(), np.zeros(size + 1, dtype=np.int64)
         for batch in batches:
             texts = as_array(batch.column(1))
-            for a, b in text_slices(texts):
+            for a, b in text_slices(texts, 2 << 20):
                 ids, offsets = encoder.encode(texts.slice(a, b - a))
                 total = np.diff(offsets)
                 pieces = -(-total // size)
