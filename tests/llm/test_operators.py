@@ -436,10 +436,10 @@ def test_lm_words_within_a_class_depend_on_the_words_before():
         assert logs(w) == pytest.approx(table[model.classes[w]], abs=1e-5)
     # word 9 after word 3, word 30 after word 4: all of one class
     assert len({int(model.classes[x]) for x in (3, 4, 9, 30)}) == 1
-    memory = np.zeros_like(model.branch_w)
+    memory = np.zeros_like(model.node_w)
     one, target = np.tile([3, 4], 50), np.tile([9, 30], 50)
     for _ in range(30):
-        model.branch_step(lm_score.features(one, np.full(100, 7)), target, one, memory)
+        model.node_step(lm_score.features(one, np.full(100, 7)), target, one, memory)
     p, q = np.exp(logs(3)), np.exp(logs(4))
     assert p[9] > 0.5 > 0.2 > q[9] and q[30] > 0.5 > 0.2 > p[30]
     for x in (p, q):

@@ -3,16 +3,18 @@
 Tokens are lower-cased words and one end for each text.  The model factors a token's
 probability by class: a softmax over classes whose features are hashed n-grams of the
 preceding tokens (the last one, the last two) and a skip feature (the one before the
-last), then the token within its class by a hierarchical softmax: the class's words are
-the leaves of a binary tree, and each branching on the way to a word is a two-way softmax
-over the same three features, hashed together with the branching.  Its start, where all
-weights are zero, are the smoothed counts of the words after the preceding token's class.
+last), then the token within its class by nested classes: a class's words are the leaves
+of a tree whose nodes have up to ``WIDE`` children, frequent words nearer to the top, and
+each node on the way to a word is a softmax over its children, with the last token and
+the skip feature, hashed together with the node.  Its start, where all weights are zero,
+are the smoothed counts of the words after the preceding token's class.
 
 * Counts of all training tokens are one distributed aggregation of 64-bit word hashes.
 * The ``WORDS`` most frequent are the model's own; others form the rare class, inside
-  which a token's share is its smoothed count's.  Counting which frequent tokens precede
-  each word, over all training texts, places words in classes (k-means on the driver
-  over that table of fixed size).
+  which a token's share is its smoothed count's.  A second pass over the texts writes
+  each token's place among the words, two bytes, which is all that later passes read; it
+  also counts which frequent tokens precede each word, over all training texts, which
+  places words in classes (k-means on the driver over that table of fixed size).
 * The counts of (preceding class, word) pairs are summed over all training texts.
 * Training is distributed: every task takes gradient steps (AdaGrad) for both factors
   over all of its training tokens, from the shared start; the changes, weighted by
@@ -34,20 +36,23 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import U64, as_array, crc_text, lower_ascii, map_arrow, mix, stored, text_slices, word_hashes, words
 
-#: Frequent words with places of their own in the model.
-WORDS = 65_536
+#: Frequent words with places of their own in the model (a place has two bytes).
+WORDS = 65_535
+#: Rows of weights for the classes, and for the nodes inside them as a power of two.
 FEATURES = 1 << 14
-#: Weights of the branchings inside classes, as a power of two.
-BRANCH_BITS = 21
+NODE_BITS = 17
+#: Most children of a node.
+WIDE = 16
 ANCHORS = 32
-CLUSTERS = 12
-BATCH = 32_768
+CLUSTERS = 15
+BATCH = 65_536
 RATE = 0.3
 #: Hash of the end token, which no word has (words' hashes are made odd).
 END = np.uint64(2)
@@ -165,26 +170,62 @@ def feature_rows(hashes: np.ndarray) -> np.ndarray:
     return (hashes % U64(FEATURES)).astype(np.int64)
 
 
-def anchors_of(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """How often each of the most frequent words is one of the two before a word."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    k, parts = vocabulary.size, 16
+ROWS = "row long, doc_id {}, held_out boolean, n_tokens long, n_known long, base double, rare array<long>, places binary, block int, data binary"
+
+
+def token_rows(docs: DataFrame, vocabulary: Vocabulary, logs: np.ndarray) -> DataFrame:
+    """A row for each text: its tokens' places, the sum of ``logs`` by place, the hashes
+    of rare tokens; and in the rows that have a block, a task's part of how often each
+    of the most frequent words is one of the two before a word."""
+    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, logs))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    k, names = vocabulary.size, ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "rare", "places", "block", "data"]
 
     def run(batches):
-        v, counts = sent.value, np.zeros((k + 1) * ANCHORS, np.float32)
-        for offsets, h in training_slices(batches):
-            places = v.places(h)
-            for near in before(offsets, places, k + 1):
-                some = near < ANCHORS
-                counts += np.bincount(places[some] * ANCHORS + near[some], minlength=len(counts)).astype(np.float32)
-        yield block_rows(np.array_split(counts, parts))
+        v, logs = sent.value
+        near, task, row, kind = np.zeros((k + 1) * ANCHORS, np.float32), TaskContext.get().partitionId() << 40, 0, None
+        for batch in batches:
+            ids, texts = as_array(batch.column(0)), as_array(batch.column(1))
+            kind = ids.type
+            for a, b in text_slices(texts):
+                offsets, h = encoded(texts.slice(a, b - a))
+                places = v.places(h)
+                part = ids.slice(a, b - a)
+                held = held_out(part.to_pylist())
+                train = ~np.repeat(held, np.diff(offsets))
+                for x in before(offsets, places, k + 1):
+                    some = (x < ANCHORS) & train
+                    near += np.bincount(places[some] * ANCHORS + x[some], minlength=len(near)).astype(np.float32)
+                known = places < k
+                cold = np.flatnonzero(~known)
+                raw = memoryview(places.astype("<u2").tobytes())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(task + row + np.arange(b - a)), part, pa.array(held), pa.array(np.diff(offsets)), pa.array(np.add.reduceat(known.astype(np.int64), offsets[:-1])),
+                    pa.array(np.add.reduceat(logs[places], offsets[:-1])), pa.ListArray.from_arrays(pa.array(np.searchsorted(cold, offsets), pa.int32()), pa.array(h[cold].view(np.int64))),
+                    pa.array([bytes(raw[2 * x : 2 * y]) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary()), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary()),
+                ], names=names)
+                row += b - a
+        if kind is not None:
+            blocks = block_rows(np.array_split(near, PARTS))
+            n = blocks.num_rows
+            empty = [pa.nulls(n, t) for t in (pa.int64(), kind, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*empty, *blocks.columns], names=names)
+
+    out = stored(map_arrow(docs, run, ROWS.format(id_type)), "tokens")
+    sent.destroy()
+    return out
+
 
-    return np.concatenate(summed(map_arrow(docs, run, "block int, data binary"), parts)).reshape(k + 1, ANCHORS)[:k] if k else np.zeros((0, ANCHORS))
+def place_slices(blobs: pa.Array):
+    """(first row, last row, offsets, places) of texts' places, some at a time."""
+    for a, b in text_slices(blobs):
+        part = blobs.slice(a, b - a)
+        sizes = np.asarray(pc.binary_length(part)).astype(np.int64) // 2
+        yield a, b, np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(b"".join(part.to_pylist()), "<u2").astype(np.int64)
 
 
 def classes_of(counts: np.ndarray, near: np.ndarray, clusters: int = CLUSTERS) -> tuple[np.ndarray, int]:
-    """(class of each word, number of classes): k-means of the anchors' shares, each
-    cluster cut in two halves of about equal frequency."""
+    """(class of each word, number of classes): k-means of the anchors' shares."""
     k = len(counts)
     if not k:
         return np.empty(0, np.int64), 0
@@ -197,21 +238,16 @@ def classes_of(counts: np.ndarray, near: np.ndarray, clusters: int = CLUSTERS) -
             if mine.any():
                 m = (share[mine] * counts[mine, None]).sum(axis=0)
                 centre[c] = m / np.linalg.norm(m)
-    out = np.empty(k, np.int64)
-    for c in range(clusters):
-        mine = np.flatnonzero(group == c)
-        total = np.cumsum(counts[mine])
-        out[mine] = 2 * c + (total * 2 > (total[-1] if len(mine) else 0))
-    used, out = np.unique(out, return_inverse=True)
+    used, out = np.unique(group, return_inverse=True)
     return out, len(used)
 
 
 class Tree:
-    """Binary trees over the words of each class, every branching parting an interval of
-    the words in falling frequency where its counts are about halved.  ``children``: two
-    for each branching, a word or (number of words + branching); ``levels``: how many
-    branchings each depth has.  ``begin``, ``length``, ``nodes``, ``signs``: the branchings
-    from a word's class to it, 1 for the first side and -1 for the second."""
+    """Trees over the words of each class.  A node parts an interval of the class's words,
+    in falling frequency, where its counts come to equal shares, so frequent words are
+    children of their own.  ``children``: of each node a word, (number of words + node) or
+    -1; ``levels``: how many nodes each depth has; ``nodes``, ``branches``: of each depth
+    and word the node on the way to it, or -1, and its child there."""
 
     def __init__(self, classes: np.ndarray, counts: np.ndarray):
         k = len(classes)
@@ -221,54 +257,53 @@ class Tree:
         hi = np.append(lo[1:], k)
         lo, hi = lo[hi - lo > 1], hi[hi - lo > 1]
         first, self.levels, children = 0, [], []
-        parent, side = np.full(2 * k + 1, -1), np.zeros(2 * k + 1, np.int8)
+        parent, side = np.full(2 * k + 1, -1), np.zeros(2 * k + 1, np.int64)
+        steps = np.arange(WIDE + 1)
         while len(lo):
             n = len(lo)
-            mid = np.clip(np.searchsorted(total, (total[lo] + total[hi]) / 2), lo + 1, hi - 1)
-            a, b = np.stack([lo, mid], axis=1).ravel(), np.stack([mid, hi], axis=1).ravel()
+            share = total[lo][:, None] + (total[hi] - total[lo])[:, None] * steps / WIDE
+            cut = np.clip(np.searchsorted(total, share), lo[:, None] + steps, hi[:, None] - WIDE + steps)
+            cut = np.maximum.accumulate(cut, axis=1)
+            small = hi - lo <= WIDE
+            cut[small] = np.minimum(lo[small][:, None] + steps, hi[small][:, None])
+            cut[:, -1] = hi
+            a, b = cut[:, :-1].ravel(), cut[:, 1:].ravel()
             inner = b - a > 1
-            child = np.where(inner, k + first + n + np.cumsum(inner) - 1, order[a])
-            parent[child], side[child] = np.repeat(np.arange(first, first + n), 2), np.tile([1, -1], n)
-            children.append(child.reshape(n, 2))
+            child = np.where(inner, k + first + n + np.cumsum(inner) - 1, np.where(b > a, order[np.minimum(a, k - 1)], -1))
+            there = child >= 0
+            parent[child[there]], side[child[there]] = np.repeat(np.arange(first, first + n), WIDE)[there], np.tile(np.arange(WIDE), n)[there]
+            children.append(child.reshape(n, WIDE))
             self.levels.append(n)
             first, lo, hi = first + n, a[inner], b[inner]
         self.size, self.words = first, k
-        self.children = np.concatenate(children) if children else np.zeros((0, 2), np.int64)
-        at, word, steps = np.arange(k), np.arange(k), []
+        self.children = np.concatenate(children) if children else np.zeros((0, WIDE), np.int64)
+        depth = len(self.levels)
+        self.nodes, self.branches = np.full((depth, k + 1), -1, np.int32), np.zeros((depth, k + 1), np.int64)  # none for the rare class's slot
+        level = np.repeat(np.arange(depth), self.levels)
+        at, word = np.arange(k), np.arange(k)
         while len(at := at[some := parent[at] >= 0]):
             word = word[some]
-            steps.append((word, parent[at], side[at]))
-            at = k + parent[at]
-        of, nodes, signs = (np.concatenate(x) for x in zip(*steps, strict=True)) if steps else (np.zeros(0, np.int64),) * 3
-        by = np.argsort(of, kind="stable")
-        self.nodes, self.signs = nodes[by].astype(np.int32), signs[by].astype(np.float32)
-        self.length = np.bincount(of, minlength=k + 1)  # none for the rare class's slot
-        self.begin = np.cumsum(self.length) - self.length
+            up = parent[at]
+            self.nodes[level[up], word], self.branches[level[up], word] = up, side[at]
+            at = k + up
         self.salts = mix(np.arange(first), 14)
 
-    def paths(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(token, branching, sign) of all branchings on the way to some words."""
-        n = self.length[places]
-        of = np.repeat(np.arange(len(places)), n)
-        at = np.arange(len(of)) + np.repeat(self.begin[places] - (np.cumsum(n) - n), n)
-        return of, self.nodes[at], self.signs[at]
-
     def start(self, logs: np.ndarray) -> np.ndarray:
-        """Log odds of each branching, by which words get the log probabilities ``logs``
-        (preceding class x word)."""
-        mass = np.concatenate([np.exp(logs[:, : self.words]), np.zeros((len(logs), self.size))], axis=1)
+        """Log shares of each node's children, by which words get the log probabilities
+        ``logs`` (preceding class x word)."""
+        mass = np.concatenate([np.exp(logs[:, : self.words]), np.zeros((len(logs), self.size + 1))], axis=1)  # the last for no child
         b = self.size
         for n in reversed(self.levels):
             a = b - n
-            mass[:, self.words + a : self.words + b] = mass[:, self.children[a:b, 0]] + mass[:, self.children[a:b, 1]]
+            mass[:, self.words + a : self.words + b] = mass[:, self.children[a:b]].sum(axis=2)
             b = a
-        return (np.log(mass[:, self.children[:, 0]]) - np.log(mass[:, self.children[:, 1]])).astype(np.float32)
+        return np.log(np.maximum(mass[:, self.children] / np.maximum(mass[:, self.words : self.words + self.size, None], 1e-300), 1e-30)).astype(np.float32)
 
 
 class Model:
     """classes: of words, the rare class last.  w: feature rows x classes; bias.  Within
-    the classes: tree; start: log odds of its branchings for each preceding class (a
-    text's beginning: last); branch_w: hashed weights of features and branchings."""
+    the classes: tree; start: log shares of its nodes' children for each preceding class
+    (a text's beginning: last); node_w: rows of weights of features and nodes."""
 
     def __init__(self, vocabulary: Vocabulary, classes: np.ndarray, n_classes: int, bias: np.ndarray):
         self.vocabulary, self.n_classes = vocabulary, n_classes
@@ -277,34 +312,37 @@ class Model:
         self.w = np.zeros((FEATURES, n_classes + 1), np.float32)
         self.tree: Tree | None = None
         self.start: np.ndarray | None = None
-        self.branch_w = np.zeros(1 << BRANCH_BITS, np.float32)
-
-    def branchings(self, hashes: np.ndarray, places: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(token, sign, log odds, weights' places for each feature) of the branchings."""
-        of, nodes, signs = self.tree.paths(places)
-        z, slots = self.start[self.classes[one[of]], nodes], []
-        salts = self.tree.salts[nodes]
-        with np.errstate(over="ignore"):
-            for k in range(3):
-                slots.append((((hashes[of, k] ^ salts) * U64(0x9E3779B97F4A7C15)) >> U64(64 - BRANCH_BITS)).astype(np.int64))
-                z += self.branch_w[slots[-1]]
-        return of, signs, np.clip(z, -40, 40), slots
-
-    def branch_step(self, hashes: np.ndarray, places: np.ndarray, one: np.ndarray, memory: np.ndarray) -> None:
+        self.node_w = np.zeros((1 << NODE_BITS, WIDE), np.float32)
+
+    def on_the_way(self, hashes: np.ndarray, places: np.ndarray, one: np.ndarray):
+        """For each depth: (tokens, children's logits, the child on the way, the features'
+        rows of weights)."""
+        before = self.classes[one]
+        for nodes, branches in zip(self.tree.nodes, self.tree.branches, strict=True):
+            node = nodes[places]
+            of = np.flatnonzero(node >= 0)
+            if not len(of):
+                continue
+            node = node[of]
+            z = self.start[before[of], node]
+            rows = []
+            with np.errstate(over="ignore"):
+                for k in (0, 2):
+                    rows.append((((hashes[of, k] ^ self.tree.salts[node]) * U64(0x9E3779B97F4A7C15)) >> U64(64 - NODE_BITS)).astype(np.int64))
+                    z += self.node_w[rows[-1]]
+            yield of, np.minimum(z, 60, out=z), branches[places[of]], rows
+
+    def node_step(self, hashes: np.ndarray, places: np.ndarray, one: np.ndarray, memory: np.ndarray) -> None:
         """One gradient step on the log loss of the words within their classes."""
-        _, signs, z, slots = self.branchings(hashes, places, one)
-        g = -signs / (1 + np.exp(signs * z))
-        for at in slots:
-            total = np.bincount(at, weights=g, minlength=len(memory))
-            u = np.flatnonzero(total)
-            total = total[u].astype(np.float32)
-            memory[u] += total * total
-            self.branch_w[u] -= RATE * total / (np.sqrt(memory[u]) + 1)
+        for _, z, branch, rows in list(self.on_the_way(hashes, places, one)):
+            descend(self.node_w, memory, z, branch, rows)
 
     def word_logs(self, hashes: np.ndarray, places: np.ndarray, one: np.ndarray) -> np.ndarray:
         """Log probability of each token within its class."""
-        of, signs, z, _ = self.branchings(hashes, places, one)
-        return -np.bincount(of, weights=np.log1p(np.exp(-signs * z)), minlength=len(places))
+        out = np.zeros(len(places))
+        for of, z, branch, _ in self.on_the_way(hashes, places, one):
+            out[of] += z[np.arange(len(of)), branch] - np.log(np.exp(z).sum(axis=1))
+        return out
 
     def class_logits(self, rows: np.ndarray) -> np.ndarray:
         z = self.w[rows[:, 0]]
@@ -316,17 +354,7 @@ class Model:
 
     def step(self, rows: np.ndarray, target: np.ndarray, memory: np.ndarray) -> None:
         """One gradient step on the log loss of the classes."""
-        g = np.exp(self.class_logits(rows))
-        g /= g.sum(axis=1, keepdims=True)
-        g[np.arange(len(target)), target] -= 1
-        for k in range(3):
-            order = np.argsort(rows[:, k], kind="stable")
-            ids = rows[order, k]
-            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-            total = np.add.reduceat(g[order], first, axis=0)
-            u = ids[first]
-            memory[u] += total * total
-            self.w[u] -= RATE * total / (np.sqrt(memory[u]) + 1)
+        descend(self.w, memory, self.class_logits(rows), target, [rows[:, k] for k in range(rows.shape[1])])
 
     def log10(self, places: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Of each token, for a rare one only its class's part."""
@@ -341,53 +369,82 @@ class Model:
         return out / np.log(10)
 
 
-def pairs_of(docs: DataFrame, model: Model) -> np.ndarray:
+def descend(w: np.ndarray, memory: np.ndarray, z: np.ndarray, target: np.ndarray, rows: list[np.ndarray]) -> None:
+    """One AdaGrad step on the log loss of softmaxes; ``rows``: the rows of ``w`` that
+    each feature adds to the logits ``z``, which are spent."""
+    g = np.exp(z, out=z)
+    g /= g.sum(axis=1, keepdims=True)
+    g[np.arange(len(target)), target] -= 1
+    for ids in rows:
+        order = np.argsort(ids.astype(np.int32))
+        ids = ids[order]
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        total = np.add.reduceat(g[order], first, axis=0)
+        u = ids[first]
+        held = memory[u]
+        held += total * total
+        memory[u] = held
+        np.sqrt(held, out=held)
+        held += 1
+        total *= RATE
+        total /= held
+        w[u] -= total
+
+
+#: Blocks in which tables of parameters and counts are summed.
+PARTS = 16
+
+
+def pairs_of(rows: DataFrame, model: Model) -> np.ndarray:
     """How often each word (rare ones as one) follows each class, a text's beginning last."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.classes))
-    k, n, parts = model.vocabulary.size, model.n_classes + 2, 16
+    sent = rows.sparkSession.sparkContext.broadcast(model.classes)
+    k, n = model.vocabulary.size, model.n_classes + 2
 
     def run(batches):
-        (v, classes), pairs = sent.value, np.zeros(n * (k + 1), np.float32)
-        for offsets, h in training_slices(batches):
-            places = v.places(h)
-            pairs += np.bincount(classes[before(offsets, places, k + 1)[0]] * (k + 1) + places, minlength=len(pairs)).astype(np.float32)
-        yield block_rows(np.array_split(pairs, parts))
+        classes, pairs = sent.value, np.zeros(n * (k + 1), np.float32)
+        for batch in batches:
+            for _, _, offsets, places in place_slices(as_array(batch.column(0))):
+                pairs += np.bincount(classes[before(offsets, places, k + 1)[0]] * (k + 1) + places, minlength=len(pairs)).astype(np.float32)
+        yield block_rows(np.array_split(pairs, PARTS))
 
-    got = np.concatenate(summed(map_arrow(docs, run, "block int, data binary"), parts))
+    got = np.concatenate(summed(map_arrow(rows, run, "block int, data binary"), PARTS))
+    sent.destroy()
     return got.reshape(n, k + 1) if len(got) else np.zeros((n, k + 1))
 
 
-def trained(docs: DataFrame, model: Model, counts: np.ndarray) -> Model:
-    """The model after all training texts: averaged steps from the counts' start."""
-    k, parts = model.vocabulary.size, 16
+def trained(rows: DataFrame, model: Model, counts: np.ndarray) -> Model:
+    """The model after all training texts' (places): averaged steps from the counts'
+    start."""
+    k = model.vocabulary.size
     model.tree = Tree(model.classes[:k], counts)
-    model.start = model.tree.start(within(pairs_of(docs, model), model.classes[: k + 1], model.n_classes + 1))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    model.start = model.tree.start(within(pairs_of(rows, model), model.classes[: k + 1], model.n_classes + 1))
+    sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         import copy
 
         m = copy.copy(sent.value)
-        m.w, m.branch_w = m.w.copy(), m.branch_w.copy()
-        memory, branch_memory, tokens = np.zeros_like(m.w), np.zeros_like(m.branch_w), 0
-        for offsets, h in training_slices(batches):
-            places = m.vocabulary.places(h)
-            one, two = before(offsets, places, k + 1)
-            target = m.classes[places]
-            tokens += len(places)
-            for a in range(0, len(places), BATCH):
-                b = a + BATCH
-                hashes = features(one[a:b], two[a:b])
-                m.step(feature_rows(hashes), target[a:b], memory)
-                m.branch_step(hashes, places[a:b], one[a:b], branch_memory)
-        changes = ((m.w - sent.value.w).ravel(), m.branch_w - sent.value.branch_w)
-        yield block_rows([*(x for c in changes for x in np.array_split(c * np.float32(tokens), parts)), np.array([tokens])])
-
-    got = summed(map_arrow(docs, run, "block int, data binary"), 2 * parts + 1)
+        m.w, m.node_w = m.w.copy(), m.node_w.copy()
+        memory, node_memory, tokens = np.zeros_like(m.w), np.zeros_like(m.node_w), 0
+        for batch in batches:
+            for _, _, offsets, places in place_slices(as_array(batch.column(0))):
+                one, two = before(offsets, places, k + 1)
+                target = m.classes[places]
+                tokens += len(places)
+                for a in range(0, len(places), BATCH):
+                    b = a + BATCH
+                    hashes = features(one[a:b], two[a:b])
+                    m.step(feature_rows(hashes), target[a:b], memory)
+                    m.node_step(hashes, places[a:b], one[a:b], node_memory)
+        changes = ((m.w - sent.value.w).ravel(), (m.node_w - sent.value.node_w).ravel())
+        yield block_rows([*(x for c in changes for x in np.array_split(c * np.float32(tokens), PARTS)), np.array([tokens])])
+
+    got = summed(map_arrow(rows, run, "block int, data binary"), 2 * PARTS + 1)
+    sent.destroy()
     tokens = got[-1][0] if len(got[-1]) else 0.0
     if tokens:
-        model.w = (np.concatenate(got[:parts]) / tokens).reshape(model.w.shape).astype(np.float32)
-        model.branch_w = (np.concatenate(got[parts : 2 * parts]) / tokens).astype(np.float32)
+        model.w = (np.concatenate(got[:PARTS]) / tokens).reshape(model.w.shape).astype(np.float32)
+        model.node_w = (np.concatenate(got[PARTS : 2 * PARTS]) / tokens).reshape(model.node_w.shape).astype(np.float32)
     return model
 
 
@@ -415,41 +472,35 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_wo
     hashes = np.array([r["token"] for r in top], np.int64).view(U64)
     own = np.array([r["n"] for r in top], np.float64)
     vocabulary = Vocabulary(hashes)
-    classes, n_classes = classes_of(own, anchors_of(docs, vocabulary))
+    logs = np.log10(np.concatenate([own + ADD, [1.0]]))
+    rows = token_rows(docs, vocabulary, logs)
+    near = np.concatenate(summed(rows.where("block IS NOT NULL").select("block", "data"), PARTS))
+    near = near.reshape(vocabulary.size + 1, ANCHORS)[:-1] if len(near) else np.zeros((vocabulary.size, ANCHORS))
+    rows = rows.where("block IS NULL")
+    classes, n_classes = classes_of(own, near)
     mass = np.concatenate([np.bincount(classes, weights=own, minlength=n_classes), [n - own.sum() + ADD]])
-    model = trained(docs, Model(vocabulary, classes, n_classes, np.log((mass + ADD) / (mass + ADD).sum())), own)
+    model = trained(rows.where("NOT held_out").select("places"), Model(vocabulary, classes, n_classes, np.log((mass + ADD) / (mass + ADD).sum())), own)
     whole = n + ADD * (v + 1)
     # what the base gives rare tokens in all, which they share in the model
     rare = whole - (own + ADD).sum()
-    sent = docs.sparkSession.sparkContext.broadcast((model, np.log10(np.concatenate([own + ADD, [1.0]]))))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m, logs = sent.value
-        k, task, row = m.vocabulary.size, TaskContext.get().partitionId() << 40, 0
+        m = sent.value
+        k = m.vocabulary.size
         for batch in batches:
-            ids, texts = as_array(batch.column(0)), as_array(batch.column(1))
-            for a, b in text_slices(texts):
-                offsets, h = encoded(texts.slice(a, b - a))
-                places = m.vocabulary.places(h)
+            for a, b, offsets, places in place_slices(as_array(batch.column(6))):
                 one, two = before(offsets, places, k + 1)
-                both = np.stack([logs[places], m.log10(places, one, two)], axis=1)
-                sums = np.add.reduceat(both, offsets[:-1], axis=0)  # no text is without a token
-                known = places < k
-                cold = np.flatnonzero(~known)
-                ends = np.searchsorted(cold, offsets)
-                cold = h[cold].view(np.int64)
-                part = ids.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(task + row + np.arange(b - a)), part, pa.array(held_out(part.to_pylist())), pa.array(np.diff(offsets)), pa.array(np.add.reduceat(known.astype(np.int64), offsets[:-1])),
-                    pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cold)),
-                ], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rare"])
-                row += b - a
+                score = np.add.reduceat(m.log10(places, one, two), offsets[:-1])  # no text is without a token
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in range(6)), pa.array(score)], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "model"])
 
-    rows = stored(map_arrow(docs, run, f"row long, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<long>"), "scored")
+    some = rows.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "places")
+    made = stored(map_arrow(some, run, f"row long, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base double, model double"), "scored")
+    sent.destroy()
     cold = rows.select("row", F.explode("rare").alias("token")).join(counts, "token", "left")
     log = F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADD))
     found = cold.groupBy("row").agg(F.sum(log).alias("logs"), F.count("n").alias("known"))
-    out = rows.drop("rare").join(found, "row", "left")
+    out = made.join(found, "row", "left")
     logs, known, n_rare = F.coalesce("logs", F.lit(0.0)), F.coalesce("known", F.lit(0)), F.col("n_tokens") - F.col("n_known")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + known).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
