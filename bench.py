@@ -18,7 +18,8 @@ from pyspark.sql import SparkSession
 from vellumdb import catalog
 from vellumdb.engine import evaluate
 from vellumdb.plans.index import Index
-from vellumdb.sources.segments import SORTED
+from vellumdb.operators.extract import ENTRIES, entries
+from vellumdb.sources.segments import index_tables
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -39,9 +40,9 @@ def main() -> None:
         at = f"{place}/{make.__name__}"
         make(spark, SF).sortWithinPartitions("doc_id").write.parquet(f"{at}/documents")
         docs = spark.read.parquet(f"{at}/documents")
-        lazy = Index.of(docs)
-        for name, order in SORTED.items():
-            getattr(lazy, name).sortWithinPartitions(*order).write.parquet(f"{at}/{name}")
+        entries(docs).write.parquet(f"{at}/entries")
+        for name, rows in index_tables(spark.read.schema(ENTRIES).parquet(f"{at}/entries")):
+            rows.write.parquet(f"{at}/{name}")
         stored[make.__name__] = docs, Index(docs.select("doc_id"), *(spark.read.parquet(f"{at}/{n}") for n in ("leaves", "scopes", "scoped_leaves")))
     prepared = time.time() - prepared
     for name in HEADLINE:

@@ -141,7 +141,7 @@ def test_damage_is_found_on_open(spark, tmp_path):
     segment = tmp_path / "db" / "segments" / "seg-000001"
     meta = segment / "segment.meta.json"
     good = meta.read_text()
-    for bad in ("{", good.replace('"documents": 1', '"documents": 2'), good.replace('"version": 1', '"version": 9')):
+    for bad in ("{", good.replace('"documents": 1', '"documents": 2'), good.replace('"version": 2', '"version": 9')):
         meta.write_text(bad)
         with pytest.raises(CorruptionError):
             Database.open(spark, str(tmp_path / "db"))
@@ -222,6 +222,89 @@ def test_scheduler_and_snapshots():
     assert gone == [3, 1]
 
 
+def test_segments_that_cannot_match_are_not_opened(spark, tmp_path):
+    with opened(spark, tmp_path) as db:
+        for k in range(3):
+            db.insert_many([{"name": f"n{k}", "only": {f"f{k}": k}, "xs": [{"k": k, "s": str(k)}]}])
+            db.flush()
+        segments = lambda q: [s.segment_id for s in db.candidates(q)]
+        assert segments({"name": {"eq": "n1"}}) == [2]
+        assert segments({"only.f2": {"gte": 0}}) == [3]
+        assert segments({"path": "xs[]", "elemMatch": {"and": [{"k": {"eq": 0}}, {"s": {"eq": "0"}}]}}) == [1]
+        assert segments({"name": {"neq": "n1"}}) == segments({"not": {"name": {"eq": "n1"}}}) == [1, 2, 3]
+        none = {"name": {"eq": "nobody"}}
+        for plan in ("scan", "index"):
+            found = db.search(none, plan=plan)
+            assert found.dataframe.inputFiles() == [] and found.ids() == []
+            assert db.search({"name": {"eq": "n1"}}, plan=plan).ids() == [2]
+        db.verify()
+        # a segment of the first metadata version has no filter and may hold anything
+        meta = tmp_path / "db" / "segments" / "seg-000002" / "segment.meta.json"
+        old = json.loads(meta.read_text())
+        meta.write_text(json.dumps({k: old[k] for k in ("segment_id", "documents", "min_doc_id", "max_doc_id")} | {"version": 1}))
+        db.filters.clear()
+        assert segments(none) == [2]
+
+
+def test_damage_that_a_full_check_finds(spark, tmp_path):
+    with opened(spark, tmp_path) as db:
+        db.insert_many([doc("a"), doc("b")])
+        db.flush()
+        db.verify()
+        folder = tmp_path / "db" / "segments" / "seg-000001"
+        rows = db.segments.read(1, "scopes").collect()
+        schema = db.segments.read(1, "scopes").schema
+        spark.createDataFrame(rows[1:], schema).coalesce(1).write.mode("overwrite").parquet(str(folder / "scopes"))
+        with pytest.raises(CorruptionError):
+            db.verify()
+        meta = json.loads((folder / "segment.meta.json").read_text())
+        meta["files"]["scopes"] = {p.name: p.stat().st_size for p in (folder / "scopes").glob("*.parquet")}
+        meta["rows"]["scopes"] -= 1
+        (folder / "segment.meta.json").write_text(json.dumps(meta))
+        with pytest.raises(CorruptionError, match="scope"):
+            db.verify()
+
+
+def test_ids_with_gaps(spark, tmp_path):
+    db = opened(spark, tmp_path)
+    db.insert_many([doc(str(k)) for k in range(9)])
+    db.flush()
+    for k in (2, 5, 8):
+        db.delete(k)
+    db.compact()
+    assert not db.manifest.segments[0].dense
+    assert db.get(5) is None and db.get(6)["name"] == "5"
+    db.delete(5)
+    db.delete(4)
+    assert db.update(7, doc("seven"))["doc_id"] == 10
+    db.abandon()
+    with Database.open(spark, str(tmp_path / "db")) as db:
+        assert db.search(HIT).ids() == [1, 3, 6, 9, 10]
+
+
+def test_a_batch_is_loaded_once_wherever_it_fails(spark, tmp_path):
+    rows = spark.createDataFrame([(json.dumps(doc(f"b{k}")),) for k in range(4)], "json string")
+    for n, point in enumerate(("after-write", "before-commit", "after-commit", "before-cleanup")):
+        armed = [True]
+
+        def fail(at, point=point, armed=armed):
+            if armed[0] and at == point:
+                raise RuntimeError("injected")
+
+        path = str(tmp_path / point)
+        db = Database.open(spark, path, on_point=fail, create_if_missing=True)
+        with pytest.raises(RuntimeError):
+            db.load(rows, batch=("stream", 0))
+        db.abandon()
+        with Database.open(spark, path) as db:
+            assert db.load(rows, batch=("stream", 0)) == (4 if n < 2 else 0)
+            assert db.load(rows, batch=("stream", 0)) == 0
+            assert db.load(rows.limit(0), batch=("stream", 1)) == 0
+            assert db.load(rows, batch=("other", 0)) == 4
+            assert db.documents().count() == 8
+            assert db.manifest.batches == {"stream": 1, "other": 0}
+
+
 def test_streaming_ingest(spark, tmp_path):
     from vellumdb.streaming.ingest import ingest
 

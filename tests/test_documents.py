@@ -5,6 +5,8 @@ from vellumdb.functions.bloom import BloomFilter
 from vellumdb.functions.documents import canonical_json, parse_document, parse_json_text, sha256_hex, to_doc_id, to_segment_id, verify_document
 from vellumdb.operators.extract import extract_entries, extract_scoped
 from vellumdb.operators.postings import PostingList
+from vellumdb.plans.parser import parse_query
+from vellumdb.plans.prune import possible
 
 LOOP: dict = {}
 LOOP["self"] = LOOP
@@ -64,15 +66,17 @@ def test_several_bounds_are_separate():
 
 
 def test_elements_are_matched_as_wholes():
-    d = {"orders": [{"id": "A1", "price": 8000}, {"id": "A2", "price": 12000}]}
-    both = [{"path": "id", "eq": "A1"}, {"path": "price", "gt": 10000}]
-    assert not yes(d, {"path": "orders[]", "elemMatch": {"and": both}})
-    assert yes(d, {"and": [{"path": "orders[].id", "eq": "A1"}, {"path": "orders[].price", "gt": 10000}]})
+    d = {"sensors": [{"unit": "lux", "peak": 70.5}, {"unit": "volt", "peak": 3.1}, {"unit": "amp"}]}
+    both = [{"path": "unit", "eq": "volt"}, {"path": "peak", "gt": 50}]
+    assert not yes(d, {"path": "sensors[]", "elemMatch": {"and": both}})
+    assert yes(d, {"and": [{"path": "sensors[].unit", "eq": "volt"}, {"path": "sensors[].peak", "gt": 50}]})
+    assert yes(d, {"path": "sensors[]", "elemMatch": {"and": [{"path": "unit", "eq": "amp"}, {"path": "peak", "exists": False}]}})
 
 
-@pytest.mark.parametrize(("document", "expected"), [({}, False), ({"values": {}}, False), ({"values": []}, False), ({"values": [None, 2, 8, {"code": 1}]}, True), ({"values": [{}]}, True), ({"values": [{"code": 1}]}, False), ({"values": [[{"code": 1}]]}, True)])
-def test_missing_in_an_element(document, expected):
-    assert yes(document, {"path": "values[]", "elemMatch": {"path": "code", "exists": False}}) == expected
+@pytest.mark.parametrize(("marks", "expected"), [("absent", False), ("none at all", False), ([], False), ([{"note": "a"}, {"note": None}], False), ([7.25], True), ([False, {"note": "b"}], True), ([{"other": {"note": 1}}], True), ([[{"note": 1}, {"note": 2}]], True)])
+def test_missing_in_an_element(marks, expected):
+    document = {"page": 3} if marks == "absent" else {"page": 3, "marks": marks}
+    assert yes(document, {"path": "marks[]", "elemMatch": {"path": "note", "exists": False}}) == expected
 
 
 def test_not_is_the_complement():
@@ -82,32 +86,67 @@ def test_not_is_the_complement():
 
 
 def test_scopes_in_pre_order():
-    d = {"orders": [{"id": "A1", "items": [{"sku": "x"}, {"sku": "y"}]}, {"id": "A2"}], "misc": [None, {}, "value"], "other": [{"id": "B1"}]}
+    d = {"legs": [{"stops": [{"km": 4}, 9], "fare": 2.5}, "walk", {"stops": []}], "crew": {"names": ["Ida", True]}, "grid": [[0], []]}
     scopes, entries = extract_scoped(d)
-    items, orders, misc = "$.orders[].items[]", "$.orders[]", "$.misc[]"
-    assert [(s.scope_id, s.parent_scope_id, s.array_path) for s in scopes] == [(1, None, orders), (2, 1, items), (3, 1, items), (4, None, orders), (5, None, misc), (6, None, misc), (7, None, misc), (8, None, "$.other[]")]
-    skus = [(e.scope_id, e.array_path, e.relative_path, e.value) for e in entries if e.relative_path.endswith("sku")]
-    assert skus == [(1, orders, "$.items[].sku", "x"), (2, items, "$.sku", "x"), (1, orders, "$.items[].sku", "y"), (3, items, "$.sku", "y")]
-    assert [(e.scope_id, e.relative_path, e.value, e.value_type) for e in entries if e.array_path == misc] == [(5, "$", None, "null"), (7, "$", "value", "string")]
+    legs, stops, names, grid = "$.legs[]", "$.legs[].stops[]", "$.crew.names[]", "$.grid[]"
+    want = [(1, None, legs), (2, 1, stops), (3, 1, stops), (4, None, legs), (5, None, legs), (6, None, names), (7, None, names), (8, None, grid), (9, 8, grid + "[]"), (10, None, grid)]
+    assert [(s.scope_id, s.parent_scope_id, s.array_path) for s in scopes] == want
+    assert [s.trail for s in scopes][:4] == ["$/0", "$/0/0", "$/0/1", "$/1"]
+    inside = [(e.scope_id, e.array_path, e.relative_path, e.value, e.value_type) for e in entries]
+    assert inside == [
+        (1, legs, "$.stops[].km", 4, "number"), (2, stops, "$.km", 4, "number"), (1, legs, "$.stops[]", 9, "number"), (3, stops, "$", 9, "number"), (1, legs, "$.fare", 2.5, "number"), (4, legs, "$", "walk", "string"),
+        (6, names, "$", "Ida", "string"), (7, names, "$", True, "boolean"), (8, grid, "$[]", 0, "number"), (9, grid + "[]", "$", 0, "number"),
+    ]
 
 
 def test_equal_elements_keep_their_scopes():
-    scopes, entries = extract_scoped({"left": [1, 1], "right": [1], "deep": [[1], []]})
-    assert [(s.scope_id, s.parent_scope_id, s.array_path) for s in scopes] == [(1, None, "$.left[]"), (2, None, "$.left[]"), (3, None, "$.right[]"), (4, None, "$.deep[]"), (5, 4, "$.deep[][]"), (6, None, "$.deep[]")]
-    assert [(e.scope_id, e.relative_path) for e in entries] == [(1, "$"), (2, "$"), (3, "$"), (4, "$[]"), (5, "$")]
+    scopes, entries = extract_scoped({"dice": [6, 6, 6], "coins": ["h", "h"]})
+    assert [(s.scope_id, s.array_path) for s in scopes] == [(1, "$.dice[]"), (2, "$.dice[]"), (3, "$.dice[]"), (4, "$.coins[]"), (5, "$.coins[]")]
+    assert [(e.scope_id, e.value) for e in entries] == [(1, 6), (2, 6), (3, 6), (4, "h"), (5, "h")]
+
+
+def test_keys_with_brackets_are_no_arrays():
+    scopes, entries = extract_scoped({"a[]b": [{"c[].d": [1]}]})
+    assert [s.array_path for s in scopes] == [r"$.a\[\]b[]", r"$.a\[\]b[].c\[\]\.d[]"]
+    assert [e.relative_path for e in entries] == [r"$.c\[\]\.d[]", "$"]
 
 
 def test_leaves_in_order():
-    entries = extract_entries({"user": {"name": "Kim", "a.b": 31}, "tags": ["x", "y"], "e": {}, "f": []})
-    assert [(e.path, e.value, e.scope) for e in entries] == [("$.user.name", "Kim", "$"), (r"$.user.a\.b", 31, "$"), ("$.tags[]", "x", "$/0"), ("$.tags[]", "y", "$/1")]
+    entries = extract_entries({"book": {"title": "Fjord", "p.1": 12}, "shelf": [[], ["b", None]], "gap": {}, "void": []})
+    assert [(e.path, e.value, e.scope) for e in entries] == [("$.book.title", "Fjord", "$"), (r"$.book.p\.1", 12, "$"), ("$.shelf[][]", "b", "$/1/0"), ("$.shelf[][]", None, "$/1/1")]
 
 
 def test_posting_lists():
     a, b = PostingList.of([5, 1, 3, 3]), PostingList.of([3, 4])
     assert (list(a), list(a & b), list(a | b), list(a - b), 3 in a, 2 in a) == ([1, 3, 5], [3], [1, 3, 4, 5], [1, 5], True, False)
-    pairs = PostingList.of([(2, 1), (1, 2), (1, 1), (1, 2)])
-    assert list(pairs) == [(1, 1), (1, 2), (2, 1)]
-    assert list(pairs.documents()) == [1, 2]
+    pairs = PostingList.of([(8, 3), (4, 9), (8, 3), (8, 1), (4, 2)])
+    assert list(pairs) == [(4, 2), (4, 9), (8, 1), (8, 3)]
+    assert list(pairs.documents()) == [4, 8]
+    others = PostingList.of([(4, 9), (8, 2), (8, 3)])
+    assert (list(pairs & others), list(pairs | others), list(pairs - others)) == ([(4, 9), (8, 3)], [(4, 2), (4, 9), (8, 1), (8, 2), (8, 3)], [(4, 2), (8, 1)])
+
+
+def test_pruning_by_keys():
+    d = {"a": 1, "b": {"c": "x"}, "xs": [{"k": True, "n": 2.5}, None]}
+    held = {("path", e.path) for e in extract_entries(d)} | {("term", e.path, str(e.value)) for e in extract_entries(d)}
+    for e in extract_scoped(d)[1]:
+        held |= {("scoped-path", e.array_path, e.relative_path), ("scoped-term", e.array_path, e.relative_path, str(e.value))}
+
+    def may(query):
+        return possible(parse_query(query), lambda *key: (*key[:-1], str(key[-1])) in held)
+
+    element = lambda q: {"path": "xs[]", "elemMatch": q}
+    for q in ({"a": {"eq": 1}}, {"a": {"gt": 99}}, {"z": {"neq": 1}}, {"z": {"exists": False}}, {"not": {"z": {"eq": 1}}}, {"or": [{"z": {"eq": 1}}, {"b.c": {"contains": "x"}}]}, element({"k": {"eq": True}}), element({"path": "$", "eq": None}), element({"z": {"exists": False}})):
+        assert may(q), q
+    for q in ({"a": {"eq": 2}}, {"b": {"exists": True}}, {"z": {"lt": 1}}, {"and": [{"a": {"eq": 1}}, {"z": {"between": [1, 2]}}]}, {"or": [{"z": {"eq": 1}}, {"a": {"eq": 3}}]}, element({"n": {"eq": 3}}), element({"and": [{"k": {"eq": True}}, {"b": {"gt": 0}}]}), {"path": "ys[]", "elemMatch": {"k": {"eq": True}}}):
+        assert not may(q), q
+
+
+def test_public_names():
+    import vellumdb
+
+    assert all(hasattr(vellumdb, name) for name in vellumdb.__all__)
+    assert vellumdb.compile_query({"a": {"eq": 1}}) == parse_query({"where": {"a": {"eq": 1}}})
 
 
 def test_bloom_filter():

@@ -14,19 +14,19 @@ from vellumdb.plans.index import Index
 
 EDGES = [
     {}, {"a": None}, {"a": 1}, {"a": 1.0}, {"a": "1"}, {"a": True}, {"a": [1]}, {"a": {"b": 1}}, {"a": []}, {"a": {}}, {"a": -0.0}, {"a": 9007199254740993}, {"a": 10**22}, {"a": ""}, {"a": "é'\"\\x"},
-    {"values": {}}, {"values": []}, {"values": [None, 2, 8, {"code": 1}]}, {"values": [{}, {"code": 2}]}, {"values": [[1, 2], [{"code": 1}]]}, {"values": "x"},
-    {"order.list": [{"item.id": "i", "it's": 1, 'q"k': 2, "b\\s": 3, "city[name]": "x", "$d": 1}]}, {"": 1, "a": {"": 2}},
-    {"groups": [{"orders": [{"id": "A", "lines": [{"p": 1}, {"p": 9}]}, {"id": "B", "lines": []}]}, {"orders": []}, {}]},
+    {"notes": {"0": 1}}, {"notes": []}, {"notes": ["low", {"pitch": 440}, 3, None, False]}, {"notes": [{"pitch": 220, "tie": []}, {}]}, {"notes": [[3, "low"], [{"pitch": 440}], []]}, {"notes": 3},
+    {"a.b c": [{"x.y": "i", "it's": 1, 'q"k': 2, "b\\s": 3, "u[v]": "x", "$d": 1}]}, {"": 1, "a": {"": 2}},
+    {"halls": [{"rows": [{"tag": "east", "seats": [{"p": 12}, {"p": 2}]}, {"tag": "west", "seats": []}]}, {"rows": []}, {}, {"rows": [{"tag": "east", "seats": [{"p": 4}]}]}]},
 ]
 QUERIES = [
     {"a": {"eq": 1}}, {"a": {"eq": "1"}}, {"a": {"eq": True}}, {"a": {"eq": None}}, {"a": {"neq": 1}}, {"a": {"exists": True}}, {"a": {"exists": False}}, {"a": {"eq": 0}}, {"a": {"eq": 9007199254740992}}, {"a": {"eq": 1e22}}, {"a": {"eq": "é'\"\\x"}},
     {"a[]": {"contains": 1}}, {"a.b": {"gte": 1, "lt": 2}}, {"a": {"between": [0, 1]}}, {"a": {"gt": 0, "neq": 1}}, {"not": {"a": {"neq": 1}}}, {"not": {"a": {"exists": False}}}, {"not": {"and": [{"a": {"eq": 1}}, {"b": {"neq": 2}}]}},
-    {"values[]": {"gt": 5, "lt": 3}}, {"values[]": {"exists": True}}, {"values[][]": {"eq": 1}}, {"values[].code": {"neq": 1}},
-    {"path": "values[]", "elemMatch": {"path": "$", "eq": None}}, {"path": "values[]", "elemMatch": {"path": "$", "neq": 2}}, {"path": "values[]", "elemMatch": {"path": "code", "exists": False}}, {"path": "values[]", "elemMatch": {"code": {"neq": 1}}},
-    {"path": "values[]", "elemMatch": {"path": "$", "gt": 1, "lt": 3}}, {"path": "values[][]", "elemMatch": {"or": [{"path": "code", "eq": 1}, {"path": "$", "eq": 2}]}}, {"not": {"path": "values[]", "elemMatch": {"path": "code", "exists": True}}},
-    {r"order\.list[].item\.id": {"eq": "i"}}, {"order\\.list[].it's": {"eq": 1}}, {'order\\.list[].q"k': {"eq": 2}}, {"order\\.list[].b\\\\s": {"eq": 3}}, {"path": r"order\.list[]", "elemMatch": {"and": [{r"city\[name\]": {"eq": "x"}}, {r"\$d": {"eq": 1}}]}},
-    {"path": "groups[].orders[]", "elemMatch": {"and": [{"id": {"eq": "A"}}, {"lines[].p": {"gt": 5, "lt": 3}}]}}, {"path": "groups[]", "elemMatch": {"orders[].lines[].p": {"exists": False}}}, {"path": "groups[].orders[].lines[]", "elemMatch": {"p": {"between": [2, 9]}}},
-    {"or": [{"a": {"eq": 1}}, {"path": "values[]", "elemMatch": {"path": "$", "eq": 8}}, {"not": {"b": {"exists": False}}}]},
+    {"notes[]": {"gt": 2, "lt": 4}}, {"notes[]": {"exists": True}}, {"notes[][]": {"eq": 3}}, {"notes[].pitch": {"neq": 440}},
+    {"path": "notes[]", "elemMatch": {"path": "$", "eq": None}}, {"path": "notes[]", "elemMatch": {"path": "$", "neq": 3}}, {"path": "notes[]", "elemMatch": {"path": "pitch", "exists": False}}, {"path": "notes[]", "elemMatch": {"pitch": {"neq": 440}}},
+    {"path": "notes[]", "elemMatch": {"path": "$", "gt": 2, "lt": 4}}, {"path": "notes[][]", "elemMatch": {"or": [{"path": "pitch", "eq": 440}, {"path": "$", "eq": "low"}]}}, {"not": {"path": "notes[]", "elemMatch": {"path": "pitch", "exists": True}}},
+    {r"a\.b c[].x\.y": {"eq": "i"}}, {"a\\.b c[].it's": {"eq": 1}}, {'a\\.b c[].q"k': {"eq": 2}}, {"a\\.b c[].b\\\\s": {"eq": 3}}, {"path": r"a\.b c[]", "elemMatch": {"and": [{r"u\[v\]": {"eq": "x"}}, {r"\$d": {"eq": 1}}]}},
+    {"path": "halls[].rows[]", "elemMatch": {"and": [{"tag": {"eq": "east"}}, {"seats[].p": {"gt": 5, "lt": 3}}]}}, {"path": "halls[]", "elemMatch": {"rows[].seats[].p": {"exists": False}}}, {"path": "halls[].rows[].seats[]", "elemMatch": {"p": {"between": [3, 9]}}},
+    {"or": [{"a": {"eq": 1}}, {"path": "notes[]", "elemMatch": {"path": "$", "eq": False}}, {"not": {"b": {"exists": False}}}]},
 ]
 
 
@@ -108,15 +108,17 @@ def test_malformed_rows_are_errors(spark):
 
 def test_engine(spark):
     engine = MemoryEngine(spark)
-    for name, age, tags in (("Kim", 31, ["backend", "typescript"]), ("Lee", 25, ["frontend"]), ("Park", 40, ["backend"])):
-        engine.insert({"user": {"name": name, "age": age}, "tags": tags})
-    assert engine.insert({"a": [1, 1, {}]}) == {"doc_id": 4, "entry_count": 2}
+    for title, year, genres in (("Dunes", 1987, ["drama"]), ("Tides", 2011, ["essay", "sea"]), ("Ferry", 1999, ["sea"]), ("Kites", 2020, [])):
+        engine.insert({"title": title, "printed": {"year": year}, "genres": genres})
+    assert engine.insert({"a": [1, 1, {}]}) == {"doc_id": 5, "entry_count": 2}
     for plan in ("scan", "index"):
-        assert engine.search({"and": [{"tags[]": {"contains": "backend"}}, {"user.age": {"gt": 35}}]}, plan).ids() == [3]
+        assert engine.search({"and": [{"genres[]": {"contains": "sea"}}, {"printed.year": {"lt": 2005}}]}, plan).ids() == [3]
+        assert engine.search({"not": {"genres[]": {"exists": True}}}, plan).ids() == [4, 5]
+        assert engine.search({"path": "none[]", "elemMatch": {"x": {"gt": 1}}}, plan).ids() == []
     engine.delete(3)
     engine.delete(3)
-    found = engine.search({"where": {"tags[]": {"contains": "backend"}}})
-    assert (found.count, found.ids(), found.documents()) == (1, [1], [{"user": {"name": "Kim", "age": 31}, "tags": ["backend", "typescript"]}])
+    found = engine.search({"where": {"genres[]": {"contains": "sea"}}})
+    assert (found.count, found.ids(), found.documents()) == (1, [2], [{"title": "Tides", "printed": {"year": 2011}, "genres": ["essay", "sea"]}])
     with pytest.raises(ValidationError):
         engine.insert([])
     with pytest.raises(ValidationError):

@@ -27,12 +27,17 @@ from .operators.maintenance import Scheduler, Snapshots
 from .options import DatabaseOptions
 from .plans.index import Index
 from .plans.parser import parse_query
+from .plans.prune import possible
 from .results import PlanCache, SearchResult
 from .sources.files import FileLock, Log, Manifest, ManifestStore, SegmentInfo
 from .sources.segments import TABLES, SegmentStore
 
 #: Deleted ids of the segments up to which they are broadcast.
 BROADCAST_DELETED = 1_000_000
+#: Ids that a look-up names one by one; more are joined.
+MOST_LITERALS = 1000
+#: Documents of the buffer that one file may hold.
+SMALL = 10_000
 #: Points at which tests may inject failures.
 FAILURE_POINTS = ("before-write", "after-write", "after-validate", "before-commit", "after-commit", "after-publish", "before-log-rotation", "before-cleanup")
 
@@ -54,6 +59,7 @@ class Database:
                 self.segments.validate(info)
             self.segments.clean({s.segment_id for s in self.manifest.segments})
             self.snapshots = Snapshots(self.segments.remove)
+            self.filters: dict[int, object] = {}
             self.cache = PlanCache(options.posting_cache_max_entries if options.posting_cache else 0)
             self.buffer: dict[int, str] = {}
             self.sequence, self.next_doc_id = self.manifest.checkpoint, self.manifest.next_doc_id
@@ -102,7 +108,10 @@ class Database:
         self.log.append({"sequence": self.sequence, **record})
 
     def _replay(self) -> None:
-        for r in self.log.replay(self.manifest.checkpoint):
+        records = self.log.replay(self.manifest.checkpoint)
+        named = {r.get("doc_id" if r["type"] == "delete" else "old_doc_id") for r in records if r["type"] != "insert"}
+        self._find({k for k in named if isinstance(k, int)})
+        for r in records:
             if r["sequence"] != self.sequence + 1:
                 raise RecoveryError(f"record {r['sequence']} follows {self.sequence}")
             self.sequence = r["sequence"]
@@ -126,11 +135,28 @@ class Database:
         self.buffer[doc_id] = json.dumps(document, ensure_ascii=False)
         self.next_doc_id = max(self.next_doc_id, doc_id + 1)
 
+    def _find(self, ids: set[int]) -> None:
+        """Notes which ids segments hold, for those whose ids have gaps: one job for each
+        such segment, however many ids."""
+        for s in self.manifest.segments:
+            asked = {k for k in ids if s.min_doc_id <= k <= s.max_doc_id} - s.known.keys()
+            if asked and not s.dense:
+                rows = self.segments.read(s.segment_id).select("doc_id")
+                if len(asked) <= MOST_LITERALS:
+                    rows = rows.where(F.col("doc_id").isin(sorted(asked)))
+                else:
+                    rows = rows.join(self.spark.createDataFrame([(k,) for k in asked], "doc_id long"), "doc_id", "left_semi")
+                there = {r["doc_id"] for r in rows.collect()}  # ids of records of one log at most
+                s.known.update({k: k in there for k in asked})
+
     def _home(self, doc_id: int) -> SegmentInfo | None:
-        """The segment where an id is live."""
+        """The segment where an id is live.  Segments without gaps need no look-up."""
         for s in self.manifest.segments:
-            if s.min_doc_id <= doc_id <= s.max_doc_id and doc_id not in s.deleted and not self.segments.read(s.segment_id).where(F.col("doc_id") == doc_id).isEmpty():
-                return s
+            if s.min_doc_id <= doc_id <= s.max_doc_id and doc_id not in s.hidden:
+                if not s.dense:
+                    self._find({doc_id})
+                if s.dense or s.known[doc_id]:
+                    return s
         return None
 
     def _visible(self, doc_id: int) -> bool:
@@ -138,7 +164,7 @@ class Database:
 
     def _hide(self, doc_id: int) -> None:
         if self.buffer.pop(doc_id, None) is None and (s := self._home(doc_id)) is not None:
-            s.deleted.append(doc_id)
+            s.hide(doc_id)
             self.cache.clear()
 
     def insert(self, document: dict) -> dict:
@@ -157,11 +183,15 @@ class Database:
                 self._maybe_flush()
         return out
 
-    def load(self, rows: DataFrame, column: str = "json") -> int:
+    def load(self, rows: DataFrame, column: str = "json", batch: tuple[str, int] | None = None) -> int:
         """Bulk load: JSON texts of a DataFrame become one new segment, without passing
-        the driver; ids follow the order of the texts' partitions.  Returns how many."""
+        the driver; ids follow the order of the texts' partitions.  Returns how many.
+        ``batch``: a source's name and batch number, committed with the documents; a batch
+        that was loaded before is not loaded again."""
         with self.mutex:
             self._open()
+            if batch is not None and batch[1] <= self.manifest.batches.get(batch[0], -1):
+                return 0
             self.flush()
             stage = f"file://{self.folder}/staging"
             rows.select(F.col(column).alias("json"), F.monotonically_increasing_id().alias("place")).write.mode("overwrite").parquet(stage)
@@ -175,7 +205,9 @@ class Database:
                 base = self.spark.createDataFrame(starts, "part long, first long")
                 docs = texts.withColumn("part", F.shiftright("place", 33)).join(F.broadcast(base), "part")
                 docs = docs.select((F.col("first") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))).alias("doc_id"), "json")
-                self._commit(with_variant(docs).select("doc_id", "json"), 0, [], first)
+                self._commit(with_variant(docs).select("doc_id", "json"), 0, [], first, batch=batch)
+            elif batch is not None:
+                self._commit(None, 0, [], self.next_doc_id, batch=batch)
             shutil.rmtree(self.folder / "staging", ignore_errors=True)
             return sum(r["n"] for r in by_part)
 
@@ -225,15 +257,15 @@ class Database:
             self._open()
             if self.buffer:
                 rows = self.spark.createDataFrame(sorted(self.buffer.items()), BUFFER)
-                self._commit(rows, 0, [], self.next_doc_id)
+                self._commit(rows, 0, [], self.next_doc_id, spread=len(self.buffer) > SMALL)
 
-    def _commit(self, docs: DataFrame | None, level: int, replaced: list[int], next_doc_id: int) -> None:
+    def _commit(self, docs: DataFrame | None, level: int, replaced: list[int], next_doc_id: int, spread: bool = True, batch: tuple[str, int] | None = None) -> None:
         """Writes a segment (if there are documents), swaps the manifest, then rotates
         the log and retires what was replaced.  The swap is the commit."""
         self.on_point("before-write")
         written = None
         if docs is not None:
-            written = self.segments.write(self.manifest.next_segment_id, level, docs, time.time_ns())
+            written = self.segments.write(self.manifest.next_segment_id, level, docs, time.time_ns(), spread)
             self.on_point("after-write")
             self.segments.validate(written)
             self.on_point("after-validate")
@@ -242,6 +274,7 @@ class Database:
         new = Manifest(
             self.manifest.generation, next_doc_id, self.manifest.next_segment_id + (written is not None),
             self.sequence if flushes else self.manifest.checkpoint, self.manifest.log_generation + flushes, [*keep, *([written] if written and written.documents else [])],
+            self.manifest.batches | (dict([batch]) if batch else {}),
         )
         self.on_point("before-commit")
         try:
@@ -252,6 +285,7 @@ class Database:
             raise
         self.on_point("after-commit")
         self.manifest, self.next_doc_id = new, next_doc_id
+        self.filters = {k: f for k, f in self.filters.items() if k not in replaced}
         self.cache.clear()
         self.on_point("after-publish")
         if flushes:
@@ -314,34 +348,54 @@ class Database:
             self._open()
             return self._frame()
 
-    def _frame(self) -> DataFrame:
-        rows = self._live(self.manifest.segments) if self.manifest.segments else None
+    def _frame(self, infos: list[SegmentInfo] | None = None) -> DataFrame:
+        infos = self.manifest.segments if infos is None else infos
+        rows = self._live(infos) if infos else None
         if self.buffer or rows is None:
             held = with_variant(self.spark.createDataFrame(sorted(self.buffer.items()), BUFFER))
             rows = held if rows is None else rows.unionByName(held)
         return rows
 
-    def index(self) -> Index:
-        """Index tables of all visible documents: stored ones, and the buffer's."""
-        infos = self.manifest.segments
+    def index(self, infos: list[SegmentInfo] | None = None) -> Index:
+        """Index tables of all visible documents, or those of some segments, and the
+        buffer's."""
+        infos = self.manifest.segments if infos is None else infos
         held = Index.of(self.spark.createDataFrame(sorted(self.buffer.items()), BUFFER))
         if not infos:
             return held
         both = lambda name: self._live(infos, name).unionByName(getattr(held, name)) if self.buffer else self._live(infos, name)
-        return Index(self._frame().select("doc_id"), both("leaves"), both("scopes"), both("scoped_leaves"))
+        return Index(self._frame(infos).select("doc_id"), both("leaves"), both("scopes"), both("scoped_leaves"))
+
+    def candidates(self, query: dict) -> list[SegmentInfo]:
+        """The segments that may hold a match, by their key filters; no file of another
+        one is opened for the search."""
+        expression, out = parse_query(query), []
+        for s in self.manifest.segments:
+            if s.segment_id not in self.filters:
+                self.filters[s.segment_id] = self.segments.holds(s.segment_id)
+            if possible(expression, self.filters[s.segment_id]):
+                out.append(s)
+        return out
 
     def search(self, query: dict, plan: str = "scan") -> SearchResult:
         with self.mutex:
             self._open()
-            parse_query(query)
-            release = self.snapshots.acquire([s.segment_id for s in self.manifest.segments])
+            infos = self.candidates(query)
+            release = self.snapshots.acquire([s.segment_id for s in infos])
 
             def make() -> DataFrame:
-                return evaluate(self._frame(), query, plan, self.index() if plan == "index" else None).select("doc_id", "json").orderBy("doc_id")
+                return evaluate(self._frame(infos), query, plan, self.index(infos) if plan == "index" else None).select("doc_id", "json").orderBy("doc_id")
 
             key = f"{plan}:{self.sequence}:{canonical_json(query) if _plain(query) else id(query)}"
             return SearchResult(self.cache.get(key, make), release)
 
+    def verify(self) -> None:
+        """Reads every table of every segment and checks that they agree."""
+        with self.mutex:
+            self._open()
+            for s in self.manifest.segments:
+                self.segments.verify(s)
+
     def stats(self) -> dict:
         with self.mutex:
             self._open()
@@ -370,6 +424,15 @@ class Database:
                 out |= dict.fromkeys(("segment_paths", "segment_terms", "segment_entries", "segment_scopes", "segment_scoped_keys", "segment_scoped_entries"), 0)
             return out
 
+    def abandon(self) -> None:
+        """Lets go of files and the lock as a dying process does: nothing is flushed, and
+        the log has what was not.  For tests of recovery."""
+        with self.mutex:
+            self.closed = True
+            self.log.close()
+            self.lock.release()
+        self.scheduler.close()
+
     def close(self) -> None:
         """Flushes and unlocks; later calls fail.  Closing twice is no error."""
         with self.mutex:

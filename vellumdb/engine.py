@@ -14,6 +14,7 @@ from .operators.extract import extract_entries
 from .options import EngineOptions
 from .plans.index import Index, compile_index
 from .plans.parser import parse_query
+from .plans.prune import possible
 from .plans.scan import compile_column
 from .results import SearchResult
 
@@ -39,6 +40,10 @@ def evaluate(docs: DataFrame, query: dict, plan: str = "scan", index: Index | No
     raise ValidationError(f"no plan is called {plan!r}")
 
 
+def joined_path(path: str, relative: str = "$") -> str:
+    return path + relative[1:]
+
+
 class MemoryEngine:
     """Inserts, deletes and searches on the driver's buffer; ids restart after clear."""
 
@@ -71,4 +76,7 @@ class MemoryEngine:
         return with_variant(self.spark.createDataFrame(list(self.documents.items()), BUFFER))
 
     def search(self, query: dict, plan: str = "scan") -> SearchResult:
-        return SearchResult(evaluate(self.frame(), query, plan).select("doc_id", "json").orderBy("doc_id"))
+        # paths that no document has are answered without looking at any
+        may = possible(parse_query(query), lambda kind, *where: f"path:{joined_path(*where[: 2 if kind.startswith('scoped') else 1])}" in self.bloom)
+        docs = self.frame() if may else with_variant(self.spark.createDataFrame([], BUFFER))
+        return SearchResult(evaluate(docs, query, plan).select("doc_id", "json").orderBy("doc_id"))

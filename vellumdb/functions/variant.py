@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 
 from ..plans.paths import Elements, Key, Step
 
-NUMBER = "^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)"
-NESTED = "^(OBJECT|ARRAY)"
-
-
 def _plain(name: str) -> bool:
     """Whether a key can stand in a VARIANT path."""
     return not any(c in name for c in "'\"\\")
@@ -61,45 +57,37 @@ def kind(value: Column) -> Column:
 
 
 def is_leaf(value: Column) -> Column:
-    return F.coalesce(value.isNotNull() & ~kind(value).rlike(NESTED), F.lit(False))
-
-
-def is_number(value: Column) -> Column:
-    return F.coalesce(kind(value).rlike(NUMBER), F.lit(False))
-
-
-def number(value: Column) -> Column:
-    """The value as a double if it is a number, else null."""
-    return F.when(is_number(value), F.try_variant_get(value, "$", "double"))
+    k = kind(value)
+    return F.coalesce(value.isNotNull() & ~k.startswith("OBJECT") & ~k.startswith("ARRAY"), F.lit(False))
 
 
 def equals(value: Column, operand: object) -> Column:
+    """The cast is compared first: most values fail it, and only the others' types are
+    looked up."""
     if operand is None:
         test = F.is_variant_null(value)
     elif isinstance(operand, bool):
-        test = (kind(value) == "BOOLEAN") & (F.try_variant_get(value, "$", "boolean") == F.lit(operand))
+        test = (F.try_variant_get(value, "$", "boolean") == F.lit(operand)) & (kind(value) == "BOOLEAN")
     elif isinstance(operand, str):
-        test = (kind(value) == "STRING") & (F.try_variant_get(value, "$", "string") == F.lit(operand))
+        test = (F.try_variant_get(value, "$", "string") == F.lit(operand)) & (kind(value) == "STRING")
     else:
-        test = number(value) == F.lit(float(operand))
+        test = (F.try_variant_get(value, "$", "double") == F.lit(float(operand))) & numeric(value)
     return F.coalesce(test, F.lit(False))
 
 
+def numeric(value: Column) -> Column:
+    """Whether a value that casts to a double is a number itself."""
+    return ~kind(value).isin("STRING", "BOOLEAN")
+
+
 def leaf_test(value: Column, op: str, operand: object) -> Column:
     """Whether one leaf satisfies an existential operator."""
     if op in ("eq", "contains", "neq"):
         return equals(value, operand)
-    n = number(value)
+    n = F.try_variant_get(value, "$", "double")
     if op == "between":
         test = n.between(float(operand[0]), float(operand[1]))
     else:
         other = F.lit(float(operand))
         test = {"gt": n > other, "gte": n >= other, "lt": n < other, "lte": n <= other}[op]
-    return F.coalesce(test, F.lit(False))
-
-
-def canonical(text: Column) -> Column:
-    """JSON text as VARIANT, or null if it is malformed."""
-    return F.try_parse_json(text)
-
-
+    return F.coalesce(test & numeric(value), F.lit(False))

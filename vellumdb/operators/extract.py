@@ -1,9 +1,11 @@
 """Leaves and array scopes of documents: the rows that indexes are made of.
 
-``leaves``: one row for each primitive.  ``scopes``: one for each array element, with
-its parent's.  ``scoped_leaves``: a leaf once for each element around it, with the path
-from there (``$`` for the element itself).  A scope's id is its trail of array
-positions, unique within a document's array path.
+``entries``: what one pass over a document finds, in pre-order: a row for each array
+element (without a value type) and one for each primitive, with the numbers of the
+elements around it, outermost first; elements are numbered from 1 in each document.  The
+index tables are projections of it in generated JVM code: ``leaves`` are the primitives,
+``scopes`` the array elements with their parents, ``scoped_leaves`` a leaf once for each
+element around it, with the path from there (``$`` for the element itself).
 """
 
 from __future__ import annotations
@@ -20,9 +22,11 @@ from ..functions.documents import parse_document, type_name
 from ..plans.paths import escape
 
 VALUE = "value_type string, value_str string, value_num double, value_bool boolean"
+ENTRIES = f"doc_id long, path string, {VALUE}, trail string, pos int, scope_ids array<long>"
 LEAVES = f"doc_id long, path string, {VALUE}, trail string, pos int"
 SCOPES = "doc_id long, scope_id long, parent_scope_id long, array_path string, trail string"
 SCOPED_LEAVES = f"doc_id long, scope_id long, array_path string, relative_path string, {VALUE}"
+NAMES = ["value_type", "value_str", "value_num", "value_bool"]
 
 
 @dataclass(frozen=True)
@@ -50,22 +54,42 @@ class ScopedEntry:
     value_type: str
 
 
-def _walk(value: object, path: str, trail: str) -> Iterator[Entry]:
+def walk(document: dict, names: dict[str, str]) -> Iterator[tuple]:
+    """(path, value, whether it is an array element's own row, trail, numbers of the
+    elements around).  ``names`` keeps escaped keys."""
+    elements = 0
     # an explicit stack: documents may be nested more deeply than Python recurses
-    stack = [(value, path, trail)]
+    stack: list[tuple] = [(document, "$", "$", (), False)]
     while stack:
-        value, path, trail = stack.pop()
-        if isinstance(value, dict):
-            stack += [(x, f"{path}.{escape(k)}", trail) for k, x in reversed(value.items())]
-        elif isinstance(value, list):
-            stack += [(x, f"{path}[]", f"{trail}/{k}") for k, x in reversed(list(enumerate(value)))]
+        value, path, trail, around, element = stack.pop()
+        if element:
+            elements += 1
+            around = (*around, elements)
+            yield path, None, True, trail, around
+        if type(value) is dict:
+            below = []
+            for k, x in value.items():
+                name = names.get(k)
+                if name is None:
+                    name = names[k] = "." + escape(k)
+                below.append((x, path + name, trail, around, False))
+            stack += reversed(below)
+        elif type(value) is list:
+            path += "[]"
+            stack += [(value[k], path, f"{trail}/{k}", around, True) for k in range(len(value) - 1, -1, -1)]
         else:
-            yield Entry(path, value, type_name(value), trail)
+            yield path, value, False, trail, around
 
 
 def extract_entries(document: dict) -> list[Entry]:
     """The primitive leaves of a document, in order."""
-    return list(_walk(parse_document(document), "$", "$"))
+    return [Entry(path, value, type_name(value), trail) for path, value, element, trail, _ in walk(parse_document(document), {}) if not element]
+
+
+def array_paths(path: str) -> list[str]:
+    """The paths of the arrays around a leaf, outermost first; escaped keys hold no []."""
+    parts = path.split("[]")
+    return ["[]".join(parts[: k + 1]) + "[]" for k in range(len(parts) - 1)]
 
 
 def extract_scoped(document: dict) -> tuple[list[Scope], list[ScopedEntry]]:
@@ -73,81 +97,94 @@ def extract_scoped(document: dict) -> tuple[list[Scope], list[ScopedEntry]]:
     them, outermost first."""
     scopes: list[Scope] = []
     entries: list[ScopedEntry] = []
-    stack: list[tuple] = [(parse_document(document), "$", "$", ())]
-    while stack:
-        value, path, trail, around = stack.pop()
-        if isinstance(value, dict):
-            stack += [(x, f"{path}.{escape(k)}", trail, around) for k, x in reversed(value.items())]
-        elif isinstance(value, list):
-            stack += [(x, f"{path}[]", f"{trail}/{k}", (*around, None)) for k, x in reversed(list(enumerate(value)))]
-        if around and around[-1] is None:
-            scope = Scope(len(scopes) + 1, around[-2].scope_id if len(around) > 1 else None, path, trail)
-            scopes.append(scope)
-            fixed = (*around[:-1], scope)
-            grown = len(value) if isinstance(value, (dict, list)) else 0
-            for k in range(len(stack) - grown, len(stack)):
-                v, p, t, a = stack[k]
-                stack[k] = (v, p, t, (*fixed, None) if isinstance(value, list) else fixed)
-            around = fixed
-        if not isinstance(value, (dict, list)):
-            kind = type_name(value)
-            entries += [ScopedEntry(s.scope_id, s.array_path, "$" + path[len(s.array_path) :], value, kind) for s in around]
+    for path, value, element, trail, around in walk(parse_document(document), {}):
+        if element:
+            scopes.append(Scope(around[-1], around[-2] if len(around) > 1 else None, path, trail))
+        else:
+            entries += [ScopedEntry(k, a, "$" + path[len(a) :], value, type_name(value)) for k, a in zip(around, array_paths(path), strict=True)]
     return scopes, entries
 
 
-def _value_columns(values: list, kinds: list[str]) -> list[pa.Array]:
-    return [
-        pa.array(kinds, pa.string()),
-        pa.array([v if k == "string" else None for v, k in zip(values, kinds, strict=True)], pa.string()),
-        pa.array([float(v) if k == "number" else None for v, k in zip(values, kinds, strict=True)], pa.float64()),
-        pa.array([v if k == "boolean" else None for v, k in zip(values, kinds, strict=True)], pa.bool_()),
-    ]
+#: Rows of one batch that leaves a worker.
+ROWS = 50_000
 
 
-NAMES = ["value_type", "value_str", "value_num", "value_bool"]
+def entries(docs: DataFrame) -> DataFrame:
+    """Of (doc_id, json): the rows of one pass over each document."""
 
-
-def leaves(docs: DataFrame) -> DataFrame:
-    """Of (doc_id, json): one row for each primitive leaf."""
+    def batch_of(columns: list[list]) -> pa.RecordBatch:
+        ids, paths, kinds, texts, numbers, flags, trails, places, around = columns
+        offsets, flat = [0], []
+        for x in around:
+            flat += x
+            offsets.append(len(flat))
+        scopes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))
+        types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.bool_(), pa.string(), pa.int32())
+        return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip((ids, paths, kinds, texts, numbers, flags, trails, places), types, strict=True)), scopes], names=["doc_id", "path", *NAMES, "trail", "pos", "scope_ids"])
 
     def run(batches):
+        names: dict[str, str] = {}
+        columns: list[list] = [[] for _ in range(9)]
+        ids, paths, kinds, texts, numbers, flags, trails, places, around = columns
         for batch in batches:
-            rows = [(i, k, e) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, e in enumerate(extract_entries(json.loads(text)))]
-            values = _value_columns([e.value for *_, e in rows], [e.value_type for *_, e in rows])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([i for i, *_ in rows], pa.int64()), pa.array([e.path for *_, e in rows], pa.string()), *values, pa.array([e.scope for *_, e in rows], pa.string()), pa.array([k for _, k, _ in rows], pa.int32())],
-                names=["doc_id", "path", *NAMES, "trail", "pos"],
-            )
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                place = 0
+                for path, value, element, trail, scopes in walk(json.loads(text), names):
+                    kind = type(value)
+                    kinds.append(None if element else "string" if kind is str else "null" if value is None else "boolean" if kind is bool else "number")
+                    texts.append(value if kind is str else None)
+                    numbers.append(float(value) if kind is int or kind is float else None)
+                    flags.append(value if kind is bool else None)
+                    ids.append(doc_id)
+                    paths.append(path)
+                    trails.append(trail)
+                    places.append(None if element else place)
+                    around.append(scopes)
+                    place += not element
+                if len(ids) >= ROWS:
+                    yield batch_of(columns)
+                    for c in columns:
+                        c.clear()
+                if len(names) > 100_000:
+                    names.clear()
+        yield batch_of(columns)
 
-    return docs.select("doc_id", "json").mapInArrow(_local(run), LEAVES)
+    return docs.select("doc_id", "json").mapInArrow(_local(run), ENTRIES)
 
 
-def scopes(docs: DataFrame) -> DataFrame:
-    """Of (doc_id, json): one row for each array element."""
+def leaves_of(rows: DataFrame) -> DataFrame:
+    return rows.where("value_type IS NOT NULL").select("doc_id", "path", *NAMES, "trail", "pos")
 
-    def run(batches):
-        for batch in batches:
-            rows = [(i, s) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for s in extract_scoped(json.loads(text))[0]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _ in rows], pa.int64()), pa.array([s.scope_id for _, s in rows], pa.int64()), pa.array([s.parent_scope_id for _, s in rows], pa.int64()), pa.array([s.array_path for _, s in rows], pa.string()), pa.array([s.trail for _, s in rows], pa.string())],
-                names=["doc_id", "scope_id", "parent_scope_id", "array_path", "trail"],
-            )
 
-    return docs.select("doc_id", "json").mapInArrow(_local(run), SCOPES)
+def scopes_of(rows: DataFrame) -> DataFrame:
+    parent = F.when(F.size("scope_ids") > 1, F.element_at("scope_ids", -2))
+    return rows.where("value_type IS NULL").select("doc_id", F.element_at("scope_ids", -1).alias("scope_id"), parent.alias("parent_scope_id"), F.col("path").alias("array_path"), "trail")
 
 
-def scoped_leaves(docs: DataFrame) -> DataFrame:
-    """Of (doc_id, json): leaves for each array element around them."""
+def scoped_leaves_of(rows: DataFrame) -> DataFrame:
+    some = rows.where("value_type IS NOT NULL AND size(scope_ids) > 0").select("doc_id", "path", *NAMES, F.posexplode("scope_ids").alias("level", "scope_id"))
+    array_path = F.concat(F.call_function("substring_index", F.col("path"), F.lit("[]"), F.col("level") + 1), F.lit("[]"))
+    some = some.withColumn("array_path", array_path)
+    relative = F.concat(F.lit("$"), F.substr("path", F.length("array_path") + 1))
+    return some.select("doc_id", "scope_id", "array_path", relative.alias("relative_path"), *NAMES)
 
-    def run(batches):
-        for batch in batches:
-            rows = [(i, e) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for e in extract_scoped(json.loads(text))[1]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _ in rows], pa.int64()), pa.array([e.scope_id for _, e in rows], pa.int64()), pa.array([e.array_path for _, e in rows], pa.string()), pa.array([e.relative_path for _, e in rows], pa.string()), *_value_columns([e.value for _, e in rows], [e.value_type for _, e in rows])],
-                names=["doc_id", "scope_id", "array_path", "relative_path", *NAMES],
-            )
 
-    return docs.select("doc_id", "json").mapInArrow(_local(run), SCOPED_LEAVES)
+TABLES_OF = {"leaves": leaves_of, "scopes": scopes_of, "scoped_leaves": scoped_leaves_of}
+
+
+def leaves(docs: DataFrame) -> DataFrame:
+    """Of (doc_id, json): one row for each primitive leaf."""
+    return leaves_of(entries(docs))
+
+
+def scopes(docs: DataFrame) -> DataFrame:
+    """Of (doc_id, json): one row for each array element."""
+    return scopes_of(entries(docs))
+
+
+def scoped_leaves(docs: DataFrame) -> DataFrame:
+    """Of (doc_id, json): leaves for each array element around them."""
+    return scoped_leaves_of(entries(docs))
 
 
 def _local(run):

@@ -1,26 +1,20 @@
-"""Streaming ingest: each micro-batch of JSON texts becomes a segment, once."""
+"""Streaming ingest: each micro-batch of JSON texts becomes a segment, exactly once."""
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..database import Database
-from ..sources.files import replace_file
 
 
 def ingest(stream: DataFrame, database: Database, checkpoint: str, column: str = "json", **trigger) -> StreamingQuery:
-    """Starts a query that loads the stream's texts.  A batch that was loaded before a
-    restart is recognised by its number and not loaded again."""
-    mark = Path(database.folder, "ingested")
+    """Starts a query that loads the stream's texts.  A batch's number is committed in the
+    same manifest as its documents, under the checkpoint's name, so a batch that is run
+    again after a crash, wherever it struck, is recognised and not loaded twice."""
 
     def load(batch: DataFrame, number: int) -> None:
-        done = int(mark.read_text()) if mark.exists() else -1
-        if number > done:
-            database.load(batch, column)
-            replace_file(mark, str(number))
+        database.load(batch, column, batch=(checkpoint, number))
 
     writer = stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()
