@@ -160,10 +160,23 @@ def test_substring_dedup(spark, docs, none, rows):
 
 
 def test_substring_dedup_without_a_filter_and_with_little_memory(spark, docs, rows, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "FILTER_BLOCKS", 0)
     gone = windows_removed(rows)
-    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.dedup(docs).collect()}
-    assert got == {i: len(gone[i]) for i, _ in rows}
+    assert substring_dedup.levels(20) == [5, 10, 20] and substring_dedup.levels(7) == [3, 7]
+    for blocks, passes in ((1, 0), (30, 1000)):  # all pass, and a filter in many parts
+        monkeypatch.setattr(substring_dedup, "FILTER_BLOCKS", blocks)
+        monkeypatch.setattr(substring_dedup, "PASSES", passes)
+        got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.dedup(docs).collect()}
+        assert got == {i: len(gone[i]) for i, _ in rows}
+
+
+def test_filters_of_repeated_windows_come_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "FILTER_BLOCKS", 50)
+    keys = np.random.default_rng(2).integers(0, 2**64, 900, dtype=np.uint64)
+    parts = list(substring_dedup.filters(spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "half long"), len(keys)))
+    assert len(parts) == 4
+    assert (sum(p.alive(keys) for p in parts) == 1).all()  # each in the part that is its own
+    others = np.random.default_rng(3).integers(0, 2**64, 9000, dtype=np.uint64)
+    assert sum(p.alive(others) for p in parts).sum() < 900
 
 
 def test_a_half_with_too_many_windows_is_dealt_out_again(monkeypatch):

@@ -3,13 +3,16 @@
 A word goes if a window of 20 consecutive words covers it whose word sequence also
 starts earlier (in a smaller id, or earlier in the same document).
 
-Level one has windows of half the length.  Not all need counting: each full window
-chooses, among the half windows inside it, the one of least hash (the first of equals);
-equal full windows choose equal halves at equal places, so only chosen halves are
-counted, about one for six words, and none is missed.  Halves that occur once die here:
-a filter of the others goes to the workers if it is small enough, else all pass.
-
-Level two extends the survivors to twice their length.  A run of full windows with one
+Levels double the length until it is the one asked for, or no candidate survives: 5 and
+10 words, then 20.  Not all short windows need counting: each full window chooses, among
+the half windows inside it, the one of least hash (the first of equals), and that one
+chooses among its own halves in the same way.  Equal full windows choose equal halves at
+equal places, so only chosen windows are counted, about one for six words, and none is
+missed.  Windows that occur once at one level die there: a filter of the others goes to
+the workers for the next level, in ``PASSES`` parts with a scan each if it is too large to
+be sent at once; beyond that all pass, which costs shuffling and changes nothing.
+
+The last level extends the survivors to the full length.  A run of full windows with one
 chosen half is one row, (half, id, start, hashes), dealt out by the half and sorted, so
 the first occurrence of each window is seen first and later ones are repeats.  Windows
 repeated within a worker's slice are found there and leave it as finished spans: a
@@ -17,8 +20,9 @@ passage that a third of all documents share costs one row for each slice.  If on
 has too many different windows to remember, the rest of its windows are dealt out once
 more, by half and window, and aggregated.
 
-At twenty words the candidates' fate is known, so the doubling ends; spans then meet
-their texts by id, sorted, in a stream.
+At the full length the candidates' fate is known, so the doubling ends: a longer
+repeat is made of repeated windows of this length.  Spans then meet their texts by id,
+sorted, in a stream; rows without an id, which nothing can concern, stay where they are.
 
 Defined cases: a null or empty text has no words and removes nothing; texts under 20
 words stay; a document with a null id is left alone and causes no removal; rows that
@@ -29,6 +33,9 @@ gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,34 +43,75 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, as_array, map_arrow, mix, rolling, stored, text_slices, word_hashes, words
+from ._common import U64, as_array, discard, map_arrow, mix, rolling, stored, text_slices, word_hashes, words
 
 WINDOW = 20
-#: Largest filter of repeated halves, in 64-bit blocks, that is sent to the workers.
+#: No level has shorter windows.
+SHORTEST = 5
+#: Largest part of a filter of repeated windows, in 64-bit blocks, that is sent to the
+#: workers, and most parts.
 FILTER_BLOCKS = 4_000_000
+PASSES = 4
 #: Different windows of one half that a worker remembers.
 REMEMBERED = 2_000_000
 
 
-def runs_of(texts: pa.Array, window: int = WINDOW):
-    """All full windows of some texts, in order: (text, start, hash, chosen half's
-    hash), and where runs with one chosen half begin."""
-    half = window // 2
+def levels(window: int) -> list[int]:
+    """Lengths that double up to the window's."""
+    out = [window // 2, window]
+    while out[0] // 2 >= SHORTEST:
+        out.insert(0, out[0] // 2)
+    return out
+
+
+@dataclass(frozen=True)
+class Runs:
+    """All full windows of some texts, in order, as (text, start, hash).  ``first``: where
+    runs with one chosen half begin; ``places`` and ``hashes``: of the chosen window of
+    each run, for every level, the shortest first."""
+
+    text: np.ndarray
+    start: np.ndarray
+    full: np.ndarray
+    first: np.ndarray
+    places: list[np.ndarray]
+    hashes: list[np.ndarray]
+
+    def group(self) -> np.ndarray:
+        """The run of each window."""
+        out = np.zeros(len(self.text), np.int64)
+        out[self.first[1:]] = 1
+        return np.cumsum(out)
+
+
+def least(hashes: np.ndarray, places: np.ndarray, choices: int) -> np.ndarray:
+    """Of the ``choices`` windows from each place on, the one of least hash."""
+    view = np.lib.stride_tricks.sliding_window_view(mix(hashes, 5), choices)
+    return places + (view if len(places) == len(view) else view[places]).argmin(axis=1)
+
+
+def runs_of(texts: pa.Array, window: int = WINDOW) -> Runs:
+    sizes = levels(window)[:-1]
     offsets, codes, names = words(texts)
     hashes = word_hashes(names)[codes] if len(codes) else np.empty(0, U64)
     full = rolling(hashes, window)
     if not len(full):
         none = np.empty(0, np.int64)
-        return none, none, full, full, none
-    small = rolling(hashes, half)
-    view = np.lib.stride_tricks.sliding_window_view(mix(small, 5), window - half + 1)
-    chosen = np.arange(len(full)) + view.argmin(axis=1)
+        return Runs(none, none, full, none, [none] * len(sizes), [full] * len(sizes))
+    small = rolling(hashes, sizes[-1])
+    chosen = least(small, np.arange(len(full)), window - sizes[-1] + 1)
     text = np.searchsorted(offsets, np.arange(len(full)), side="right") - 1
     inside = np.arange(len(full)) + window <= offsets[text + 1]
     at = np.flatnonzero(inside)
     text, chosen = text[at], chosen[at]
     new = np.concatenate([[True], (np.diff(chosen) != 0) | (np.diff(text) != 0)]) if len(at) else np.empty(0, bool)
-    return text, at - offsets[text], full[at], small[chosen], np.flatnonzero(new)
+    first = np.flatnonzero(new)
+    places, found = [chosen[first]], [small[chosen[first]]]
+    for longer, size in zip(sizes[:0:-1], sizes[-2::-1], strict=True):
+        shorter = rolling(hashes, size)
+        places.insert(0, least(shorter, places[0], longer - size + 1))
+        found.insert(0, shorter[places[0]])
+    return Runs(text, at - offsets[text], full[at], first, places, found)
 
 
 def filter_place(half: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,51 +122,79 @@ def filter_place(half: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]
     return ((half >> U64(30)) % U64(blocks)).astype(np.int64), mask
 
 
-def repeated_filter(docs: DataFrame, window: int) -> np.ndarray | None:
-    """The filter of half windows that were chosen more than once."""
+@dataclass(frozen=True)
+class Part:
+    """The filter of the repeated windows of a level whose hash is ``k`` modulo ``n``;
+    without a table all pass."""
+
+    k: int
+    n: int
+    table: np.ndarray | None
+
+    def alive(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hashes), bool) if self.n == 1 else hashes % U64(self.n) == U64(self.k)
+        if self.table is not None and len(hashes):
+            block, mask = filter_place(hashes, len(self.table))
+            out &= (self.table[block] & mask) == mask
+        return out
+
+
+def counted(docs: DataFrame, level: int, part: Part | None, window: int) -> DataFrame:
+    """half, n: chosen windows of a level, of which the level before has survivors."""
+    sent = docs.sparkSession.sparkContext.broadcast(part)
 
     def run(batches):
+        known = sent.value
         for batch in batches:
             texts = as_array(batch.column(1))
             for a, b in text_slices(texts):
-                _, _, _, half, first = runs_of(texts.slice(a, b - a), window)
-                keys, n = np.unique(half[first], return_counts=True)
+                runs = runs_of(texts.slice(a, b - a), window)
+                places, hashes = runs.places[level], runs.hashes[level]
+                if known is not None:
+                    alive = known.alive(runs.hashes[level - 1])
+                    places, hashes = places[alive], hashes[alive]
+                _, once = np.unique(places, return_index=True)
+                keys, n = np.unique(hashes[once], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["half", "n"])
 
-    counts = map_arrow(docs, run, "half long, n long").groupBy("half").agg(F.sum("n").alias("n"))
-    again = stored(counts.where("n > 1").select("half"), "repeated")
-    blocks = max(1, again.count() * 12 // 64)
-    if blocks > FILTER_BLOCKS:
-        return None
+    return map_arrow(docs, run, "half long, n long")
+
+
+def filters(again: DataFrame, n: int) -> Iterator[Part]:
+    """The filter of n repeated windows, part after part."""
+    blocks = max(1, n * 12 // 64)
+    parts = -(-blocks // max(1, FILTER_BLOCKS))
+    if parts > PASSES:
+        yield Part(0, 1, None)
+        return
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("half", 6 * k).bitwiseAND(F.lit(63)).cast("int"))
     mask = bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2)).bitwiseOR(bit(3)).bitwiseOR(bit(4))
-    rows = again.select(F.pmod(F.shiftrightunsigned("half", 30), F.lit(blocks)).alias("block"), mask.alias("mask")).groupBy("block").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
-    out = np.zeros(blocks, U64)
-    out[np.asarray(rows["block"])] = np.asarray(rows["mask"]).view(U64)
-    return out
-
+    blocks = -(-blocks // parts)
+    for k in range(parts):
+        # the hash is unsigned in the workers
+        mine = F.expr(f"pmod(pmod(half, {parts}) + CASE WHEN half < 0 THEN {2**64 % parts} ELSE 0 END, {parts}) = {k}")
+        rows = again.where(mine).select(F.pmod(F.shiftrightunsigned("half", 30), F.lit(blocks)).alias("block"), mask.alias("mask")).groupBy("block").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
+        out = np.zeros(blocks, U64)
+        out[np.asarray(rows["block"])] = np.asarray(rows["mask"]).view(U64)
+        yield Part(k, parts, out)
 
 
-def candidates(docs: DataFrame, known: np.ndarray | None, window: int) -> DataFrame:
+def candidates(docs: DataFrame, part: Part, window: int) -> DataFrame:
     """half, doc_id, start, n, hashes: runs of surviving windows; runs whose repetition
     is already settled have no hashes."""
-    sent = docs.sparkSession.sparkContext.broadcast(known)
+    sent = docs.sparkSession.sparkContext.broadcast(part)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        table = sent.value
+        known = sent.value
         for batch in batches:
             order = pc.sort_indices(batch.column(0))
             ids, texts = as_array(batch.column(0)).take(order), as_array(batch.column(1)).take(order)
             for a, b in text_slices(texts):
-                text, start, full, half, first = runs_of(texts.slice(a, b - a), window)
-                group = np.zeros(len(text), np.int64)
-                group[first[1:]] = 1
-                group = np.cumsum(group)
-                if table is not None and len(text):
-                    block, mask = filter_place(half[first], len(table))
-                    alive = ((table[block] & mask) == mask)[group]
-                    text, start, full, half, group = text[alive], start[alive], full[alive], half[alive], group[alive]
+                runs = runs_of(texts.slice(a, b - a), window)
+                group = runs.group()
+                alive = known.alive(runs.hashes[-1])[group]
+                text, start, full, half, group = runs.text[alive], runs.start[alive], runs.full[alive], runs.hashes[-1][group[alive]], group[alive]
                 if not len(text):
                     continue
                 own = ids.slice(a, b - a)
@@ -255,7 +331,16 @@ class Resolver:
 def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, start, n: runs of n windows that are repeats, of documents (doc_id, text)."""
     named = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    found = settled(candidates(named, repeated_filter(named, window), window))
+    parts: list[Part | None] = [None]
+    for level in range(len(levels(window)) - 1):
+        counts = reduce(DataFrame.unionByName, [counted(named, level, part, window) for part in parts]).groupBy("half").agg(F.sum("n").alias("n"))
+        again = stored(counts.where("n > 1").select("half"), "repeated")
+        n = again.count()
+        if not n:  # no candidate survives
+            return named.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start int, n int")
+        parts = list(filters(again, n))
+        discard(again)
+    found = settled(reduce(DataFrame.unionByName, [candidates(named, part, window) for part in parts]))
     late = found.where("half IS NOT NULL")
     first = late.groupBy("half", "window").agg(F.min(F.struct("doc_id", "start")).alias("f"))
     more = late.join(first, ["half", "window"]).where(F.struct("doc_id", "start") > F.col("f")).select("doc_id", "start", "n")
@@ -269,8 +354,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     id_type = docs.schema["doc_id"].dataType.simpleString()
     cut = spans(docs, window).select("doc_id", F.lit(0).alias("kind"), "start", "n", F.lit(None).cast("string").alias("text"))
     whole = docs.select("doc_id", F.lit(1).alias("kind"), F.lit(0).alias("start"), F.lit(0).alias("n"), "text")
-    # a document's spans come before its text
-    rows = whole.unionByName(cut).repartition("doc_id").sortWithinPartitions("doc_id", "kind")
+    # a document's spans come before its text; rows without an id are dealt out evenly
+    evenly = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    rows = whole.unionByName(cut).withColumn("spread", evenly).repartition("doc_id", "spread").sortWithinPartitions("doc_id", "kind").drop("spread")
 
     def run(batches):
         at, marks = None, []
