@@ -2,6 +2,11 @@
 
 Each stage works on all that its predecessor kept and is written before the next reads
 it.  ``run`` applies the stages to ``documents``.
+
+Defined cases: documents whose text is null, empty or without a letter have no language
+and go; rows that repeat outright stay once; rows without an id are judged by their text
+as the operators' docstrings say; other columns are kept by all stages but the last,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vellumdb.llm import decontaminate, exact_dedup, jaccard_join, langid, packing
-from vellumdb.llm._common import stored, table
+from vellumdb.llm._common import discard, stored, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,5 +46,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs, before = stored(stage(spark, docs, sf_dir), name), docs
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
