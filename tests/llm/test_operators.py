@@ -482,6 +482,50 @@ def test_language_id(spark, docs, none):
     assert langid.identify(none, model).count() == 0
 
 
+def test_null_ids_repeats_and_ties(spark):
+    """Rows without an id and rows that repeat are judged each."""
+    texts = [(None, "ba be bi"), (None, None), (None, "ba be bi"), (3, "ba be bi"), (3, "ba be bi"), (8, ""), (9, "zz " * 3000)]
+    frame = spark.createDataFrame([(i, t, "x", 1) for i, t in texts], "doc_id long, text string, lang string, piece int")
+    count = lambda rows: collections.Counter(r["doc_id"] for r in rows)
+    want = collections.Counter(i for i, _ in texts)
+    scored = lm_score.scored(frame, n_words=4).collect()
+    assert count(scored) == want and all(r["held_out"] == (zlib.crc32(b"" if r["doc_id"] is None else str(r["doc_id"]).encode()) % 10 == 0) for r in scored)
+    assert len({r["score"] for r in scored if r["n_tokens"] == 4}) == 1
+    pieces = packing.packed(frame).collect()
+    assert sum(r["piece"] == 0 for r in pieces) == len(texts) and count(r for r in pieces if r["piece"] == 0) == want
+    found = langid.identify(frame, langid.fit(frame)).collect()
+    assert count(found) == want and {r["lang_pred"] for r in found if r["score"]} == {"x"}
+    # two languages that no text tells apart: the first in sorted order
+    tied = langid.LanguageModel(("b", "a")[::-1], np.zeros((langid.BUCKETS, 2), np.float32), np.zeros(2))
+    assert {r["lang_pred"] for r in langid.identify(frame, tied).collect()} == {"a", "und"}
+    labels = spark.createDataFrame([(3, 1), (3, 0), (9, 0), (None, 1)], "doc_id long, toxic int")
+    assert count(toxicity.scored(frame, toxicity.fit(frame, labels)).collect()) == want
+
+
+def test_models_learn_from_long_texts(spark):
+    """No length is left out of the samples."""
+    long = lambda words, k: " ".join(words[(7 * j + k) % len(words)] for j in range(6000))
+    kinds = {"aa": ["bake", "kelo", "loba"], "bb": ["tzuß", "örtz", "ßuör"]}
+    rows = [(k, long(kinds[x] + ["grumbad"] * (k % 2), k), x) for k, x in enumerate(["aa", "aa", "bb", "bb"] * 12)]
+    assert min(len(t) for _, t, _ in rows) > 20_000
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(frame)
+    assert model.langs == ("aa", "bb")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(frame, model).collect()} == {k: x for k, _, x in rows}
+    labels = spark.createDataFrame([(k, k % 2) for k, _, _ in rows], "doc_id long, toxic int")
+    scores = {r["doc_id"]: r["score"] for r in toxicity.scored(frame, toxicity.fit(frame, labels)).collect()}
+    assert min(scores[k] for k in scores if k % 2) > max(scores[k] for k in scores if not k % 2)
+
+
+def test_toxicity_swaps_count_each(spark):
+    rows = toxicity.presence(pa.array(["the women said", "women and men", "die Frauen", "nobody"]))
+    groups = [[lm_score.word_hashes(toxicity.features_of(t.encode())) for t in own] for own in (("women", "men", "girls"), ("frauen", "männer"))]
+    chosen = np.unique(np.concatenate([*rows, *(g for own in groups for g in own)]))
+    swap, feature, sign, weight = toxicity.counterfactuals(rows, groups, chosen)
+    # women to men and girls (twice, once beside men), men to women and girls, frauen to männer
+    assert weight.sum() == 2 + 4 + 1 and swap.max() + 1 == len(weight) and set(sign.tolist()) == {1.0, -1.0}
+
+
 def test_toxicity(spark, none):
     rng = random.Random(6)
     insults = ["grumbad", "zotwit", "plonkers"]
