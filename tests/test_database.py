@@ -108,9 +108,11 @@ def test_auto_flush_bulk_load_and_compaction(spark, tmp_path):
         assert db.run_maintenance() >= 1
         assert db.search(HIT, plan="index").ids() == list(range(1, 10))
         assert max(s.level for s in db.manifest.segments) == 1
-        db.search(HIT)
-        db.search(HIT)
-        assert db.stats()["cache_hits"] >= 1
+        again = db.search(HIT, plan="index")
+        assert db.stats()["cache_hits"] == 1 and again.ids() == list(range(1, 10))
+        assert "InMemoryTableScan" in again.dataframe._jdf.queryExecution().toString()
+        db.delete(4)
+        assert db.search(HIT, plan="index").ids() == [1, 2, 3, *range(5, 10)]
 
 
 @pytest.mark.parametrize("point", ["after-write", "before-commit", "after-commit", "before-cleanup"])

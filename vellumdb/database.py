@@ -25,11 +25,11 @@ from .operators.compaction import TOP_LEVEL, CompactionPlan, choose
 from .operators.extract import extract_entries, extract_scoped
 from .operators.maintenance import Scheduler, Snapshots
 from .options import DatabaseOptions
-from .plans.index import Index
+from .plans.index import Index, compile_index
 from .plans.parser import parse_query
 from .plans.prune import possible
 from .results import PlanCache, SearchResult
-from .sources.files import FileLock, Log, Manifest, ManifestStore, SegmentInfo
+from .sources.files import LOG_FORMAT, LOG_VERSION, FileLock, Log, Manifest, ManifestStore, SegmentInfo
 from .sources.segments import TABLES, SegmentStore
 
 #: Deleted ids of the segments up to which they are broadcast.
@@ -60,7 +60,7 @@ class Database:
             self.segments.clean({s.segment_id for s in self.manifest.segments})
             self.snapshots = Snapshots(self.segments.remove)
             self.filters: dict[int, object] = {}
-            self.cache = PlanCache(options.posting_cache_max_entries if options.posting_cache else 0)
+            self.cache = PlanCache(options.posting_cache_max_entries if options.posting_cache else 0, lambda ids: ids.unpersist())
             self.buffer: dict[int, str] = {}
             self.sequence, self.next_doc_id = self.manifest.checkpoint, self.manifest.next_doc_id
             self.log = self._log()
@@ -383,11 +383,16 @@ class Database:
             infos = self.candidates(query)
             release = self.snapshots.acquire([s.segment_id for s in infos])
 
-            def make() -> DataFrame:
-                return evaluate(self._frame(infos), query, plan, self.index(infos) if plan == "index" else None).select("doc_id", "json").orderBy("doc_id")
-
-            key = f"{plan}:{self.sequence}:{canonical_json(query) if _plain(query) else id(query)}"
-            return SearchResult(self.cache.get(key, make), release)
+            docs = self._frame(infos)
+            if plan == "index":
+                # the matching ids stay with the executors, so a repeated search reads no index
+                key = f"{self.sequence}:{canonical_json(query) if _plain(query) else id(query)}"
+                make = lambda: compile_index(self.index(infos), parse_query(query)).persist()
+                ids = self.cache.get(key, make) if self.cache.most else compile_index(self.index(infos), parse_query(query))
+                found = docs.select("doc_id", "json").join(ids, "doc_id", "left_semi")
+            else:
+                found = evaluate(docs, query, plan)
+            return SearchResult(found.select("doc_id", "json").orderBy("doc_id"), release)
 
     def verify(self) -> None:
         """Reads every table of every segment and checks that they agree."""
@@ -413,6 +418,10 @@ class Database:
                 "live_documents": sum(s.live for s in infos) + len(self.buffer), "segment_bytes": sum(s.bytes for s in infos), "segment_counts_by_level": [sum(s.level == k for s in infos) for k in range(TOP_LEVEL + 1)],
                 "cache_entries": len(self.cache.items), "cache_max_entries": self.cache.most, "cache_hits": self.cache.hits, "cache_misses": self.cache.misses,
                 "maintenance_state": self.scheduler.state, "maintenance_completed": self.scheduler.completed, "maintenance_failure": str(self.scheduler.failure or ""),
+                "segment_versions": sorted({self.segments.meta(s.segment_id)["version"] for s in infos}), "log_format": f"{LOG_FORMAT}/{LOG_VERSION}", "log_bytes": self.log.path.stat().st_size if self.log.path.exists() else 0,
+                "mem_bytes": sum(len(x.encode()) for x in self.buffer.values()), "first_segment": min((s.segment_id for s in infos), default=0), "last_segment": max((s.segment_id for s in infos), default=0), "dense_segments": sum(s.dense for s in infos),
+                "deleted_ratio": sum(len(s.deleted) for s in infos) / max(1, sum(s.documents for s in infos)), "open_key_filters": len(self.filters), "key_filter_bytes": sum(8 * len(f.words) for f in self.filters.values() if hasattr(f, "words")),
+                "streams": dict(self.manifest.batches), "maintenance_running": self.scheduler.running, "maintenance_interval_ms": self.options.check_interval_ms if self.options.automatic_compaction else None,
                 "held_snapshots": sum(1 for n in self.snapshots.held.values() if n > 0), "obsolete_segments": len(self.snapshots.obsolete), "automatic_compaction": self.options.automatic_compaction,
             }
             if infos:
@@ -442,6 +451,7 @@ class Database:
                 self.flush()
             finally:
                 self.closed = True
+                self.cache.clear()
                 self.log.close()
                 self.lock.release()
         self.scheduler.close()

@@ -38,10 +38,11 @@ class SearchResult:
 
 
 class PlanCache:
-    """The least recently used of a bounded number of values; 0 entries keep nothing."""
+    """The least recently used of a bounded number of values; 0 entries keep nothing.
+    ``drop`` is called with values that go."""
 
-    def __init__(self, most: int):
-        self.most, self.hits, self.misses = most, 0, 0
+    def __init__(self, most: int, drop: Callable[[object], object] = lambda value: None):
+        self.most, self.drop, self.hits, self.misses = most, drop, 0, 0
         self.items: OrderedDict[str, object] = OrderedDict()
 
     def get(self, key: str, make: Callable[[], object]) -> object:
@@ -54,8 +55,10 @@ class PlanCache:
         if self.most:
             self.items[key] = value
             while len(self.items) > self.most:
-                self.items.popitem(last=False)
+                self.drop(self.items.popitem(last=False)[1])
         return value
 
     def clear(self) -> None:
+        for value in self.items.values():
+            self.drop(value)
         self.items.clear()
