@@ -482,6 +482,39 @@ def test_language_id(spark, docs, none):
     assert langid.identify(none, model).count() == 0
 
 
+def test_lm_log_probabilities_by_brute_force():
+    """Each factor by walking the model's tables from the class down to the word."""
+    rng = np.random.default_rng(12)
+    k, counts = 300, np.floor(3000 / np.arange(1, 301))
+    classes = rng.integers(0, 3, k)
+    model = lm_score.Model(lm_score.Vocabulary(np.arange(k).astype(np.uint64)), classes, 3, rng.normal(size=4))
+    model.tree = lm_score.Tree(classes, counts)
+    model.start = model.tree.start(lm_score.within(rng.integers(0, 9, (5, k + 1)).astype(float), model.classes[: k + 1], 4))
+    model.w[:] = rng.normal(0, 0.3, model.w.shape)
+    model.node_w[:] = rng.normal(0, 0.3, model.node_w.shape)
+    above = {int(c): (n, j) for n, row in enumerate(model.tree.children) for j, c in enumerate(row) if c >= 0}
+    share = lambda z, j: float(z[j] - np.log(np.exp(np.float64(z)).sum()))
+
+    def slow(word, one, two):
+        h = lm_score.features(np.array([one]), np.array([two]))
+        total = share(model.bias + sum(model.w[r] for r in lm_score.feature_rows(h)[0]), model.classes[word])
+        at = word
+        while at in above:
+            node, j = above[at]
+            rows = [int(((h[0, f] ^ model.tree.salts[node]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - lm_score.NODE_BITS)) for f in (0, 2)]
+            total += share(model.start[model.classes[one], node] + model.node_w[rows].sum(axis=0), j)
+            at = k + node
+        return total / math.log(10)
+
+    with np.errstate(over="ignore"):
+        for one, two in ((0, 7), (250, 3), (k, k + 1), (k + 1, k + 1)):
+            want = np.array([slow(w, one, two) for w in range(k + 1)])
+            got = model.log10(np.arange(k + 1), np.full(k + 1, one), np.full(k + 1, two))
+            assert got == pytest.approx(want, abs=1e-4)
+            assert (10**got).sum() == pytest.approx(1, abs=1e-4)  # the rare class counts as a whole
+    assert model.tree.children.shape[1] == lm_score.WIDE and len(model.tree.levels) > 1
+
+
 def test_null_ids_repeats_and_ties(spark):
     """Rows without an id and rows that repeat are judged each."""
     texts = [(None, "ba be bi"), (None, None), (None, "ba be bi"), (3, "ba be bi"), (3, "ba be bi"), (8, ""), (9, "zz " * 3000)]
