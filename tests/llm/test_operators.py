@@ -475,6 +475,8 @@ def test_language_id(spark, docs, none):
     assert sum(got[i]["lang_pred"] == truth[i] for i in held) >= 0.98 * len(held) > 50
     assert [(got[i]["lang_pred"], got[i]["score"], got[i]["accepted"]) for i in (1000, 1001, 1002)] == [("und", 0.0, False)] * 3
     assert got[1003]["lang_pred"] == "aa"
+    others = ["жги клм прст", "αβγ δεζ", "日本語のテキスト", "xqzw wvkj"]
+    assert all(s < model.threshold for s in model.predict(pa.array(others))[1])
     kept = langid.keep_identified(frame, model)
     assert kept.columns == frame.columns and {r["doc_id"] for r in kept.collect()} == {i for i in got if got[i]["accepted"]}
     blank = langid.fit(none)
@@ -529,7 +531,7 @@ def test_null_ids_repeats_and_ties(spark):
     found = langid.identify(frame, langid.fit(frame)).collect()
     assert count(found) == want and {r["lang_pred"] for r in found if r["score"]} == {"x"}
     # two languages that no text tells apart: the first in sorted order
-    tied = langid.LanguageModel(("b", "a")[::-1], np.zeros((langid.BUCKETS, 2), np.float32), np.zeros(2))
+    tied = langid.LanguageModel(("b", "a")[::-1], np.zeros((langid.BUCKETS, 2), np.float32))
     assert {r["lang_pred"] for r in langid.identify(frame, tied).collect()} == {"a", "und"}
     labels = spark.createDataFrame([(3, 1), (3, 0), (9, 0), (None, 1)], "doc_id long, toxic int")
     assert count(toxicity.scored(frame, toxicity.fit(frame, labels)).collect()) == want

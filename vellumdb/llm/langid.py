@@ -34,6 +34,9 @@ DIM = 16
 SAMPLE_PER_LANG = 400
 SAMPLE_TOTAL = 20_000
 SAMPLE_FEATURES = 12_000_000
+#: No text of a higher score is rejected: one language is then likelier than all others
+#: together, and a quantile of a bounded sample would also reject short clean texts.
+CEILING = 0.5
 
 
 def subwords(names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -72,18 +75,17 @@ def segment_means(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class LanguageModel:
     langs: tuple[str, ...]
     table: np.ndarray  # BUCKETS x languages
-    bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.5
 
     def logits(self, texts: pa.Array) -> np.ndarray:
         offsets, codes, names = words(lower_ascii(texts))
         if not len(codes):
-            return np.tile(self.bias, (len(texts), 1))
+            return np.zeros((len(texts), len(self.langs)))
         whose, which = subwords(names)
         ends = np.searchsorted(whose, np.arange(len(names) + 1))
         by_word = segment_means(self.table[which], ends)
-        return segment_means(by_word[codes], offsets) + self.bias
+        return segment_means(by_word[codes], offsets)
 
     def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(index of the language or -1, score) of each text."""
@@ -122,12 +124,12 @@ Vectors = list[tuple[np.ndarray, np.ndarray]]
 
 def train(docs: Vectors, langs: list[str], calibrate: tuple[Vectors, list[str]] = ((), ()), epochs: int = 4, rate: float = 0.5, keep: float = 0.999, seed: int = 7) -> LanguageModel:
     """``keep``: the share of rightly labelled calibration rows that must not be
-    rejected."""
+    rejected, as far as scores up to ``CEILING`` can tell."""
     known = tuple(sorted(set(langs)))
     if not known:
-        return LanguageModel((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
+        return LanguageModel((), np.zeros((BUCKETS, 0), np.float32))
     rng, k = np.random.default_rng(seed), len(known)
-    e, w, b = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, k)), np.zeros(k)
+    e, w = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, k))
     target = [known.index(x) for x in langs]
     steps, total = 0, epochs * len(docs)
     for _ in range(epochs):
@@ -136,31 +138,34 @@ def train(docs: Vectors, langs: list[str], calibrate: tuple[Vectors, list[str]]
             lr = rate * (1 - steps / total)
             steps += 1
             h = weight @ e[ids]
-            g = softmax((h @ w + b)[None])[0]
+            g = softmax((h @ w)[None])[0]
             g[target[i]] -= 1
             back = w @ g
             w -= lr * np.outer(h, g)
-            b -= lr * 0.1 * g
             e[ids] -= (lr * 20 * weight)[:, None] * back[None]
-    model = LanguageModel(known, (e @ w).astype(np.float32), b)
+    seen = np.zeros(BUCKETS, bool)
+    for ids, _ in docs:
+        seen[ids] = True
+    e[~seen] = 0  # features that no training text has tell nothing: all languages are alike
+    model = LanguageModel(known, (e @ w).astype(np.float32))
     return calibrated(model, *calibrate, keep=keep)
 
 
 def calibrated(model: LanguageModel, docs: Vectors, langs: list[str], keep: float) -> LanguageModel:
     """The temperature of least log loss, and as threshold the score that a share of
-    ``keep`` of the rightly labelled rows reaches."""
+    ``keep`` of the rightly labelled rows reaches, ``CEILING`` at most."""
     rows = [(d, model.langs.index(x)) for d, x in zip(docs, langs, strict=True) if x in model.langs and len(d[0])]
     if not rows:
         return model
     y = np.array([i for _, i in rows])
-    z = np.stack([weight @ model.table[ids] for (ids, weight), _ in rows]) + model.bias
+    z = np.stack([weight @ model.table[ids] for (ids, weight), _ in rows])
     grid = np.geomspace(0.1, 10, 41)
     loss = [-np.log(np.maximum(softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
     heat = float(grid[int(np.argmin(loss))])
     p = softmax(z / heat)
     right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y])
     at = float(right[int((1 - keep) * len(right))]) if len(right) else 0.5
-    return LanguageModel(model.langs, model.table, model.bias, heat, min(at, 1 - 1e-6))
+    return LanguageModel(model.langs, model.table, heat, min(at, CEILING))
 
 
 def featured(rows: DataFrame) -> DataFrame:
