@@ -225,7 +225,7 @@ def path_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share: under spark.checkpoint.dir, if set."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if base:
+    if base.startswith(("/", "file:")):
         return f"{base.removeprefix('file://').removeprefix('file:').rstrip('/')}/vellum-db-{uuid.uuid4().hex}"
     return tempfile.mkdtemp(prefix="vellum-db-") + "/db"
 
