@@ -449,10 +449,11 @@ def test_lm_words_within_a_class_depend_on_the_words_before():
         assert logs(w) == pytest.approx(table[model.classes[w]], abs=1e-5)
     # word 9 after word 3, word 30 after word 4: all of one class
     assert len({int(model.classes[x]) for x in (3, 4, 9, 30)}) == 1
-    memory = np.zeros_like(model.node_w)
+    state = lm_score.training_state(model.node_w)
+    model.node_w = state[:, 0]
     one, target = np.tile([3, 4], 50), np.tile([9, 30], 50)
     for _ in range(30):
-        model.node_step(lm_score.features(one, np.full(100, 7)), target, one, memory)
+        model.node_step(lm_score.features(one, np.full(100, 7)), target, one, state)
     p, q = np.exp(logs(3)), np.exp(logs(4))
     assert p[9] > 0.5 > 0.2 > q[9] and q[30] > 0.5 > 0.2 > p[30]
     for x in (p, q):
@@ -503,8 +504,8 @@ def test_lm_log_probabilities_by_brute_force():
         at = word
         while at in above:
             node, j = above[at]
-            rows = [int(((h[0, f] ^ model.tree.salts[node]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - lm_score.NODE_BITS)) for f in (0, 2)]
-            total += share(model.start[model.classes[one], node] + model.node_w[rows].sum(axis=0), j)
+            rows = [int(lm_score.node_rows(h[:, f], model.tree.salts[[node]], model.tree.shifts[[node]])[0]) for f in (0, 2)]
+            total += share(model.start[node, model.classes[one]] + model.node_w[rows].sum(axis=0), j)
             at = k + node
         return total / math.log(10)
 

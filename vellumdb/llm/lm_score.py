@@ -256,11 +256,12 @@ class Tree:
         lo = np.flatnonzero(np.diff(classes[order], prepend=-1))
         hi = np.append(lo[1:], k)
         lo, hi = lo[hi - lo > 1], hi[hi - lo > 1]
-        first, self.levels, children = 0, [], []
+        first, self.levels, children, mass = 0, [], [], []
         parent, side = np.full(2 * k + 1, -1), np.zeros(2 * k + 1, np.int64)
         steps = np.arange(WIDE + 1)
         while len(lo):
             n = len(lo)
+            mass.append(total[hi] - total[lo])
             share = total[lo][:, None] + (total[hi] - total[lo])[:, None] * steps / WIDE
             cut = np.clip(np.searchsorted(total, share), lo[:, None] + steps, hi[:, None] - WIDE + steps)
             cut = np.maximum.accumulate(cut, axis=1)
@@ -287,22 +288,33 @@ class Tree:
             self.nodes[level[up], word], self.branches[level[up], word] = up, side[at]
             at = k + up
         self.salts = mix(np.arange(first), 14)
+        # a node's rows of weights lie together, about four times its share of all tokens
+        part = np.concatenate(mass) / max(total[-1], 1e-9) if mass else np.zeros(0)
+        self.shifts = (64 - np.clip(np.ceil(np.log2(np.maximum(part, 1e-12) * (4 << NODE_BITS))), 4, NODE_BITS - 3)).astype(U64)
 
     def start(self, logs: np.ndarray) -> np.ndarray:
-        """Log shares of each node's children, by which words get the log probabilities
-        ``logs`` (preceding class x word)."""
+        """For each node and preceding class the log shares of the node's children, by
+        which words get the log probabilities ``logs`` (preceding class x word)."""
         mass = np.concatenate([np.exp(logs[:, : self.words]), np.zeros((len(logs), self.size + 1))], axis=1)  # the last for no child
         b = self.size
         for n in reversed(self.levels):
             a = b - n
             mass[:, self.words + a : self.words + b] = mass[:, self.children[a:b]].sum(axis=2)
             b = a
-        return np.log(np.maximum(mass[:, self.children] / np.maximum(mass[:, self.words : self.words + self.size, None], 1e-300), 1e-30)).astype(np.float32)
+        shares = mass[:, self.children] / np.maximum(mass[:, self.words : self.words + self.size, None], 1e-300)
+        return np.ascontiguousarray(np.log(np.maximum(shares, 1e-30)).astype(np.float32).swapaxes(0, 1))
+
+
+def node_rows(hashes: np.ndarray, salts: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+    """The rows of weights of features at nodes."""
+    with np.errstate(over="ignore"):
+        inside = ((hashes ^ salts) * U64(0x9E3779B97F4A7C15)) >> shifts
+        return ((salts + inside) & U64((1 << NODE_BITS) - 1)).astype(np.int64)
 
 
 class Model:
     """classes: of words, the rare class last.  w: feature rows x classes; bias.  Within
-    the classes: tree; start: log shares of its nodes' children for each preceding class
+    the classes: tree; start: log shares of its nodes' children, for each preceding class
     (a text's beginning: last); node_w: rows of weights of features and nodes."""
 
     def __init__(self, vocabulary: Vocabulary, classes: np.ndarray, n_classes: int, bias: np.ndarray):
@@ -323,19 +335,21 @@ class Model:
             of = np.flatnonzero(node >= 0)
             if not len(of):
                 continue
+            of = of[np.argsort(node[of].astype(np.uint16), kind="stable")]  # near in memory
             node = node[of]
-            z = self.start[before[of], node]
+            z = self.start[node, before[of]]
             rows = []
-            with np.errstate(over="ignore"):
-                for k in (0, 2):
-                    rows.append((((hashes[of, k] ^ self.tree.salts[node]) * U64(0x9E3779B97F4A7C15)) >> U64(64 - NODE_BITS)).astype(np.int64))
-                    z += self.node_w[rows[-1]]
+            salts, shifts = self.tree.salts[node], self.tree.shifts[node]
+            for k in (0, 2):
+                rows.append(node_rows(hashes[of, k], salts, shifts))
+                z += self.node_w[rows[-1]]
             yield of, np.minimum(z, 60, out=z), branches[places[of]], rows
 
-    def node_step(self, hashes: np.ndarray, places: np.ndarray, one: np.ndarray, memory: np.ndarray) -> None:
-        """One gradient step on the log loss of the words within their classes."""
+    def node_step(self, hashes: np.ndarray, places: np.ndarray, one: np.ndarray, state: np.ndarray) -> None:
+        """One gradient step on the log loss of the words within their classes; ``node_w``
+        is a view of the state."""
         for _, z, branch, rows in list(self.on_the_way(hashes, places, one)):
-            descend(self.node_w, memory, z, branch, rows)
+            descend(state, z, branch, rows)
 
     def word_logs(self, hashes: np.ndarray, places: np.ndarray, one: np.ndarray) -> np.ndarray:
         """Log probability of each token within its class."""
@@ -352,9 +366,9 @@ class Model:
         z -= z.max(axis=1, keepdims=True)
         return z
 
-    def step(self, rows: np.ndarray, target: np.ndarray, memory: np.ndarray) -> None:
+    def step(self, rows: np.ndarray, target: np.ndarray, state: np.ndarray) -> None:
         """One gradient step on the log loss of the classes."""
-        descend(self.w, memory, self.class_logits(rows), target, [rows[:, k] for k in range(rows.shape[1])])
+        descend(state, self.class_logits(rows), target, [rows[:, k] for k in range(rows.shape[1])])
 
     def log10(self, places: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Of each token, for a rare one only its class's part."""
@@ -369,8 +383,14 @@ class Model:
         return out / np.log(10)
 
 
-def descend(w: np.ndarray, memory: np.ndarray, z: np.ndarray, target: np.ndarray, rows: list[np.ndarray]) -> None:
-    """One AdaGrad step on the log loss of softmaxes; ``rows``: the rows of ``w`` that
+def training_state(w: np.ndarray) -> np.ndarray:
+    """Weights and AdaGrad's memory of their squared gradients, row by row together:
+    rows x 2 x columns."""
+    return np.stack([w, np.zeros_like(w)], axis=1)
+
+
+def descend(state: np.ndarray, z: np.ndarray, target: np.ndarray, rows: list[np.ndarray]) -> None:
+    """One AdaGrad step on the log loss of softmaxes; ``rows``: the rows of weights that
     each feature adds to the logits ``z``, which are spent."""
     g = np.exp(z, out=z)
     g /= g.sum(axis=1, keepdims=True)
@@ -381,14 +401,12 @@ def descend(w: np.ndarray, memory: np.ndarray, z: np.ndarray, target: np.ndarray
         first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
         total = np.add.reduceat(g[order], first, axis=0)
         u = ids[first]
-        held = memory[u]
-        held += total * total
-        memory[u] = held
-        np.sqrt(held, out=held)
-        held += 1
+        both = state[u]
+        both[:, 1] += total * total
         total *= RATE
-        total /= held
-        w[u] -= total
+        total /= np.sqrt(both[:, 1]) + 1
+        both[:, 0] -= total
+        state[u] = both
 
 
 #: Blocks in which tables of parameters and counts are summed.
@@ -424,8 +442,8 @@ def trained(rows: DataFrame, model: Model, counts: np.ndarray) -> Model:
         import copy
 
         m = copy.copy(sent.value)
-        m.w, m.node_w = m.w.copy(), m.node_w.copy()
-        memory, node_memory, tokens = np.zeros_like(m.w), np.zeros_like(m.node_w), 0
+        state, node_state, tokens = training_state(m.w), training_state(m.node_w), 0
+        m.w, m.node_w = state[:, 0], node_state[:, 0]
         for batch in batches:
             for _, _, offsets, places in place_slices(as_array(batch.column(0))):
                 one, two = before(offsets, places, k + 1)
@@ -434,8 +452,8 @@ def trained(rows: DataFrame, model: Model, counts: np.ndarray) -> Model:
                 for a in range(0, len(places), BATCH):
                     b = a + BATCH
                     hashes = features(one[a:b], two[a:b])
-                    m.step(feature_rows(hashes), target[a:b], memory)
-                    m.node_step(hashes, places[a:b], one[a:b], node_memory)
+                    m.step(feature_rows(hashes), target[a:b], state)
+                    m.node_step(hashes, places[a:b], one[a:b], node_state)
         changes = ((m.w - sent.value.w).ravel(), (m.node_w - sent.value.node_w).ravel())
         yield block_rows([*(x for c in changes for x in np.array_split(c * np.float32(tokens), PARTS)), np.array([tokens])])
 
