@@ -245,12 +245,14 @@ def test_jaccard_components(spark, docs, none, rows):
     assert jaccard_join.components(none).count() == 0
 
 
-def test_jaccard_with_salted_lists_and_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("blocks", [True, False])
+def test_jaccard_with_salted_lists_and_blocks(spark, monkeypatch, blocks):
     """A large group of edited copies whose mutual similarity is around the threshold."""
     monkeypatch.setattr(jaccard_join, "HOT", 10)
     monkeypatch.setattr(jaccard_join, "BLOCK_LINKS", 30)
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)
-    monkeypatch.setattr(jaccard_join, "STAR_ROUNDS", 0)
+    monkeypatch.setattr(jaccard_join, "STAR_ROUNDS", 0 if blocks else 2)
+    monkeypatch.setattr(jaccard_join, "MANY", 0)  # star rounds while any pair is left
     rng = random.Random(9)
     base = prose(rng, 90)
     rows = [(k, edited(rng, base, rng.randrange(6))) for k in range(70)]

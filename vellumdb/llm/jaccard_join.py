@@ -54,6 +54,8 @@ HOT = 50_000
 #: Texts compared with one copy of a first document.
 GROUP = 256
 STAR_ROUNDS = 2
+#: Pairs left for each document from which another star round is worth its while.
+MANY = 8
 #: Documents of a token in one block of its list.
 BLOCK = 512
 #: A cell's largest count; cells that reach it bound nothing.
@@ -396,33 +398,35 @@ def joined(docs: DataFrame, sets: DataFrame, counts: np.ndarray) -> DataFrame:
     comps = connected(links)
     # a star has settled lists of two documents
     rest = rows.where("rows > 2 OR salt >= 0").select("token", "doc", F.col("doc.doc_id").alias("doc_id"), F.when(F.col("salt") < 0, F.col("lead.doc_id")).alias("lead"))
-    old = rows
-    some = max(8 * n_docs, 100_000)
+    base = rows
+    some = MANY * max(n_docs, 12_500)
     for round_no in range(STAR_ROUNDS + 1):
         rest = rest.join(comps, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
         mixed = rest.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token")
         rest = stored(rest.join(mixed, "token", "left_semi"), "rest")
-        discard(old)
+        discard(base)
         by_comp = rest.groupBy("token", "comp").agg(F.count("*").cast("double").alias("c")).groupBy("token").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s"))
         left = by_comp.agg(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2)).first()[0]
         if left is None:
             return comps
         last = left <= some or round_no == STAR_ROUNDS
-        old = rest
+        now = rest
         if last:
             more = all_pairs(rest, sets)
         else:
             # the one that has the token earliest, once the compared ones are gone
-            chosen = rest.where("NOT (doc_id <=> lead)").groupBy("token").agg(F.min(F.struct("doc", "comp")).alias("f"))
-            with_first = rest.join(chosen.select("token", F.col("f.doc").alias("first"), F.col("f.comp").alias("first_comp")), "token")
-            more = pairs_of(with_first.where("comp != first_comp"), "first", "doc")
-            rest = with_first.where("NOT (doc_id <=> lead) AND doc_id != first.doc_id").select("token", "doc", "doc_id", F.lit(None).cast(rest.schema["doc_id"].dataType).alias("lead"))
+            still = rest.where("NOT (doc_id <=> lead)")
+            firsts = still.groupBy("token").agg(F.min(F.struct("doc", "comp")).alias("f"), F.count("*").alias("open")).select("token", F.col("f.doc").alias("first"), F.col("f.comp").alias("first_comp"), "open")
+            more = pairs_of(still.join(firsts, "token").where("comp != first_comp"), "first", "doc")
+            # this star settles lists of two
+            left_over = still.join(firsts.where("open > 2"), "token").where("doc_id != first.doc_id")
+            rest = base = stored(left_over.select("token", "doc", "doc_id", F.lit(None).cast(rest.schema["doc_id"].dataType).alias("lead")), "rest")
         found = verified(docs, more, sets, counts)
+        discard(now)
         if not found.isEmpty():
             links = stored(links.unionByName(found), "links")
             comps = connected(links)
         if last:
-            discard(old)
             return comps
     return comps
 
