@@ -262,6 +262,25 @@ def test_jaccard_with_salted_lists_and_blocks(spark, monkeypatch, blocks):
     assert {r["doc_id"]: r["component_id"] for r in got} == comps
 
 
+def test_jaccard_lists_keep_what_may_be_similar(spark):
+    rng = random.Random(12)
+    lists = {t: [(rng.randrange(n), k, n) for k, n in enumerate(rng.choices((5, 6, 7, 9, 12, 30, 38, 200, 250, 1000), k=rng.randrange(1, 8)))] for t in range(300)}
+    rows = spark.createDataFrame([(t, x) for t, docs in lists.items() for x in docs], "token long, doc struct<place: int, doc_id: long, n: int>")
+    got = {(r["token"], r["doc"]["doc_id"]) for r in jaccard_join.fitting(rows, ["token"]).collect()}
+
+    def fit(x, y):
+        o = int(jaccard_join.needed(x[2], y[2]))
+        return x[1] != y[1] and x[0] + o <= x[2] and y[0] + o <= y[2]
+
+    want = {(t, x[1]) for t, docs in lists.items() for x in docs if any(fit(x, y) for y in docs)}
+    assert want <= got and len(got) < rows.count() / 5
+    # a passage in texts of sizes too far apart makes no list, however many they are
+    passage = prose(rng, 12)
+    docs = spark.createDataFrame([(k, f"{passage} {prose(rng, 40 * 2**k)}") for k in range(8)], "doc_id long, text string")
+    counts = jaccard_join.sketch(jaccard_join.prints(docs))
+    assert jaccard_join.postings(docs, np.zeros_like(counts)).count() == 0
+
+
 def test_prefix_bounds_are_lossless():
     rng = np.random.default_rng(3)
     levels = rng.integers(0, 5, 1 << jaccard_join.SKETCH_BITS).astype(np.uint8)

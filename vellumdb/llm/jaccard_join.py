@@ -17,8 +17,9 @@ Components need no list of all pairs:
    documents are compared with the one that has it earliest (a star), since an original
    has fewer rare tokens than its edited copies.  Pairs that also pass the other orders
    are verified.
-2. Tokens whose documents lie in one component are done, and so are those of two
-   documents.  For the others every pair of documents of different components is still
+2. A document stays in a token's list only while its place and size leave it one there
+   to be similar to.  Tokens whose documents lie in one component are done, and so are
+   those of two documents.  For the others every pair of documents of different components is still
    compared, after further star rounds while such pairs are many.
 
 Tokens that the sketch calls hot are salted into smaller lists whose first documents
@@ -47,7 +48,7 @@ from ._common import BROADCAST_ROWS, U64, as_array, discard, fresh, lower_ascii,
 N = 5
 #: Similarity in hundredths.
 SIMILAR = 75
-SKETCH_BITS = 19
+SKETCH_BITS = 22
 SKETCH_CHUNKS = 64
 #: Estimated documents of a token from which its list is salted, and of each part.
 HOT = 50_000
@@ -196,24 +197,25 @@ def sketch(rows: DataFrame) -> np.ndarray:
             for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 part = np.frombuffer(zlib.decompress(blob), "<u4").astype(np.int64)
                 sums[k] = sums[k] + part if k in sums else part
-        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())], names=["chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([np.minimum(x, 0xFFFFFFFF).astype("<u4").tobytes() for x in sums.values()], pa.binary())], names=["chunk", "counts"])
 
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
+    out = np.zeros(1 << SKETCH_BITS, np.uint32)
     summed = map_arrow(rows.where("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk"), add, "chunk int, counts binary")
-    for r in summed.collect():  # SKETCH_CHUNKS rows, 4 MB in all
-        out[r["chunk"] * width : (r["chunk"] + 1) * width] = np.frombuffer(r["counts"], "<i8")
+    for r in summed.collect():  # SKETCH_CHUNKS rows, 17 MB in all
+        out[r["chunk"] * width : (r["chunk"] + 1) * width] = np.frombuffer(r["counts"], "<u4")
     return out
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(255, 4 * np.log2(1 + counts)).astype(np.uint8)
+    return np.minimum(255, 4 * np.log2(1 + counts.astype(np.float32))).astype(np.uint8)
 
 
 def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """token, salt, doc (place, doc_id, n), lead (the first of them), rows: prefix tokens
-    of the first order that several documents have; lead and rows are of a (token, salt)."""
+    of the first order that several documents have which may be similar; lead and rows are
+    of a (token, salt)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast((levels_of(counts), np.minimum(1 << 30, np.maximum(1, -(-counts // HOT))).astype(np.int32)))
+    sent = docs.sparkSession.sparkContext.broadcast((levels_of(counts), np.clip(counts // HOT + (counts % HOT > 0), 1, 65_535).astype(np.uint16)))
 
     def run(batches):
         levels, parts = sent.value
@@ -231,10 +233,23 @@ def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
     rows = map_arrow(docs, run, f"token long, salt int, place int, doc_id {id_type}, n int")
     w = Window.partitionBy("token", "salt")
-    rows = rows.select("token", "salt", F.struct("place", "doc_id", "n").alias("doc"), F.count("*").over(w).alias("rows")).withColumn("lead", F.min("doc").over(w))
+    rows = fitting(rows.select("token", "salt", F.struct("place", "doc_id", "n").alias("doc")), ["token", "salt"], "salt >= 0")
+    rows = rows.select("token", "salt", "doc", F.count("*").over(w).alias("rows")).withColumn("lead", F.min("doc").over(w))
     return stored(rows.where("rows > 1 OR salt >= 0"), "postings")
 
 
+def fitting(rows: DataFrame, keys: list[str], always: str = "false") -> DataFrame:
+    """The rows whose ``doc`` may fit another of the same ``keys``, or which ``always``
+    holds for.  Two documents fit by place and size (``may_fit``) if neither's size is
+    above the other's room, so sorted by size a document is left out only if the next one
+    is above its room and none before it has room for it or all before are above its own."""
+    w = Window.partitionBy(*keys).orderBy("_size")
+    ahead = w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select("*", F.col("doc.n").cast("long").alias("_size"), F.expr(f"({100 + SIMILAR} * (doc.n - doc.place)) div {SIMILAR} - doc.n").alias("_room"))
+    rows = rows.select("*", F.lead("_size").over(w).alias("_next"), F.first("_size").over(ahead).alias("_least"), F.max("_room").over(ahead).alias("_most"))
+    return rows.where(f"coalesce(_next <= _room, false) OR coalesce(_least <= _room AND _most >= _size, false) OR ({always})").drop("_size", "_room", "_next", "_least", "_most")
+
+
 def may_fit(x: str, y: str):
     """Whether sets whose first common token is the one of these rows can be similar."""
     o = F.expr(f"({SIMILAR} * ({x}.n + {y}.n) + {99 + SIMILAR}) div {100 + SIMILAR}")
@@ -336,31 +351,29 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def all_pairs(rest: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """(a, b) of every two documents of a token in different components, unless a star
-    has compared them or their places, sizes or cells rule similarity out.  ``rest``:
-    token, doc, doc_id, comp, lead."""
+    """(a, b) of every two documents of a token in different components, unless their
+    places, sizes or cells rule similarity out.  ``rest``: token, doc, doc_id, comp."""
     id_type = rest.schema["doc_id"].dataType.simpleString()
     lists = rest.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = rest.join(lists, "token").select("token", "blocks", F.col("doc.place").alias("place"), F.col("doc.n").alias("n"), "doc_id", "comp", "lead")
-    whole = rows.where("blocks = 1").select("token", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), "place", "n", "doc_id", "comp", "lead", F.lit(None).cast("binary").alias("cells"))
+    rows = rest.join(lists, "token").select("token", "blocks", F.col("doc.place").alias("place"), F.col("doc.n").alias("n"), "doc_id", "comp")
+    whole = rows.where("blocks = 1").select("token", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), "place", "n", "doc_id", "comp", F.lit(None).cast("binary").alias("cells"))
     long = rows.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).join(sets.select("doc_id", "cells"), "doc_id")
-    long = long.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "place", "n", "doc_id", "comp", "lead", "cells")
+    long = long.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "place", "n", "doc_id", "comp", "cells")
     dealt_out = whole.unionByName(long).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "block", "doc_id")
 
     def found(rows: list[tuple]) -> tuple[list, list]:
         i, j = rows[0][1:3]
-        cells = [counts_of(r[9]) if r[9] is not None else None for r in rows]
+        cells = [counts_of(r[8]) if r[8] is not None else None for r in rows]
         block, place, n = (np.array([r[k] for r in rows]) for k in (3, 4, 5))
         comps = {c: k for k, c in enumerate(dict.fromkeys(r[7] for r in rows))}
         comp = np.array([comps[r[7]] for r in rows])
-        open_ = np.array([r[8] is None or r[6] != r[8] for r in rows])
         left, right = [], []
         for x in range(len(rows)):
-            if not open_[x] or block[x] != i:
+            if block[x] != i:
                 continue
             y = np.arange(x + 1, len(rows)) if i == j else np.flatnonzero(block == j)
             o = needed(n[x], n[y], similar)
-            y = y[open_[y] & (comp[y] != comp[x]) & (place[x] + o <= n[x]) & (place[y] + o <= n[y])]
+            y = y[(comp[y] != comp[x]) & (place[x] + o <= n[x]) & (place[y] + o <= n[y])]
             for k in y.tolist():
                 if cells[x] is None or most_shared(cells[x], cells[k]) >= needed(n[x], n[k], similar):
                     left.append(rows[x][6])
@@ -372,7 +385,7 @@ def all_pairs(rest: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataF
         for batch in batches:
             kind = batch.column(6).type
             left, right = [], []
-            for row in zip(*(batch.column(k).to_pylist() for k in range(10)), strict=True):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True):
                 if held and held[0][:3] != row[:3]:
                     a, b = found(held)
                     left += a
@@ -396,8 +409,9 @@ def joined(docs: DataFrame, sets: DataFrame, counts: np.ndarray) -> DataFrame:
     stars = stars.unionByName(pairs_of(rows.where("salt >= 0 AND doc.doc_id = lead.doc_id").join(tops, "token").where("top.doc_id != lead.doc_id"), "top", "lead"))
     links = verified(docs, stars, sets, counts)
     comps = connected(links)
-    # a star has settled lists of two documents
-    rest = rows.where("rows > 2 OR salt >= 0").select("token", "doc", F.col("doc.doc_id").alias("doc_id"), F.when(F.col("salt") < 0, F.col("lead.doc_id")).alias("lead"))
+    # a star has settled its first document's pairs, and so lists of two documents; salted
+    # tokens stay whole, as no task holds one
+    rest = fitting(rows.where("rows > 2 AND salt < 0 AND doc.doc_id != lead.doc_id"), ["token"]).unionByName(rows.where("salt >= 0")).select("token", "doc", F.col("doc.doc_id").alias("doc_id"))
     base = rows
     some = MANY * max(n_docs, 12_500)
     for round_no in range(STAR_ROUNDS + 1):
@@ -415,12 +429,11 @@ def joined(docs: DataFrame, sets: DataFrame, counts: np.ndarray) -> DataFrame:
             more = all_pairs(rest, sets)
         else:
             # the one that has the token earliest, once the compared ones are gone
-            still = rest.where("NOT (doc_id <=> lead)")
-            firsts = still.groupBy("token").agg(F.min(F.struct("doc", "comp")).alias("f"), F.count("*").alias("open")).select("token", F.col("f.doc").alias("first"), F.col("f.comp").alias("first_comp"), "open")
-            more = pairs_of(still.join(firsts, "token").where("comp != first_comp"), "first", "doc")
+            firsts = rest.groupBy("token").agg(F.min(F.struct("doc", "comp")).alias("f"), F.count("*").alias("open")).select("token", F.col("f.doc").alias("first"), F.col("f.comp").alias("first_comp"), "open")
+            more = pairs_of(rest.join(firsts, "token").where("comp != first_comp"), "first", "doc")
             # this star settles lists of two
-            left_over = still.join(firsts.where("open > 2"), "token").where("doc_id != first.doc_id")
-            rest = base = stored(left_over.select("token", "doc", "doc_id", F.lit(None).cast(rest.schema["doc_id"].dataType).alias("lead")), "rest")
+            left_over = rest.join(firsts.where("open > 2"), "token").where("doc_id != first.doc_id")
+            rest = base = stored(left_over.select("token", "doc", "doc_id"), "rest")
         found = verified(docs, more, sets, counts)
         discard(now)
         if not found.isEmpty():
