@@ -341,6 +341,24 @@ def test_packing_of_special_tokens():
             assert ids[offsets[k] : offsets[k + 1]].tolist() == [*t.encode(x or "", add_special_tokens=False).ids, 0], x
 
 
+def test_packing_encodes_words_of_letters_together(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path(packing.TOKENIZER)
+    t, coder = Tokenizer.from_file(path), packing.WordTokens(path)
+    names = ["the", "ΟΔΟΣ", "İstanbul", "ﬁn", "ª", "日本語", "한국어", "Ǆ", "straße", "x" * 300, "été", "e\u0301te", "don't", "a1b", "...", "s", "t", "\U0001d518x", "anderhastnd"] + [f"q{'abcdefghij'[k % 10] * (k // 10 + 1)}" for k in range(200)]
+    asked, ids = [], coder.ids
+    monkeypatch.setattr(coder, "ids", lambda some: asked.extend(some) or ids(some))
+    got, offsets = coder.encode(pa.array([f"{x}," for x in names]))
+    for k, x in enumerate(names):
+        assert got[offsets[k] : offsets[k + 1]].tolist() == [*t.encode(f"{x},", add_special_tokens=False).ids, 0], x
+    # a word that gives another number of closing ids sends its batch the other way
+    plain = [x.encode() for x in names if x.isalpha() and x != "İstanbul"]
+    asked.clear()
+    flat, sizes = coder.plain_ids(plain)
+    assert not asked and flat.tolist() == [i for x in plain for i in t.encode(x.decode(), add_special_tokens=False).ids] and len(sizes) == len(plain)
+
+
 def test_packing_takes_the_fullest_combination():
     rng = random.Random(1)
     for _ in range(60):

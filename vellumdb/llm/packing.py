@@ -23,6 +23,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections import Counter
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ TOKENIZER = "word_bpe_49k.json"
 CACHE_WORDS = 300_000
 #: Words encoded in one call, which bounds what the library holds.
 ENCODED = 500
+#: Of words that are letters only.
+PLAIN = 4000
 #: Separates words of one call; itself one token.
 BREAK = "<|endoftext|>"
 MARKS = b",.!?;:|"
@@ -55,6 +58,11 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.break_id = self.tokenizer.token_to_id(BREAK)
+        # whether an id closes a word
+        vocabulary, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.closes[[i for x, i in vocabulary.items() if x.endswith(suffix)]] = True
         self.at: dict[bytes, int] = {}
         self.flat, self.bounds, self.extra = np.empty(0, np.uint32), np.zeros(1, np.int32), []
 
@@ -68,6 +76,16 @@ class WordTokens:
         cuts = np.flatnonzero(got == self.break_id)
         return np.delete(got, cuts), np.diff(np.concatenate([[-1], cuts, [len(got)]])) - 1
 
+    def plain_ids(self, names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters only, which stand one space apart: each gives one
+        id at least that closes it, so as many of these as words tell them apart."""
+        got = np.array(self.tokenizer.encode_batch_fast([b" ".join(names).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        last = np.flatnonzero(self.closes[got])
+        if len(last) == len(names) and last[-1] == len(got) - 1:
+            return got, np.diff(last, prepend=-1)
+        each = [self.ids(names[k : k + ENCODED]) for k in range(0, len(names), ENCODED)]
+        return np.concatenate([x for x, _ in each]), np.concatenate([n for _, n in each])
+
     def learn(self, names: list[bytes]) -> None:
         """Makes room for the ids of all names, which until the next call have places.
         Words that came when the store was full are dropped then."""
@@ -82,11 +100,14 @@ class WordTokens:
             return
         cores, marks = zip(*map(parted, new), strict=True)
         lacking = [x for x in dict.fromkeys([*cores, *marks]) if x not in self.at]
-        made, sizes = [self.flat], []
-        for k in range(0, len(lacking), ENCODED):
-            ids, count = self.ids(lacking[k : k + ENCODED])
-            made.append(ids)
-            sizes.append(count)
+        letters = [x.decode("utf-8", "replace").isalpha() for x in lacking]
+        plain, other = list(compress(lacking, letters)), [x for x, y in zip(lacking, letters, strict=True) if not y]
+        lacking, made, sizes = plain + other, [self.flat], []
+        for some, most, encoded in ((plain, PLAIN, self.plain_ids), (other, ENCODED, self.ids)):
+            for k in range(0, len(some), most):
+                ids, count = encoded(some[k : k + most])
+                made.append(ids)
+                sizes.append(count)
         flat = np.concatenate(made)
         bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.concatenate(sizes))]).astype(np.int32) if sizes else self.bounds
         there = dict(zip(lacking, range(kept, kept + len(lacking)), strict=True))
