@@ -62,14 +62,14 @@ ADD = 0.1
 COUNTED = 500_000
 
 
-def encoded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets of the texts, hash of each token), an end after each text's words."""
+def encoded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets of the texts, code of each token, hash of each code), an end, the last
+    code, after each text's words."""
     offsets, codes, names = words(lower_ascii(texts))
-    h = (word_hashes(names) | U64(1))[codes] if len(codes) else np.empty(0, U64)
     n = len(texts)
-    out = np.full(len(h) + n, END, U64)
-    out[np.arange(len(h)) + np.repeat(np.arange(n), np.diff(offsets))] = h
-    return offsets + np.arange(n + 1), out
+    out = np.full(len(codes) + n, len(names))
+    out[np.arange(len(codes)) + np.repeat(np.arange(n), np.diff(offsets))] = codes
+    return offsets + np.arange(n + 1), out, np.append(word_hashes(names) | U64(1), END)
 
 
 def held_out(ids: list) -> np.ndarray:
@@ -88,11 +88,10 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         keys, counts, size = [], [], 0
-        for _, h in training_slices(batches):
-            k, n = np.unique(h, return_counts=True)
-            keys.append(k)
-            counts.append(n)
-            size += len(k)
+        for _, codes, h in training_slices(batches):
+            keys.append(h)
+            counts.append(np.bincount(codes, minlength=len(h)))
+            size += len(h)
             if size > COUNTED:
                 yield merged(keys, counts)
                 keys, counts, size = [], [], 0
@@ -188,8 +187,8 @@ def token_rows(docs: DataFrame, vocabulary: Vocabulary, logs: np.ndarray) -> Dat
             ids, texts = as_array(batch.column(0)), as_array(batch.column(1))
             kind = ids.type
             for a, b in text_slices(texts):
-                offsets, h = encoded(texts.slice(a, b - a))
-                places = v.places(h)
+                offsets, codes, h = encoded(texts.slice(a, b - a))
+                places = v.places(h).take(codes)
                 part = ids.slice(a, b - a)
                 held = held_out(part.to_pylist())
                 train = ~np.repeat(held, np.diff(offsets))
@@ -201,7 +200,7 @@ def token_rows(docs: DataFrame, vocabulary: Vocabulary, logs: np.ndarray) -> Dat
                 raw = memoryview(places.astype("<u2").tobytes())
                 yield pa.RecordBatch.from_arrays([
                     pa.array(task + row + np.arange(b - a)), part, pa.array(held), pa.array(np.diff(offsets)), pa.array(np.add.reduceat(known.astype(np.int64), offsets[:-1])),
-                    pa.array(np.add.reduceat(logs[places], offsets[:-1])), pa.ListArray.from_arrays(pa.array(np.searchsorted(cold, offsets), pa.int32()), pa.array(h[cold].view(np.int64))),
+                    pa.array(np.add.reduceat(logs[places], offsets[:-1])), pa.ListArray.from_arrays(pa.array(np.searchsorted(cold, offsets), pa.int32()), pa.array(h[codes[cold]].view(np.int64))),
                     pa.array([bytes(raw[2 * x : 2 * y]) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary()), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary()),
                 ], names=names)
                 row += b - a
@@ -328,22 +327,23 @@ class Model:
 
     def on_the_way(self, hashes: np.ndarray, places: np.ndarray, one: np.ndarray):
         """For each depth: (tokens, children's logits, the child on the way, the features'
-        rows of weights)."""
-        before = self.classes[one]
+        rows of weights, the first in order)."""
+        before, start = self.classes[one], self.start.reshape(-1, WIDE)
+        last, skip = hashes[:, 0].copy(), hashes[:, 2].copy()
         for nodes, branches in zip(self.tree.nodes, self.tree.branches, strict=True):
-            node = nodes[places]
+            node = nodes.take(places)
             of = np.flatnonzero(node >= 0)
             if not len(of):
                 continue
-            of = of[np.argsort(node[of].astype(np.uint16), kind="stable")]  # near in memory
-            node = node[of]
-            z = self.start[node, before[of]]
-            rows = []
-            salts, shifts = self.tree.salts[node], self.tree.shifts[node]
-            for k in (0, 2):
-                rows.append(node_rows(hashes[of, k], salts, shifts))
-                z += self.node_w[rows[-1]]
-            yield of, np.minimum(z, 60, out=z), branches[places[of]], rows
+            node = node.take(of).astype(np.int64)
+            first = node_rows(last.take(of), self.tree.salts.take(node), self.tree.shifts.take(node))
+            order = np.argsort(first.astype(np.int32))  # near in memory
+            of, node, first = of.take(order), node.take(order), first.take(order)
+            second = node_rows(skip.take(of), self.tree.salts.take(node), self.tree.shifts.take(node))
+            z = start.take(node * self.start.shape[1] + before.take(of), axis=0)
+            z += self.node_w.take(first, axis=0)
+            z += self.node_w.take(second, axis=0)
+            yield of, np.minimum(z, 60, out=z), branches.take(places.take(of)), [first, second]
 
     def node_step(self, hashes: np.ndarray, places: np.ndarray, one: np.ndarray, state: np.ndarray) -> None:
         """One gradient step on the log loss of the words within their classes; ``node_w``
@@ -355,20 +355,22 @@ class Model:
         """Log probability of each token within its class."""
         out = np.zeros(len(places))
         for of, z, branch, _ in self.on_the_way(hashes, places, one):
-            out[of] += z[np.arange(len(of)), branch] - np.log(np.exp(z).sum(axis=1))
+            out[of] += log_shares(z, branch)
         return out
 
     def class_logits(self, rows: np.ndarray) -> np.ndarray:
-        z = self.w[rows[:, 0]]
-        z += self.w[rows[:, 1]]
-        z += self.w[rows[:, 2]]
+        z = self.w.take(rows[:, 0], axis=0)
+        z += self.w.take(rows[:, 1], axis=0)
+        z += self.w.take(rows[:, 2], axis=0)
         z += self.bias
-        z -= z.max(axis=1, keepdims=True)
+        z -= z.T.copy().max(axis=0)[:, None]  # along rows as short as these it takes four times as long
         return z
 
     def step(self, rows: np.ndarray, target: np.ndarray, state: np.ndarray) -> None:
         """One gradient step on the log loss of the classes."""
-        descend(state, self.class_logits(rows), target, [rows[:, k] for k in range(rows.shape[1])])
+        order = np.argsort(rows[:, 0].astype(np.int32))
+        rows = rows.take(order, axis=0)
+        descend(state, self.class_logits(rows), target.take(order), list(rows.T))
 
     def log10(self, places: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Of each token, for a rare one only its class's part."""
@@ -378,35 +380,53 @@ class Model:
             hashes = features(one[a:b], two[a:b])
             z = self.class_logits(feature_rows(hashes))
             target = self.classes[places[a:b]]
-            out[a:b] = z[np.arange(b - a), target] - np.log(np.exp(z).sum(axis=1))
+            out[a:b] = log_shares(z, target)
             out[a:b] += self.word_logs(hashes, places[a:b], one[a:b])
         return out / np.log(10)
 
 
 def training_state(w: np.ndarray) -> np.ndarray:
-    """Weights and AdaGrad's memory of their squared gradients, row by row together:
-    rows x 2 x columns."""
-    return np.stack([w, np.zeros_like(w)], axis=1)
+    """Weights and AdaGrad's memory of their squared gradients: rows x 2 x columns, of
+    which each table lies on its own, as ``take`` needs."""
+    return np.stack([w, np.zeros_like(w)]).swapaxes(0, 1)
+
+
+def row_sums(x: np.ndarray) -> np.ndarray:
+    """Sums of short rows, as a product: numpy's own sum takes ten times as long."""
+    return (x @ np.ones(x.shape[1], x.dtype))[:, None]
+
+
+def log_shares(z: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log softmax of each row at its target; ``z`` is spent."""
+    at = z.reshape(-1).take(np.arange(len(z)) * z.shape[1] + target)
+    return at - np.log(row_sums(np.exp(z, out=z)))[:, 0]
 
 
 def descend(state: np.ndarray, z: np.ndarray, target: np.ndarray, rows: list[np.ndarray]) -> None:
     """One AdaGrad step on the log loss of softmaxes; ``rows``: the rows of weights that
-    each feature adds to the logits ``z``, which are spent."""
+    each feature adds to the logits ``z``, which are spent, the first feature's in order."""
+    w, squares = state[:, 0], state[:, 1]
     g = np.exp(z, out=z)
-    g /= g.sum(axis=1, keepdims=True)
-    g[np.arange(len(target)), target] -= 1
-    for ids in rows:
-        order = np.argsort(ids.astype(np.int32))
-        ids = ids[order]
+    g /= row_sums(g)
+    flat, at = g.reshape(-1), np.arange(len(target)) * g.shape[1] + target
+    flat[at] = flat.take(at) - 1
+    for k, ids in enumerate(rows):
+        part = g
+        if k:
+            order = np.argsort(ids.astype(np.int32))
+            ids, part = ids.take(order), g.take(order, axis=0)
         first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        total = np.add.reduceat(g[order], first, axis=0)
-        u = ids[first]
-        both = state[u]
-        both[:, 1] += total * total
+        if g.shape[1] % 2 == 0:  # two columns in an addition
+            total = np.add.reduceat(part.view(np.complex64), first, axis=0).view(np.float32)
+        else:
+            total = np.add.reduceat(part, first, axis=0)
+        u = ids.take(first)
+        now = squares.take(u, axis=0)
+        now += total * total
+        squares[u] = now
         total *= RATE
-        total /= np.sqrt(both[:, 1]) + 1
-        both[:, 0] -= total
-        state[u] = both
+        total /= np.sqrt(now, out=now) + 1
+        w[u] = w.take(u, axis=0) - total
 
 
 #: Blocks in which tables of parameters and counts are summed.
