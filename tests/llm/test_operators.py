@@ -359,6 +359,34 @@ def test_packing_encodes_words_of_letters_together(monkeypatch):
     assert not asked and flat.tolist() == [i for x in plain for i in t.encode(x.decode(), add_special_tokens=False).ids] and len(sizes) == len(plain)
 
 
+def test_packing_keeps_words_without_their_marks(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path(packing.TOKENIZER)
+    t = Tokenizer.from_file(path)
+    words = ["alpha,", "beta.", "...", "été;", "日本|", "x\u00a0.", "’s!", "a" + "." * 21, "a" + "?!" * 11, "b<|", "7:", "٣,", "½.", "e\u0301,", ".a,", ",;", "don't.", "aİ.", "\u0958,"]
+    cores, mark_of, marks = packing.parted(pa.array(["skipped!", *words])[1:], packing.WordTokens(path).closed_by)
+    for word, core, k in zip(words, cores.to_pylist(), mark_of.tolist(), strict=True):
+        short = word.rstrip(packing.MARKS)
+        whole = not short[-1:].isalnum() or short[-1] in "İ\u0958" or len(word) - len(short) > packing.MOST_MARKS
+        assert (core, marks[k].decode()) == ((word, "") if whole else (short, word[len(short) :]))
+    for room in (0, 3, 300_000):  # whatever has no place in the store is encoded again
+        monkeypatch.setattr(packing, "CACHE_WORDS", room)
+        coder = packing.WordTokens(path)
+        for text in [" ".join(words), "Alpha. beta, beta alpha", " ".join(words[::-1])] * 2:
+            ids, offsets = coder.encode(pa.array([text, None, text]))
+            want = [*t.encode(text, add_special_tokens=False).ids, 0]
+            assert ids.tolist() == [*want, 0, *want] and offsets.tolist() == [0, len(want), len(want) + 1, 2 * len(want) + 1]
+        assert len(coder.at) <= room
+    coder, asked = packing.WordTokens(path), []
+    for name in ("ids", "plain_ids"):
+        monkeypatch.setattr(coder, name, lambda some, of=getattr(coder, name): asked.extend(some) or of(some))
+    coder.encode(pa.array(["alpha, beta. gamma"]))
+    asked.clear()
+    coder.encode(pa.array(["alpha. beta, gamma. Alpha Beta"]))
+    assert not asked
+
+
 def test_packing_takes_the_fullest_combination():
     rng = random.Random(1)
     for _ in range(60):

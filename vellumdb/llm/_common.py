@@ -117,14 +117,19 @@ def lower_ascii(texts: pa.Array) -> pa.Array:
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Words of some texts: (offsets of the texts, code of each word, word of each code).
     A null text has none."""
+    offsets, codes, names = word_codes(texts)
+    return offsets, codes, names.cast(pa.binary()).to_pylist()
+
+
+def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The same with the words in an Arrow array."""
     split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     flat = split.flatten()
     full = np.asarray(pc.binary_length(flat)) > 0
     offsets = np.asarray(split.offsets)
     before = np.concatenate([[0], np.cumsum(full)])
     coded = flat.filter(pa.array(full)).dictionary_encode()
-    names = coded.dictionary.cast(pa.binary()).to_pylist()
-    return before[offsets - offsets[0]].astype(np.int64), np.asarray(coded.indices, dtype=np.int64), names
+    return before[offsets - offsets[0]].astype(np.int64), np.asarray(coded.indices, dtype=np.int64), coded.dictionary
 
 
 U64 = np.uint64

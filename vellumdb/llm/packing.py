@@ -23,7 +23,8 @@ from __future__ import annotations
 import os
 import zlib
 from collections import Counter
-from itertools import compress
+from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import as_array, kept, lower_ascii, map_arrow, stored, text_slices, words
+from ._common import as_array, kept, lower_ascii, map_arrow, stored, text_slices, word_codes
 
 SIZE = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -43,14 +44,21 @@ ENCODED = 500
 PLAIN = 4000
 #: Separates words of one call; itself one token.
 BREAK = "<|endoftext|>"
-MARKS = b",.!?;:|"
+MARKS = ",.!?;:|"
+#: Of each byte its number among the marks, from 1, and whether it is a letter or digit.
+MARK_NUMBER = np.array([MARKS.find(chr(c)) + 1 for c in range(256)], np.int64)
+PLAIN_END = np.array([c < 128 and chr(c).isalnum() for c in range(256)])
+#: Most marks at a word's end that are kept apart; they make a number of 63 bits.
+MOST_MARKS = 21
 
 
 class WordTokens:
     """Ids of texts.  The tokenizer lower-cases, drops white space and never merges across
-    it, nor between a letter or digit and the marks after it; so ids are kept by
-    lower-cased word without its closing marks, and by those marks.  The store has
-    a fixed size; early words, mostly frequent ones, stay."""
+    it, nor between a letter or digit and the marks after it (unless it becomes
+    something else, as a dotted capital I does: i and a combining dot); so ids are kept by
+    lower-cased word without its closing marks, and by those marks, and a word's are
+    put together from both.  The store has a fixed size; early words, mostly frequent
+    ones, stay."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -64,7 +72,8 @@ class WordTokens:
         if suffix:
             self.closes[[i for x, i in vocabulary.items() if x.endswith(suffix)]] = True
         self.at: dict[bytes, int] = {}
-        self.flat, self.bounds, self.extra = np.empty(0, np.uint32), np.zeros(1, np.int32), []
+        self.ends: dict[str, bool] = {}
+        self.flat, self.bounds = np.empty(0, np.uint32), np.zeros(1, np.int32)
 
     def ids(self, names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, count of each word)."""
@@ -86,53 +95,65 @@ class WordTokens:
         each = [self.ids(names[k : k + ENCODED]) for k in range(0, len(names), ENCODED)]
         return np.concatenate([x for x, _ in each]), np.concatenate([n for _, n in each])
 
-    def learn(self, names: list[bytes]) -> None:
-        """Makes room for the ids of all names, which until the next call have places.
-        Words that came when the store was full are dropped then."""
-        for x in self.extra:
-            del self.at[x]
-        kept = len(self.at)
-        self.bounds = self.bounds[: kept + 1]
-        self.flat = self.flat[: self.bounds[-1]]
-        new = [x for x in names if x not in self.at]
-        if not new:
-            self.extra = []
-            return
-        cores, marks = zip(*map(parted, new), strict=True)
-        lacking = [x for x in dict.fromkeys([*cores, *marks]) if x not in self.at]
-        letters = [x.decode("utf-8", "replace").isalpha() for x in lacking]
-        plain, other = list(compress(lacking, letters)), [x for x, y in zip(lacking, letters, strict=True) if not y]
-        lacking, made, sizes = plain + other, [self.flat], []
-        for some, most, encoded in ((plain, PLAIN, self.plain_ids), (other, ENCODED, self.ids)):
+    def closed_by(self, char: str) -> bool:
+        """Whether marks after this character are tokens of their own."""
+        if char not in self.ends:
+            t = self.tokenizer
+            text = t.normalizer.normalize_str(f"{char}.") if t.normalizer else f"{char}."
+            self.ends[char] = char.isalnum() and t.pre_tokenizer is not None and t.pre_tokenizer.pre_tokenize_str(text)[-1][0] == "."
+        return self.ends[char]
+
+    def look_up(self, names: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of each of some distinct names, flat ids, bounds of the places).  What
+        has no room in the store has a place in this result alone."""
+        place = np.fromiter(map(self.at.get, names, repeat(-1)), np.int32, len(names))
+        lack = np.flatnonzero(place < 0)
+        if not len(lack):
+            return place, self.flat, self.bounds
+        stored, lacking = len(self.at), [names[k] for k in lack.tolist()]
+        letters = np.fromiter((x.isalpha() or not x.isascii() and x.decode("utf-8", "replace").isalpha() for x in lacking), bool, len(lacking))
+        order = np.argsort(~letters, kind="stable")
+        lacking, plain = [lacking[k] for k in order.tolist()], int(letters.sum())
+        place[lack[order]] = np.arange(stored, stored + len(lacking))
+        made, sizes = [self.flat], []
+        for some, most, encoded in ((lacking[:plain], PLAIN, self.plain_ids), (lacking[plain:], ENCODED, self.ids)):
             for k in range(0, len(some), most):
                 ids, count = encoded(some[k : k + most])
                 made.append(ids)
                 sizes.append(count)
         flat = np.concatenate(made)
-        bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.concatenate(sizes))]).astype(np.int32) if sizes else self.bounds
-        there = dict(zip(lacking, range(kept, kept + len(lacking)), strict=True))
-        parts = np.fromiter((there[x] if x in there else self.at[x] for pair in zip(cores, marks, strict=True) for x in pair), np.int64, 2 * len(new))
-        size = np.diff(bounds)[parts]
-        self.flat = np.concatenate([self.flat, flat[spread(bounds[parts], size)]])
-        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(size.reshape(-1, 2).sum(axis=1))]).astype(np.int32)
-        self.at.update(zip(new, range(kept, kept + len(new)), strict=True))
-        self.extra = new[max(0, CACHE_WORDS - kept) :]
+        bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+        room = min(len(lacking), CACHE_WORDS - stored)
+        if room > 0:
+            self.at.update(zip(lacking[:room], range(stored, stored + room)))
+            self.bounds = bounds[: stored + room + 1].copy()
+            self.flat = flat[: self.bounds[-1]].copy()
+        return place, flat, bounds
+
+    def word_ids(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, bounds) of distinct words."""
+        cores, mark_of, marks = parted(names, self.closed_by)
+        coded = pa.concat_arrays([cores, pa.array(marks, pa.binary()).cast(pa.string())]).dictionary_encode()
+        place, flat, bounds = self.look_up(coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())
+        place = place.take(np.asarray(coded.indices))
+        parts = np.stack([place[: len(names)], place[len(names) :].take(mark_of)], axis=1).ravel()
+        size = np.diff(bounds).take(parts)
+        total = np.concatenate([[0], np.cumsum(size.reshape(-1, 2).sum(axis=1))]).astype(np.int32)
+        return flat.take(spread(bounds.take(parts), size)), total
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each closed by 0; offsets of the texts)."""
         # special tokens count as written, so texts that may have one keep their case
         special = pc.fill_null(pc.match_substring(texts, "<|"), False)
         lower = lower_ascii(texts)
-        offsets, codes, names = words(pc.if_else(special, texts, lower) if pc.any(special).as_py() else lower)
+        offsets, codes, names = word_codes(pc.if_else(special, texts, lower) if pc.any(special).as_py() else lower)
         n = len(texts)
         if not len(codes):
             return np.zeros(n, np.uint32), np.arange(n + 1)
-        self.learn(names)
-        at = self.at
-        place = np.fromiter((at[x] for x in names), np.int32, len(names))
-        first, sizes = self.bounds[place][codes], np.diff(self.bounds)[place][codes]
+        flat, bounds = self.word_ids(names)
+        first, sizes = bounds.take(codes), np.diff(bounds).take(codes)
         by_text = np.concatenate([[0], np.cumsum(sizes)])[offsets]
-        ids = self.flat[spread(first, sizes)]
+        ids = flat.take(spread(first, sizes))
         return np.insert(ids, by_text[1:], 0), by_text + np.arange(n + 1)
 
 
@@ -144,12 +165,30 @@ def spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def parted(word: bytes) -> tuple[bytes, bytes]:
-    """A word and the marks that close it, if a letter or digit stands before them."""
-    core = word.rstrip(MARKS)
-    if not core or len(core) == len(word) or not core[-4:].decode("utf-8", "ignore")[-1:].isalnum():
-        return word, b""
-    return core, word[len(core) :]
+def parted(names: pa.Array, closed_by: Callable[[str], bool]) -> tuple[pa.Array, np.ndarray, list[bytes]]:
+    """(words without the marks that close them, which marks each had, those marks), if what
+    stands before them allows it (``closed_by``; ASCII letters and digits do); else, as
+    before very many marks, the word is left whole, with no marks."""
+    names = names.cast(pa.string())
+    cores = pc.ascii_rtrim(names, characters=MARKS)
+    size, total = np.asarray(pc.binary_length(cores)).astype(np.int64), np.asarray(pc.binary_length(names))
+    start = np.frombuffer(names.buffers()[1], np.int32)[names.offset : names.offset + len(names)].astype(np.int64)
+    data = np.frombuffer(names.buffers()[2], np.uint8)
+    apart = (size > 0) & (size < total) & (total - size <= MOST_MARKS)
+    begin, end = start[apart], (start + size)[apart]
+    sure, other = PLAIN_END[data[end - 1]], np.flatnonzero(data[end - 1] >= 0x80)
+    sure[other] = [closed_by(bytes(data[max(x, y - 4) : y]).decode("utf-8", "ignore")[-1:]) for x, y in zip(begin[other].tolist(), end[other].tolist(), strict=True)]
+    apart[apart] = sure
+    end, count = (start + size)[apart], (total - size)[apart]
+    number = np.zeros(len(end), np.int64)
+    for k in range(int(count.max(initial=0))):
+        some = np.flatnonzero(count > k)
+        number[some] = number[some] * 8 + MARK_NUMBER[data[end[some] + k]]
+    numbers, at, which = np.unique(number, return_index=True, return_inverse=True)
+    mark_of = np.zeros(len(names), np.int64)
+    mark_of[apart] = which + 1
+    marks = [bytes(data[end[k] : end[k] + count[k]]) for k in at.tolist()]
+    return pc.if_else(pa.array(apart), cores, names), mark_of, [b"", *marks]
 
 
 def tokenizer_path(name: str) -> str:
