@@ -5,6 +5,7 @@ import collections
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -698,6 +699,48 @@ def test_toxicity_samples_whole_labels(spark, monkeypatch):
         assert dict(by_label) == {0: min(most, len(own) - toxic), 1: toxic} and n == sum(dict(by_label).values())
 
 
+def test_toxicity_training_memory(monkeypatch):
+    """Training takes less than the sampled features themselves, and chooses as a plain
+    count of all of them does."""
+    rng = np.random.default_rng(4)
+    mark = lm_score.word_hashes([b"m%d" % k for k in range(40)])
+    toxic = [int(k % 4 == 0) for k in range(200)]
+    rows = [np.unique(np.concatenate([rng.integers(0, 2**64, 4000, np.uint64), mark[rng.random(40) < (0.6 if t else 0.2)]])) for t in toxic]
+    monkeypatch.setattr(toxicity, "PART", 1 << 14, raising=False)
+    monkeypatch.setattr(toxicity, "MOST_FEATURES", 15)
+    tracemalloc.start()
+    model = toxicity.train(rows, toxic, terms=(), steps=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < sum(r.nbytes for r in rows)
+    counts = [collections.Counter(x for r, t in zip(rows, toxic, strict=True) if t == y for x in r.tolist()) for y in (0, 1)]
+
+    def z(x):
+        share = (counts[0][x] + counts[1][x]) / 200
+        return abs(counts[1][x] / 50 - counts[0][x] / 150) / math.sqrt(share * (1 - share) * (1 / 50 + 1 / 150))
+
+    best = sorted((x for x in counts[0] | counts[1] if z(x) >= toxicity.SIGNIFICANT), key=lambda x: (-z(x), x))
+    assert len(best) > 15 and model.keys.tolist() == sorted(best[:15])
+
+
+def test_toxicity_sample_bound_holds_for_repeats(spark, monkeypatch):
+    """Rows that repeat share a hash; the bound of the features cuts among them too."""
+    ids = [k for k in range(30) if zlib.crc32(str(k).encode()) % 3 != 1][:4]
+    texts = [(ids[0], "one two six")] * 50 + [(k, f"word{k} and") for k in ids[1:]]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k == ids[0])) for k in ids], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda rows, toxic, prior: seen.append(([r.copy() for r in rows], toxic)))
+    toxicity.fit(frame, labels)
+    rows, toxic = seen.pop()
+    want = [(x.tobytes(), int(k == ids[0])) for (k, _), x in zip(texts, toxicity.presence(pa.array([t for _, t in texts])), strict=True)]
+    assert sorted((r.tobytes(), t) for r, t in zip(rows, toxic, strict=True)) == sorted(want)
+    monkeypatch.setattr(toxicity, "SAMPLE_FEATURES", 60)
+    toxicity.fit(frame, labels)
+    cut, _ = seen.pop()
+    assert 57 < sum(len(r) for r in cut) <= 60 and [r.tobytes() for r in cut] == [r.tobytes() for r in rows[: len(cut)]]
+
+
 def test_decontamination(spark, docs, none):
     rng = random.Random(3)
     items = [prose(rng, 24) for _ in range(5)] + ["too short", None, "", prose(rng, 40)]

@@ -35,6 +35,8 @@ SAMPLE_FEATURES = 12_000_000
 MOST_FEATURES = 20_000
 #: Smallest |z| of the difference of two document frequencies.
 SIGNIFICANT = 4.0
+#: Features of the sample that the driver counts at once.
+PART = 1 << 18
 THRESHOLD = 0.7
 KEPT_WORDS = 300_000
 #: Terms that name groups, by language; a term is swapped for others of its language.
@@ -121,27 +123,20 @@ def train(rows: list[np.ndarray], toxic: list[int], prior: float | None = None,
         share = y.mean() if len(y) else 0.0
         return ToxicityModel(np.empty(0, np.uint64), np.empty(0), float(np.log((share + 1e-9) / (1 - share + 1e-9))), threshold)
     groups = [[word_hashes(features_of(t.encode())) for t in own] for own in terms]  # the bare term first
-    named = [g for own in groups for g in own]
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    names, place = np.unique(np.concatenate([*rows, *named]), return_inverse=True)
-    place = place[: len(row)]
     n = np.array([len(y) - y.sum(), y.sum()])
-    all_rows, toxic_rows = np.bincount(place, minlength=len(names)), np.bincount(place, weights=y[row], minlength=len(names))
-    share = all_rows / n.sum()
-    z = (toxic_rows / n[1] - (all_rows - toxic_rows) / n[0]) / np.sqrt(np.maximum(share * (1 - share) * (1 / n[0] + 1 / n[1]), 1e-12))
-    some = np.argsort(-np.abs(z), kind="stable")[:MOST_FEATURES]
-    keep = np.zeros(len(names), bool)
-    keep[some[np.abs(z[some]) >= SIGNIFICANT]] = True
-    if named:
-        keep[np.searchsorted(names, np.concatenate(named))] = True
-    chosen, inside = names[keep], keep[place]
-    ri, fi = row[inside], (np.cumsum(keep) - 1)[place[inside]]
+    named = np.unique(np.concatenate([g for own in groups for g in own])) if any(terms) else np.empty(0, np.uint64)
+    chosen = np.union1d(telling(rows, y, n), named)
+    ri, fi = places(rows, chosen)
     swap, feature, sign, weight = counterfactuals(rows, groups, chosen)
     w, b, m, v = np.zeros(len(chosen)), 0.0, np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for step in range(1, steps + 1):
-        p = sigmoid(np.bincount(ri, weights=w[fi], minlength=len(y)) + b)
-        g = p - y
-        gw = np.bincount(fi, weights=g[ri], minlength=len(w)) / len(y) + l2 * w / max(1, len(w)) ** 0.5
+        own, gw = np.zeros(len(y)), np.zeros(len(w))
+        for a in range(0, len(ri), PART):
+            np.add.at(own, ri[a : a + PART], w[fi[a : a + PART]])
+        g = sigmoid(own + b) - y
+        for a in range(0, len(ri), PART):
+            np.add.at(gw, fi[a : a + PART], g[ri[a : a + PART]])
+        gw = gw / len(y) + l2 * w / max(1, len(w)) ** 0.5
         if len(weight):  # gradient of the mean squared change of the score
             change = np.bincount(swap, weights=sign * w[feature], minlength=len(weight)) * weight / weight.sum()
             gw += 2 * penalty * np.bincount(feature, weights=sign * change[swap], minlength=len(w))
@@ -154,6 +149,36 @@ def train(rows: list[np.ndarray], toxic: list[int], prior: float | None = None,
     return ToxicityModel(chosen, w, float(b), threshold)
 
 
+def telling(rows: list[np.ndarray], y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sorted hashes of the features whose frequency differs most between the labels,
+    ``n`` rows of each.  Ranges of hashes are counted one after the other, about ``PART``
+    features at a time, so that counting takes little beside the rows themselves."""
+    parts = 1 + sum(len(r) for r in rows) // PART
+    borders = np.arange(1, parts, dtype=np.uint64) * np.uint64((2**64 - 1) // parts)
+    cuts = np.zeros((len(rows), parts + 1), np.int32)
+    for k, r in enumerate(rows):
+        cuts[k, 1:-1], cuts[k, -1] = np.searchsorted(r, borders), len(r)
+    best, score = np.empty(0, np.uint64), np.empty(0)
+    for k in range(parts):
+        names, place = np.unique(np.concatenate([r[a:b] for r, a, b in zip(rows, cuts[:, k].tolist(), cuts[:, k + 1].tolist(), strict=True)]), return_inverse=True)
+        all_rows, toxic_rows = np.bincount(place, minlength=len(names)), np.bincount(place, weights=np.repeat(y, cuts[:, k + 1] - cuts[:, k]), minlength=len(names))
+        share = all_rows / n.sum()
+        z = np.abs((toxic_rows / n[1] - (all_rows - toxic_rows) / n[0]) / np.sqrt(np.maximum(share * (1 - share) * (1 / n[0] + 1 / n[1]), 1e-12)))
+        best, score = np.append(best, names[z >= SIGNIFICANT]), np.append(score, z[z >= SIGNIFICANT])
+        most = np.sort(np.argsort(-score, kind="stable")[:MOST_FEATURES])
+        best, score = best[most], score[most]
+    return best
+
+
+def places(rows: list[np.ndarray], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place among the sorted ``chosen``) of every chosen feature of every row."""
+    found = []
+    for r in rows:
+        at = np.searchsorted(chosen, r)
+        found.append(at[chosen[np.minimum(at, len(chosen) - 1)] == r].astype(np.int32) if len(chosen) else np.empty(0, np.int32))
+    return np.repeat(np.arange(len(rows), dtype=np.int32), [len(f) for f in found]), np.concatenate(found)
+
+
 def counterfactuals(rows: list[np.ndarray], groups: list[list[np.ndarray]], chosen: np.ndarray) -> tuple[np.ndarray, ...]:
     """All swaps of an identity term that a text names for each other term of its
     language: (swap, feature, sign) of the features gained (1) and lost (-1), and how
@@ -206,6 +231,25 @@ def featured(rows: DataFrame) -> DataFrame:
     return map_arrow(rows.select("toxic", "h", "text"), run, "toxic int, h long, n int, features binary")
 
 
+def gathered(made: DataFrame, h: list[int], n: int) -> tuple[list[np.ndarray], list[int]]:
+    """Features and labels of the rows with the sorted hashes ``h``, ``n`` features in
+    all.  One partition's rows at a time are on their way, and all lie in one array."""
+    if not h:
+        return [], []
+    last, tied = h[-1], h.count(h[-1])  # rows that repeat may go beyond the bound
+    into, end, rows = np.empty(n, np.uint64), 0, []
+    for r in made.where(F.col("h") <= last).select("h", "toxic", "features").toLocalIterator():
+        if r["h"] == last:
+            tied -= 1
+            if tied < 0:
+                continue
+        own = np.frombuffer(r["features"], "<u8")
+        into[end : end + len(own)] = own
+        rows.append((r["h"], r["toxic"], end, end := end + len(own)))
+    rows.sort(key=lambda r: r[:2])
+    return [into[a:b] for _, _, a, b in rows], [t for _, t, _, _ in rows]
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = SAMPLE_PER_LABEL) -> ToxicityModel:
     """Learns from labelled rows whose crc32(id) mod 3 is not 1, ``per_label`` rows of
     each label at most, with ``SAMPLE_FEATURES`` in all."""
@@ -216,12 +260,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     some = texts.join(keep_ids(marks, ids, "doc_id"), "doc_id").withColumn("h", F.xxhash64("doc_id", "text", "toxic"))
     made = stored(featured(some), "features")
     sizes = made.select("h", "n").orderBy("h").limit(4 * per_label).collect()
-    within = np.cumsum([r["n"] for r in sizes]) <= SAMPLE_FEATURES
-    last = sizes[int(within.sum()) - 1]["h"] if within.any() else None
-    got = made.where(F.col("h") <= last).orderBy("h", "toxic").limit(4 * per_label).collect() if last is not None else []
+    sizes = sizes[: int((np.cumsum([r["n"] for r in sizes]) <= SAMPLE_FEATURES).sum())]
+    features, toxic = gathered(made, [r["h"] for r in sizes], sum(r["n"] for r in sizes))
     discard(made)
     total = sum(totals.values())
-    return train([np.frombuffer(r["features"], "<u8") for r in got], [r["toxic"] for r in got], totals.get(1, 0) / total if total else None)
+    return train(features, toxic, totals.get(1, 0) / total if total else None)
 
 
 def scored(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
