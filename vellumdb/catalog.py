@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import evaluate
@@ -31,10 +31,16 @@ def _docs(rows: DataFrame, doc_id, *fields) -> DataFrame:
     return rows.select(doc_id.alias("doc_id"), F.to_json(F.struct(*fields)).alias("json")).withColumn("v", F.parse_json("json"))
 
 
+def _gathered(row: Column) -> Column:
+    """A group's rows as an array in an order of their own: rows reach a group in another
+    order each time that a shuffle runs, and elements are numbered by their places."""
+    return F.sort_array(F.collect_list(row))
+
+
 def _lines(spark: SparkSession, sf_dir: str, **fields: str) -> DataFrame:
     """l_orderkey and ``lines``, an array of structs."""
     line = F.struct(*(F.col(c).alias(name) for name, c in fields.items()))
-    return _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(line).alias("lines"))
+    return _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(_gathered(line).alias("lines"))
 
 
 def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +56,7 @@ def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def customer_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _lines(spark, sf_dir, flag="l_returnflag", qty="l_quantity")
     order = F.struct(F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total"), F.coalesce("lines", F.array()).alias("lines"))
-    orders = _table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy("o_custkey").agg(F.collect_list(order).alias("orders"))
+    orders = _table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy("o_custkey").agg(_gathered(order).alias("orders"))
     rows = _table(spark, sf_dir, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
     return _docs(rows, F.col("c_custkey") + 1, F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.coalesce("orders", F.array()).alias("orders"))
 
@@ -61,8 +67,8 @@ def event_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conv_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", "text")).alias("turns"), F.collect_list("role").alias("roles"))
-    return _docs(rows, F.col("conv_id") + 1, "turns", "roles")
+    rows = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(_gathered(F.struct("turn", "role", "text")).alias("turns"))
+    return _docs(rows, F.col("conv_id") + 1, "turns", F.filter("turns.role", lambda role: role.isNotNull()).alias("roles"))
 
 
 def text_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
