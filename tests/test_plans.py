@@ -2,7 +2,9 @@
 
 import json
 import random
+from functools import reduce
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from vellumdb.engine import MemoryEngine, evaluate, with_variant
 from vellumdb.errors import ValidationError
 from vellumdb.functions.documents import verify_document
 from vellumdb.operators import postings
-from vellumdb.plans.index import Index
+from vellumdb.plans.index import Index, search_index
 
 EDGES = [
     {}, {"a": None}, {"a": 1}, {"a": 1.0}, {"a": "1"}, {"a": True}, {"a": [1]}, {"a": {"b": 1}}, {"a": []}, {"a": {}}, {"a": -0.0}, {"a": 9007199254740993}, {"a": 10**22}, {"a": ""}, {"a": "é'\"\\x"},
@@ -137,3 +139,38 @@ def test_posting_sets(spark):
     assert ids(postings.difference(postings.posting(a), b)) == [1]
     assert ids(postings.members(postings.to_documents(a), [3, 9])) == [3]
     assert ids(postings.intersect(postings.posting(a, postings.SCOPED), b, key=postings.SCOPED)) == [2, 3]
+
+
+def test_an_index_that_is_not_stored_agrees(spark):
+    rng = random.Random(20240608)
+    documents = EDGES + [random_document(rng, n) for n in range(24)]
+    queries = QUERIES + [random_query(rng) for _ in range(20)]
+    docs = frame(spark, documents).cache()
+    got: dict[int, list[int]] = {k: [] for k in range(len(queries))}
+    for start in range(0, len(queries), 10):
+        parts = [evaluate(docs, q, "index").select(F.lit(k).alias("q"), "doc_id") for k, q in enumerate(queries[start : start + 10], start)]
+        for r in reduce(lambda a, b: a.unionByName(b), parts).collect():
+            got[r["q"]].append(r["doc_id"])
+    for k, q in enumerate(queries):
+        assert sorted(got[k]) == [i for i, d in enumerate(documents, 1) if verify_document(d, q)], q
+
+
+def test_documents_of_an_index_that_is_not_stored_are_read_once(spark):
+    """Arrays whose order differs whenever they are read: a second pass would number their
+    elements in another way."""
+
+    def turned(batches):
+        for batch in batches:
+            items = [{"a": 1} if k % 2 else {"b": 1} for k in range(10)]
+            texts = []
+            for _ in range(batch.num_rows):
+                random.shuffle(items)
+                texts.append(json.dumps({"items": items}))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts)], names=["doc_id", "json"])
+
+    docs = with_variant(spark.range(1, 101).toDF("doc_id").mapInArrow(turned, "doc_id long, json string"))
+    match = {"path": "items[]", "elemMatch": {"and": [{"a": {"exists": False}}, {"b": {"exists": False}}]}}
+    assert search_index(Index.of(docs), match).collect() == []
+    for query in ({"a": {"neq": 1}}, match, {"path": "items[]", "elemMatch": {"a": {"eq": 1}}}):
+        plan = search_index(Index.of(docs), query)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1, query

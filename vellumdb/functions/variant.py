@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.paths import Elements, Key, Step
 
+
 def _plain(name: str) -> bool:
     """Whether a key can stand in a VARIANT path."""
     return not any(c in name for c in "'\"\\")
@@ -52,6 +53,21 @@ def split_steps(steps: tuple[Step, ...]) -> list[tuple[Key, ...]]:
     return [tuple(x) for x in out]
 
 
+def values(root: Column, steps: tuple[Step, ...]) -> Column:
+    """The values at a path as an array of VARIANT, in order; empty if there are none."""
+    first, *rest = split_steps(steps)
+    none = F.expr("CAST(array() AS array<variant>)")
+
+    def level(value: Column, todo: list) -> Column:
+        keys, *more = todo
+        if not more:
+            return F.filter(F.transform(elements(value), lambda x: descend(x, keys)), lambda x: x.isNotNull())
+        return F.flatten(F.transform(elements(value), lambda x: F.coalesce(level(descend(x, keys), more), none)))
+
+    at = descend(root, first)
+    return F.coalesce(level(at, rest), none) if rest else F.array_compact(F.array(at))
+
+
 def kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
