@@ -27,3 +27,14 @@ def test_documents_do_not_depend_on_the_order_in_which_rows_arrive(spark, turned
     assert ids(SF).count() > 0
     assert ids(SF).exceptAll(ids(turned)).isEmpty()
     assert ids(turned).exceptAll(ids(SF)).isEmpty()
+
+
+@pytest.mark.parametrize("query", [catalog.scoped_intersect, catalog.scoped_union, catalog.scoped_difference])
+def test_scoped_sets_gather_the_documents_once(spark, query):
+    found = query(spark, SF)
+    assert found.count() > 0
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("Initial Plan")]
+    assert final.count("FileScan parquet") == 4, final
+    assert "MapInArrow" not in plan
