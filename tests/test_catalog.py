@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellumdb import catalog
+from vellumdb.operators import extract
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,3 +39,22 @@ def test_scoped_sets_gather_the_documents_once(spark, query):
     final = plan[: plan.index("Initial Plan")]
     assert final.count("FileScan parquet") == 4, final
     assert "MapInArrow" not in plan
+
+
+def test_path_counts_are_those_of_the_leaves(spark):
+    texts = ['{"a":1,"b":[1,"x",{"c":null}],"d":{"e":true,"f.g":[[2.5],[]]}}', '{"a":"1","b":[]}', "{}", '{"a":1}', '{"":{"a":2},"b":[3]}']
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, json string")
+    want = extract.leaves(docs).groupBy("path", "value_type").agg(F.count("*").alias("leaves"), F.count_distinct("doc_id").alias("documents"))
+    got = extract.path_counts(docs)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.count() == 8
+
+
+def test_statistics_send_no_leaf_out_of_python(spark):
+    """What leaves the workers is one row for each path and type of a task."""
+    counts = catalog.leaf_stats(spark, SF)
+    counts.collect()
+    node = counts._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in node
+    assert node.count("doc_id") == 0

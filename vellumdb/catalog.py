@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import evaluate
-from .operators import postings
+from .operators import extract, postings
 from .plans.index import Index, asked, search_index
 from .plans.paths import parse_path
 
@@ -152,8 +152,7 @@ def _indexed(s: Search) -> Query:
 
 
 def leaf_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leaves = Index.of(order_docs(spark, sf_dir)).leaves
-    return leaves.groupBy("path", "value_type").agg(F.count("*").alias("leaves"), F.count_distinct("doc_id").alias("documents"))
+    return extract.path_counts(order_docs(spark, sf_dir))
 
 
 def scope_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
