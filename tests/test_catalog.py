@@ -58,3 +58,11 @@ def test_statistics_send_no_leaf_out_of_python(spark):
     node = counts._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" not in node
     assert node.count("doc_id") == 0
+
+
+def test_places_are_found_by_one_search(spark):
+    found = catalog.result_order(spark, SF)
+    rows = sorted(found.collect())
+    assert [r["place"] for r in rows] == list(range(1, len(rows) + 1))
+    assert {r["total"] for r in rows} == {len(rows)}
+    assert "orders.parquet" not in found._jdf.queryExecution().executedPlan().toString()

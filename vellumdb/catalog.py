@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -296,10 +297,19 @@ def result_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each result's place as the search returns it, and the count beside it."""
     from .results import SearchResult
 
-    found = SearchResult(evaluate(order_docs(spark, sf_dir), LARGE_DONE).select("doc_id", "json").orderBy("doc_id"))
-    total, placed = found.count, found.dataframe.select("doc_id", F.monotonically_increasing_id().alias("at"))
-    sizes = placed.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.expr("b.part < a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))  # a row for each task
+    # ids are stored, so documents are searched once: not again to count the results, to
+    # choose the ranges that they are sorted in and to number these
+    folder = f"file://{_folder(spark)}"
+
+    def stored(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
+    found = SearchResult(stored(evaluate(order_docs(spark, sf_dir), LARGE_DONE).select("doc_id"), "found").orderBy("doc_id"))
+    total, placed = found.count, stored(found.dataframe.select("doc_id", F.monotonically_increasing_id().alias("at")), "placed")
+    parts = placed.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()  # a row for each task
+    ends = list(accumulate(r["n"] for r in parts))
+    before = spark.createDataFrame([(r["part"], end - r["n"]) for r, end in zip(parts, ends, strict=True)], "part long, before long")
     return placed.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("place"), F.lit(total).cast("long").alias("total"))
 
 
