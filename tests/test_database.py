@@ -1,11 +1,14 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from vellumdb.database import FAILURE_POINTS, Database
 from vellumdb.errors import CorruptionError, DatabaseClosedError, LockError, RecoveryError, StorageError, ValidationError
+from vellumdb.operators import extract
 from vellumdb.operators.compaction import choose
 from vellumdb.operators.maintenance import Scheduler, Snapshots
+from vellumdb.sources import segments
 from vellumdb.sources.files import Log, Manifest, ManifestStore, SegmentInfo
 
 HIT = {"path": "orders[]", "elemMatch": {"and": [{"id": {"eq": "A"}}, {"price": {"gt": 5}}]}}
@@ -319,3 +322,21 @@ def test_streaming_ingest(spark, tmp_path):
             q.awaitTermination()
         assert db.search(HIT).ids() == [1]
         assert db.documents().count() == 2
+
+
+def test_a_value_of_most_documents_is_dealt_out_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(segments, "TASK_BYTES", 100_000, raising=False)
+    texts = F.when(F.col("id") % 100 == 0, '{"a":"y","l":[{"b":1}]}').otherwise('{"a":"x","l":[{"b":1}]}')
+    docs = spark.range(1, 4001).select(F.col("id").alias("doc_id"), texts.alias("json"))
+    for name, rows in segments.index_tables(extract.entries(docs).cache()):
+        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == (8000 if name == "leaves" else 4000)
+        assert max(sizes) < 0.5 * sum(sizes), (name, sizes)
+
+
+def test_a_task_sorts_rows_up_to_a_bound(spark, monkeypatch):
+    docs = spark.range(1, 1001).select(F.col("id").alias("doc_id"), F.to_json(F.struct("id", F.repeat(F.lit("x"), 1000).alias("text"))).alias("json"))
+    monkeypatch.setattr(segments, "TASK_BYTES", 200_000, raising=False)
+    tables = dict(segments.index_tables(extract.entries(docs)))
+    assert tables["leaves"].rdd.getNumPartitions() >= 6  # 1000 texts of 1000 characters and as many numbers
+    assert tables["scopes"].count() == tables["scoped_leaves"].count() == 0

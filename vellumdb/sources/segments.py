@@ -1,8 +1,10 @@
 """Immutable segments: a folder of Parquet tables for documents and their indexes.
 
 ``documents`` (doc_id, json, v) is sorted by id.  Documents are parsed once for all index
-tables; those are dealt out by ranges of path and value and sorted, so a search opens the
-few files that hold its paths, and row-group statistics prune the rest.  A key filter
+tables; those are dealt out by ranges of path, value and document and sorted, so a search
+opens the few files that hold its paths, and row-group statistics prune the rest.  The
+document is in the ranges because a value may be that of most documents, and rows alike
+in all that a range looks at are one task's.  A key filter
 (``keys.bin``) tells the driver whether a segment can hold a path or term at all.
 """
 
@@ -23,19 +25,37 @@ from .files import SegmentInfo, replace_file
 
 DOCUMENTS = "doc_id long, json string, v variant"
 TABLES = {"documents": DOCUMENTS, "leaves": extract.LEAVES, "scopes": extract.SCOPES, "scoped_leaves": extract.SCOPED_LEAVES}
-SORTED = {"leaves": ["path", "value_type", "value_num", "value_str"], "scopes": ["array_path", "doc_id"], "scoped_leaves": ["array_path", "relative_path", "value_type", "value_num", "value_str"]}
+SORTED = {"leaves": ["path", "value_type", "value_num", "value_str", "doc_id"], "scopes": ["array_path", "doc_id"], "scoped_leaves": ["array_path", "relative_path", "value_type", "value_num", "value_str", "doc_id"]}
 #: Metadata versions: 1 has neither file lists nor a key filter, so its segments may hold
 #: any key.
 META_VERSIONS = (1, 2)
 NAME = re.compile(r"seg-\d{6,}(\.tmp)?")
 
 
+#: Bytes of rows that one task sorts, without its row pointers; those of a row besides its
+#: text; rows that are worth another task while cores are idle.
+TASK_BYTES, ROW_BYTES, TASK_ROWS = 1 << 27, 128, 100_000
+
+
+def _tasks(entries: DataFrame) -> dict[str, int]:
+    """How many tasks each index table is dealt out to, so that what one sorts has a bound
+    whatever the input: ranges that Spark sizes by their compressed bytes hold any number
+    of short rows."""
+    leaf, around = F.col("value_type").isNotNull(), F.size("scope_ids")
+    text = F.octet_length("path") + F.coalesce(F.octet_length("value_str"), F.lit(0)) + F.lit(ROW_BYTES)
+    of = {"leaves": (leaf, F.lit(1)), "scopes": (~leaf, F.lit(1)), "scoped_leaves": (leaf, around)}
+    sums = entries.agg(*(F.coalesce(F.sum(F.when(which, times * x)), F.lit(0)).alias(f"{name}_{k}") for name, (which, times) in of.items() for k, x in (("rows", F.lit(1).cast("long")), ("bytes", text.cast("long"))))).first()
+    cores = entries.sparkSession.sparkContext.defaultParallelism
+    return {name: max(1, -(-sums[f"{name}_bytes"] // TASK_BYTES), min(cores, -(-sums[f"{name}_rows"] // TASK_ROWS))) for name in of}
+
+
 def index_tables(entries: DataFrame, spread: bool = True):
     """(name, rows) of the index tables, in the order in which they are stored.
     ``spread``: dealt out by ranges, for more rows than one file should hold."""
+    tasks = _tasks(entries) if spread else {}
     for name, order in SORTED.items():
         rows = extract.TABLES_OF[name](entries)
-        yield name, (rows.repartitionByRange(*order) if spread else rows.coalesce(1)).sortWithinPartitions(*order)
+        yield name, (rows.repartitionByRange(tasks[name], *order) if spread else rows.coalesce(1)).sortWithinPartitions(*order)
 
 
 class SegmentStore:
